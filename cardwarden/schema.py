@@ -70,20 +70,22 @@ def nominal_metadata(values: list[str]) -> dict:
     return {"ml_attr": {"type": "nominal", "vals": values}}
 
 
-def feature_column(name: str) -> Column:
+def feature_column(name: str, alias: str) -> Column:
     """A feature as double; nominal ones carry their domain, and codes outside it become 0."""
     col = F.col(name)
     arity = NOMINAL_ARITY.get(name)
     if arity is None:
-        return col.cast("double").alias(name)
+        return col.cast("double").alias(alias)
     code = col.cast("int")
     inside = F.when((code >= 0) & (code < arity), code).otherwise(F.lit(0))
     vals = [str(i) for i in range(arity)]
-    return inside.cast("double").alias(name, metadata=nominal_metadata(vals))
+    return inside.cast("double").alias(alias, metadata=nominal_metadata(vals))
 
 
-def label_column(name: str = "label") -> Column:
-    return F.col(name).cast("int").cast("double").alias("class", metadata=nominal_metadata(LABELS))
+def class_column() -> Column:
+    """The label as double, with both class names even if the data hold only one of them."""
+    code = F.col("label").cast("int").cast("double")
+    return code.alias("class", metadata=nominal_metadata(LABELS))
 
 
 def typed(df, schema: T.StructType, extra: tuple[str, ...] = ()):
