@@ -24,15 +24,13 @@ def split_quoted(value: Column) -> Column:
     Cutting at the quotes first is linear in the line. The look-ahead pattern alone recurses
     once per quote pair, so a single line full of quotes could overflow an executor's stack.
     """
-    pieces = F.split(value, '"', -1)
-    last = F.size(pieces) - 1
-    marked = F.transform(
-        pieces,
+    from_end = F.transform(
+        F.reverse(F.split(value, '"', -1)),
         lambda piece, i: F.when(
-            F.pmod(last - i, F.lit(2)) == 0, F.replace(piece, F.lit(","), F.lit(_MARK))
+            i % 2 == 0, F.replace(piece, F.lit(","), F.lit(_MARK))
         ).otherwise(piece),
     )
-    linear = F.split(F.array_join(marked, '"'), _MARK, -1)
+    linear = F.split(F.array_join(F.reverse(from_end), '"'), _MARK, -1)
     return F.when(value.contains(_MARK), F.split(value, COMMA_OUTSIDE_QUOTES, -1)).otherwise(linear)
 
 

@@ -25,7 +25,7 @@ from cardwarden.session import materialize
 def _attach(rows: DataFrame, feats: DataFrame, counts: DataFrame, keys: list[str], cfg):
     hot = hot_keys(counts, keys, "rows", cfg.hot_rows, cfg.broadcast_rows)
     joined = spread_join(rows, feats, keys, "tx_id", hot)
-    return joined.select(*rows.columns, *finished())
+    return joined.selectExpr(*rows.columns, *finished())
 
 
 def asof_hourly(tx: DataFrame, cfg: EngineConfig) -> DataFrame:

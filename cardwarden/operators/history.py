@@ -29,25 +29,23 @@ def latest_per_key(rows: DataFrame, order: list[str], copies: str | None = None)
     return kept.select(*HISTORY_KEY, "_last.*", *([copies] if copies else []))
 
 
-def _exact(col: str, scale: int) -> Column:
-    """Sums run on decimals so that the order of addition cannot change them."""
-    return F.col(col).try_cast(f"decimal(18,{scale})")
-
-
 def partial_stats() -> list[Column]:
-    """Statistics of raw rows that can be merged later."""
-    out = [F.count("*").alias("p_n"), F.count_if(~F.col("boo1")).alias("p_notboo1")]
+    """Statistics of raw rows that can be merged later.
+
+    Sums run on decimals so that the order of addition cannot change them. Values no decimal
+    holds (too large, not finite) still count, as doubles in ``p_odd_*``.
+    """
+    out = {"p_n": "count(*)", "p_notboo1": "count_if(NOT boo1)"}
     for col, scale in (("tx_amount", 2), ("merchantarea", 6)):
-        dec = _exact(col, scale)
-        out += [
-            F.min(col).alias(f"p_min_{col}"),
-            F.max(col).alias(f"p_max_{col}"),
-            F.sum(dec).alias(f"p_sum_{col}"),
-            # Values no decimal holds (too large, not finite) still count, as doubles.
-            F.sum(F.when(dec.isNull(), F.col(col))).alias(f"p_odd_{col}"),
-        ]
-    last = F.struct("tx_datetime", "tx_id", "merchantarea", "cat1", "cat2", "merchant")
-    return [*out, F.max(last).alias("p_last")]
+        dec = f"try_cast({col} AS DECIMAL(18,{scale}))"
+        out |= {
+            f"p_min_{col}": f"min({col})",
+            f"p_max_{col}": f"max({col})",
+            f"p_sum_{col}": f"sum({dec})",
+            f"p_odd_{col}": f"sum(CASE WHEN {dec} IS NULL THEN {col} END)",
+        }
+    out["p_last"] = "max(struct(tx_datetime, tx_id, merchantarea, cat1, cat2, merchant))"
+    return [F.expr(sql).alias(name) for name, sql in out.items()]
 
 
 def merged(wrap=lambda c: c) -> list[Column]:
@@ -63,28 +61,24 @@ def merged(wrap=lambda c: c) -> list[Column]:
     return [*out, wrap(F.max("p_last")).alias("p_last")]
 
 
-def finished() -> list[Column]:
-    """The published features from merged statistics; all zero without any history."""
-    zero = F.lit(0.0)
-    n = F.coalesce(F.col("p_n"), F.lit(0)).cast("double")
-    out = {"w1_countboo1false": F.coalesce(F.col("p_notboo1"), F.lit(0)).cast("int")}
+def finished() -> list[str]:
+    """The published features from merged statistics, as SQL; all zero without any history."""
+    n = "CAST(coalesce(p_n, 0) AS DOUBLE)"
+    out = {"w1_countboo1false": "CAST(coalesce(p_notboo1, 0) AS INT)"}
     for col, name in (("tx_amount", "amount"), ("merchantarea", "merchantarea")):
-        low = F.coalesce(F.col(f"p_min_{col}"), zero)
-        high = F.coalesce(F.col(f"p_max_{col}"), zero)
-        total = F.coalesce(F.col(f"p_sum_{col}").cast("double"), zero)
-        odd = F.col(f"p_odd_{col}")
-        total = F.when(odd.isNull(), total).otherwise(total + odd)
+        low, high = f"coalesce(p_min_{col}, 0D)", f"coalesce(p_max_{col}, 0D)"
+        total = f"(coalesce(CAST(p_sum_{col} AS DOUBLE), 0D) + coalesce(p_odd_{col}, 0D))"
         out |= {
             f"w1_min_{name}": low,
             f"w1_max_{name}": high,
-            f"w1_mmdif_{name}": high - low,
+            f"w1_mmdif_{name}": f"{high} - {low}",
             f"w1_sum_{name}": total,
             f"w1_count_{name}": n,
-            f"w1_avg_{name}": total / F.greatest(n, F.lit(1.0)),
+            f"w1_avg_{name}": f"{total} / greatest({n}, 1D)",
         }
     for name in LAST_TX:
-        out[name] = F.coalesce(F.col(f"p_last.{name.removeprefix('last_')}"), zero)
-    return [out[c].alias(c) for c in AMOUNT_STATS + AREA_STATS + LAST_TX]
+        out[name] = f"coalesce(p_last.{name.removeprefix('last_')}, 0D)"
+    return [f"{out[c]} AS {c}" for c in AMOUNT_STATS + AREA_STATS + LAST_TX]
 
 
 def retained(rows: DataFrame, clock_hour: Column | int, cfg: EngineConfig) -> DataFrame:

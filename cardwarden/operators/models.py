@@ -15,7 +15,7 @@ from cardwarden.config import EngineConfig
 from cardwarden.functions.scores import ensemble, mean_of
 from cardwarden.operators.bags import balanced_bags
 from cardwarden.operators.vectors import with_vector
-from cardwarden.schema import FEATURES
+from cardwarden.schema import FEATURES, NOMINAL_ARITY
 from cardwarden.session import materialize
 
 
@@ -42,6 +42,17 @@ def _classifier(trees: int, seed: int, bootstrap: bool, cfg: EngineConfig):
     )
 
 
+def _training_rows(df: DataFrame, n_rows: int) -> DataFrame:
+    """Vectors and classes. MLlib wants at least as many rows as a nominal feature has values,
+    so a smaller set repeats every row equally often, which leaves all split gains the same."""
+    rows = with_vector(df, label=True).select("features", "class")
+    copies = -(-max(NOMINAL_ARITY.values()) // n_rows)
+    if copies == 1:
+        return rows
+    again = F.explode(F.sequence(F.lit(1), F.lit(copies)))
+    return rows.withColumn("_copy", again).select("features", "class")
+
+
 def train_delayed(train: DataFrame, cfg: EngineConfig, model_id: str, day: int) -> TreeBag | None:
     """One random tree per bag; None if no bag has rows.
 
@@ -50,12 +61,12 @@ def train_delayed(train: DataFrame, cfg: EngineConfig, model_id: str, day: int)
     """
     needed = train.select("tx_id", "label", *FEATURES)
     bags = materialize(balanced_bags(needed, cfg), "bags", partition_by=("shard", "bag"))
-    found = bags.select("shard", "bag").distinct().orderBy("shard", "bag").collect()
+    found = bags.groupBy("shard", "bag").count().orderBy("shard", "bag").collect()
 
     def fit(row) -> RandomForestClassificationModel:
         rows = bags.where((F.col("shard") == row["shard"]) & (F.col("bag") == row["bag"]))
         tree = _classifier(1, row["bag"] + 1, False, cfg)
-        return tree.fit(with_vector(rows, label=True).select("features", "class"))
+        return tree.fit(_training_rows(rows, row["count"]))
 
     if not found:
         return None
@@ -66,10 +77,10 @@ def train_delayed(train: DataFrame, cfg: EngineConfig, model_id: str, day: int)
 
 def train_feedback(alerts: DataFrame, cfg: EngineConfig) -> RandomForestClassificationModel | None:
     """A forest on the alerts of the feedback days with their true labels; None without alerts."""
-    if alerts.isEmpty():
+    n_rows = alerts.count()
+    if n_rows == 0:
         return None
-    rows = with_vector(alerts, label=True).select("features", "class")
-    return _classifier(cfg.feedback_trees, 1, True, cfg).fit(rows)
+    return _classifier(cfg.feedback_trees, 1, True, cfg).fit(_training_rows(alerts, n_rows))
 
 
 def _with_vote(df: DataFrame, model: RandomForestClassificationModel, name: str) -> DataFrame:

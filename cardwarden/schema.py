@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -88,8 +88,8 @@ def class_column() -> Column:
     return code.alias("class", metadata=nominal_metadata(LABELS))
 
 
-def typed(df, schema: T.StructType, extra: tuple[str, ...] = ()):
+def typed(df: DataFrame, schema: T.StructType, extra: tuple[str, ...] = ()) -> DataFrame:
     """Project ``df`` onto ``schema`` by name, with its types; ``extra`` columns ride along."""
-    cols = [F.col(f.name).cast(f.dataType).alias(f.name) for f in schema.fields]
     names = {f.name for f in schema.fields}
-    return df.select(*[c for c in extra if c not in names], *cols)
+    casts = [f"CAST({f.name} AS {f.dataType.simpleString()}) AS {f.name}" for f in schema.fields]
+    return df.selectExpr(*[c for c in extra if c not in names], *casts)

@@ -107,9 +107,10 @@ class Tables:
             self._drop(self.path("history", f"tx_dhour={hour}"))
         return gone
 
-    def compact_history(self, before_hour: int, before_batch: int) -> list[int]:
+    def compact_history(self, before_hour: int, before_batch: int, spare: int = 0) -> list[int]:
         """Fold the batches of closed hours into one folder per hour, last write per key kept.
 
+        Does nothing while no more than ``spare`` folders would go.
         The folded rows take the highest folded ``batch_id``. Until the old folders are dropped
         both copies are visible, and readers keep one row per key, so a crash loses nothing.
         """
@@ -119,7 +120,7 @@ class Tables:
             ids = [b for b in ids if b < before_batch]
             if hour < before_hour and len(ids) > 1:
                 crowded[hour] = ids
-        if not crowded:
+        if sum(len(ids) - 1 for ids in crowded.values()) <= spare:
             return []
         rows = self.history(before_batch).where(F.col("tx_dhour").isin(list(crowded)))
         target = F.create_map(*[F.lit(v) for h, ids in crowded.items() for v in (h, ids[-1])])

@@ -146,14 +146,15 @@ class Engine:
     def _scored(self, good: DataFrame, now: Progress, batch_id: int, n_good: int) -> DataFrame:
         rows = with_time_fields(good, now.origin_ms)
         rows = encode_id(encode_risk(rows, self.dictionary, self.cfg), self.dictionary, self.cfg)
-        rows = self._with_features(rows, now, batch_id, n_good)
+        rows = self._with_features(rows, batch_cards(good), now, batch_id, n_good)
         bags = [self.models.bag(m) for m in now.models]
         return score(rows, bags, self.models.forest(now.forest), self.cfg)
 
-    def _with_features(self, rows: DataFrame, now: Progress, batch_id: int, n_good: int):
+    def _with_features(
+        self, rows: DataFrame, cards: DataFrame, now: Progress, batch_id: int, n_good: int
+    ) -> DataFrame:
         """Join each card's history statistics; a batch of few rows has few cards to broadcast."""
         stored = self._stored(now, batch_id)
-        cards = batch_cards(rows)
         if n_good <= self.cfg.broadcast_rows:
             stats = history_stats(of_batch_cards(stored, cards, small=True))
             joined = rows.join(F.broadcast(stats), "cardid", "left")
@@ -168,7 +169,7 @@ class Engine:
                     cards, ["cardid"], "batch_rows", self.cfg.hot_rows, self.cfg.broadcast_rows
                 )
                 joined = spread_join(rows, stats, ["cardid"], "tx_id", hot)
-        return joined.select(*rows.columns, *finished())
+        return joined.selectExpr(*rows.columns, *finished())
 
     def _update_alerts(self, scored: DataFrame, now: Progress, batch_id: int) -> int:
         """Merge the batch's candidates into the list of the day; none before the first model."""
@@ -190,7 +191,7 @@ class Engine:
         self.tables.prune(batch_id)
         self.models.forget({*now.models, *([now.forest] if now.forest else [])})
         if rolled:
-            self.tables.compact_history(now.clock_hour, batch_id)
+            self.tables.compact_history(now.clock_hour, batch_id, self.cfg.spare_folders)
 
 
 def run_stream(
