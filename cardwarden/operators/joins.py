@@ -63,7 +63,7 @@ def spread_join(
     )
     right = (
         groups.join(small, keys, "left")
-        .withColumn("_salt", F.explode(F.sequence(F.lit(0), salts - 1)).cast("bigint"))
+        .withColumn("_salt", F.explode(F.sequence(F.lit(0), salts - 1)))
         .drop("_salts")
     )
     return left.join(right, [*keys, "_salt"], how).drop("_salt")

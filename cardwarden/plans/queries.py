@@ -405,5 +405,5 @@ def score_feedback_model(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("stream_replay")
 def stream_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The whole stream through the engine in three-day batches; one row per committed batch."""
-    return replay(spark, sf_dir, CFG, hours_per_batch=72).batch_metrics()
+    """The whole stream through the engine in five-day batches; one row per committed batch."""
+    return replay(spark, sf_dir, CFG, hours_per_batch=120).batch_metrics()

@@ -91,6 +91,11 @@ class Tables:
             rows = rows.where(F.col("tx_dhour") > clock_hour - hours)
         return rows
 
+    def stored_batch(self, batch_id: int) -> DataFrame:
+        """The rows that one batch stored; lists only that batch's folders."""
+        reader = self.spark.read.schema(TX_STORED).option("basePath", self.path("history"))
+        return reader.parquet(self.path("history", "tx_dhour=*", f"batch_id={batch_id}"))
+
     def append_history(self, scored: DataFrame, batch_id: int) -> None:
         """Store a scored batch; rebalancing joins small tasks and splits a crowded hour."""
         rows = typed(scored.withColumn("batch_id", F.lit(batch_id)), TX_STORED)

@@ -57,7 +57,6 @@ class Engine:
         """Run one batch of lines (``tx_id``, ``value``); safe to run again with the same id."""
         last = self.tables.last_state(batch_id)
         parsed = parse_lines(lines, self.cfg).persist(StorageLevel.MEMORY_AND_DISK)
-        scored = None
         try:
             good = F.col("reject_reason").isNull()
             facts = parsed.agg(
@@ -77,9 +76,8 @@ class Engine:
             if n_good:
                 self._roll(last["day"] if last else 0, now, batch_id)
                 scored = self._scored(accepted(parsed), now, batch_id, n_good)
-                scored = scored.persist(StorageLevel.MEMORY_AND_DISK)
                 self.tables.append_history(scored, batch_id)
-                n_alerts = self._update_alerts(scored, now, batch_id)
+                n_alerts = self._update_alerts(now, batch_id)
             self.tables.commit_state(
                 batch_id=batch_id, origin_ms=now.origin_ms, clock_ms=now.clock_ms, day=now.day,
                 models=now.models, forest=now.forest, alerts_batch=now.alerts_batch,
@@ -88,8 +86,6 @@ class Engine:
             self._maintain(now, batch_id, rolled=last is not None and now.day > last["day"])
         finally:
             parsed.unpersist()
-            if scored is not None:
-                scored.unpersist()
 
     def _advance(self, last, first_ms: int | None) -> Progress:
         """The batch clock is the earliest good time of the batch and never moves back."""
@@ -171,16 +167,17 @@ class Engine:
                 joined = spread_join(rows, stats, ["cardid"], "tx_id", hot)
         return joined.selectExpr(*rows.columns, *finished())
 
-    def _update_alerts(self, scored: DataFrame, now: Progress, batch_id: int) -> int:
-        """Merge the batch's candidates into the list of the day; none before the first model."""
+    def _update_alerts(self, now: Progress, batch_id: int) -> int:
+        """Merge the batch's candidates into the list of the day; none before the first model.
+
+        The candidates come from the rows just stored, so nothing is scored twice.
+        """
         if not now.models:
             return 0
         before = None
         if now.alerts_batch is not None:
             before = self.tables.current_alerts(now.alerts_batch)
-        top = al.batch_top(scored, self.cfg)
-        if before is not None:
-            top = top.select(*before.columns)
+        top = al.batch_top(self.tables.stored_batch(batch_id), self.cfg).drop("batch_id")
         merged = al.merge_daily(before, top, self.cfg)
         self.tables.save_current_alerts(merged, batch_id)
         now.alerts_batch = batch_id
