@@ -32,12 +32,12 @@ class EngineConfig:
     # Trees grow until pure; MLlib accepts at most 30 levels.
     tree_depth: int = 30
     # Single-tree fits submitted to the cluster at the same time.
-    fit_parallelism: int = 4
+    fit_parallelism: int = 8
 
     # Batch folders of closed hours are folded once there are this many more than hours.
     spare_folders: int = 200
     # A join side is broadcast only after it was counted at or below this many rows.
-    broadcast_rows: int = 500_000
+    broadcast_rows: int = 200_000
     # A join key with more rows than this is spread over several tasks.
     hot_rows: int = 2_000_000
 

@@ -16,6 +16,7 @@ from cardwarden.operators.history import (
     finished,
     latest_per_key,
     merged,
+    merged_over_hours,
     partial_stats,
 )
 from cardwarden.operators.joins import fits_broadcast, hot_keys, spread_join
@@ -35,12 +36,7 @@ def asof_hourly(tx: DataFrame, cfg: EngineConfig) -> DataFrame:
         stored.groupBy("cardid", "tx_dhour").agg(*partial_stats(), F.sum("copies").alias("rows")),
         "hourly",
     )
-    frame = (
-        Window.partitionBy("cardid")
-        .orderBy("tx_dhour")
-        .rangeBetween(-(cfg.history_hours - 1), -1)
-    )
-    feats = hourly.select("cardid", "tx_dhour", *merged(lambda c: c.over(frame)))
+    feats = merged_over_hours(hourly, cfg.history_hours - 1)
     return _attach(tx, feats, hourly, ["cardid", "tx_dhour"], cfg)
 
 

@@ -7,6 +7,10 @@ from pyspark.sql import functions as F
 
 from cardwarden.config import EngineConfig
 from cardwarden.functions.hashing import bucket
+from cardwarden.operators.history import latest_per_key
+from cardwarden.operators.joins import fits_broadcast
+from cardwarden.schema import HISTORY_KEY
+from cardwarden.session import materialize
 
 _SHARD_DIGITS = 9  # other hash digits than the bags use, so the two stay independent
 
@@ -95,3 +99,21 @@ def balanced_bags(train: DataFrame, cfg: EngineConfig) -> DataFrame:
         .drop("_bags")
     )
     return genuine.unionByName(fraud)
+
+
+def bags_of_history(stored: DataFrame, cfg: EngineConfig) -> DataFrame:
+    """Balanced bags of stored rows, last write per key.
+
+    The bags are drawn on keys and labels alone. Only the drawn keys, a small part of the window
+    when frauds are rare, are then looked up in the wide rows, in one scan.
+    """
+    on = [*HISTORY_KEY, "batch_id", "tx_id"]
+    keys = materialize(
+        latest_per_key(stored.select(*on, "label"), ["batch_id", "tx_id"]), "training-keys"
+    )
+    drawn = materialize(balanced_bags(keys, cfg).drop("label"), "drawn")
+    small = fits_broadcast(drawn, cfg.broadcast_rows)
+    drawn = F.broadcast(drawn) if small else drawn
+    # Copies of a drawn row are folded before it is repeated for its bags.
+    wide = stored.join(drawn.select(*on), on, "left_semi")
+    return latest_per_key(wide, ["batch_id", "tx_id"]).join(drawn, on)

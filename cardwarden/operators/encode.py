@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from cardwarden.config import EngineConfig
 from cardwarden.operators.joins import fits_broadcast, hot_keys, spread_join
+from cardwarden.session import materialize
 
 # Dictionary variable of each encoded field.
 RISK_VARIABLES = {
@@ -41,7 +42,7 @@ def _lookup(df: DataFrame, d: Dictionary, field: str, variable: str, value: str,
     if d.small:
         return df.join(F.broadcast(found), level, "left")
     # A dictionary too large to broadcast: one shuffle for this field, its hot levels salted.
-    counts = df.groupBy(level).agg(F.count("*").alias("_rows"))
+    counts = materialize(df.groupBy(level).agg(F.count("*").alias("_rows")), "levels")
     hot = hot_keys(counts, [level], "_rows", cfg.hot_rows, cfg.broadcast_rows)
     return spread_join(df, found, [level], "tx_id", hot)
 

@@ -19,24 +19,32 @@ def latest_per_key(rows: DataFrame, order: list[str], copies: str | None = None)
     """Keep the last written row of each (hour, time, card); ``copies`` names a count of the rest.
 
     A partial aggregate runs before the shuffle, so even a key that was delivered without end
-    sends one row per task.
+    sends one row per task. With a single order column every buffer is a plain number and Spark
+    aggregates by hash; several columns need a struct, for which it sorts.
     """
     rest = [c for c in rows.columns if c not in HISTORY_KEY]
-    aggs = [F.max_by(F.struct(*rest), F.struct(*order)).alias("_last")]
-    if copies:
-        aggs.append(F.count("*").alias(copies))
-    kept = rows.groupBy(*HISTORY_KEY).agg(*aggs)
+    counted = [F.count("*").alias(copies)] if copies else []
+    keyed = rows.groupBy(*HISTORY_KEY)
+    if len(order) == 1:
+        return keyed.agg(*[F.max_by(c, order[0]).alias(c) for c in rest], *counted)
+    kept = keyed.agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("_last"), *counted)
     return kept.select(*HISTORY_KEY, "_last.*", *([copies] if copies else []))
 
 
+# Columns of the last transaction, and the summed columns with the decimals their sums keep.
+_LAST = [c.removeprefix("last_") for c in LAST_TX]
+_SUMMED = {"tx_amount": 2, "merchantarea": 6}
+
+
 def partial_stats() -> list[Column]:
-    """Statistics of raw rows that can be merged later.
+    """Statistics of raw rows, one row per key, that can be merged later.
 
     Sums run on decimals so that the order of addition cannot change them. Values no decimal
-    holds (too large, not finite) still count, as doubles in ``p_odd_*``.
+    holds (too large, not finite) still count, as doubles in ``p_odd_*``. A card's stored rows
+    differ in time, so time alone decides the last one.
     """
-    out = {"p_n": "count(*)", "p_notboo1": "count_if(NOT boo1)"}
-    for col, scale in (("tx_amount", 2), ("merchantarea", 6)):
+    out = {"p_n": "count(*)", "p_notboo1": "count_if(NOT boo1)", "p_at": "max(tx_datetime)"}
+    for col, scale in _SUMMED.items():
         dec = f"try_cast({col} AS DECIMAL(18,{scale}))"
         out |= {
             f"p_min_{col}": f"min({col})",
@@ -44,21 +52,65 @@ def partial_stats() -> list[Column]:
             f"p_sum_{col}": f"sum({dec})",
             f"p_odd_{col}": f"sum(CASE WHEN {dec} IS NULL THEN {col} END)",
         }
-    out["p_last"] = "max(struct(tx_datetime, tx_id, merchantarea, cat1, cat2, merchant))"
+    out |= {f"p_last_{c}": f"max_by({c}, tx_datetime)" for c in _LAST}
+    return [F.expr(sql).alias(name) for name, sql in out.items()]
+
+
+def _merge_sql() -> dict[str, str]:
+    out = {"p_n": "sum(p_n)", "p_notboo1": "sum(p_notboo1)"}
+    for col in _SUMMED:
+        out |= {
+            f"p_min_{col}": f"min(p_min_{col})",
+            f"p_max_{col}": f"max(p_max_{col})",
+            f"p_sum_{col}": f"sum(p_sum_{col})",
+            f"p_odd_{col}": f"sum(p_odd_{col})",
+        }
+    return out
+
+
+def merged() -> list[Column]:
+    """Merge partial statistics."""
+    out = _merge_sql() | {f"p_last_{c}": f"max_by(p_last_{c}, p_at)" for c in _LAST}
+    out["p_at"] = "max(p_at)"
     return [F.expr(sql).alias(name) for name, sql in out.items()]
 
 
-def merged(wrap=lambda c: c) -> list[Column]:
-    """Merge partial statistics; ``wrap`` may put each aggregate over a window."""
-    out = [wrap(F.sum("p_n")).alias("p_n"), wrap(F.sum("p_notboo1")).alias("p_notboo1")]
-    for col in ("tx_amount", "merchantarea"):
-        out += [
-            wrap(F.min(f"p_min_{col}")).alias(f"p_min_{col}"),
-            wrap(F.max(f"p_max_{col}")).alias(f"p_max_{col}"),
-            wrap(F.sum(f"p_sum_{col}")).alias(f"p_sum_{col}"),
-            wrap(F.sum(f"p_odd_{col}")).alias(f"p_odd_{col}"),
+_HIGH = 1_000_000_000  # sums are cut into whole multiples of this and the rest
+
+
+def merged_over_hours(hourly: DataFrame, hours: int) -> DataFrame:
+    """Per card and hour: statistics merged over the ``hours`` before it.
+
+    A frame adds its rows anew for every hour, so the decimal sums enter it as two integers each,
+    and the last transaction is simply that of the card's previous hour, if near enough.
+    """
+    cut = ["*"]
+    for col, scale in _SUMMED.items():
+        cut += [
+            f"p_sum_{col} DIV {_HIGH} AS _high_{col}",
+            f"CAST((p_sum_{col} % {_HIGH}) * {10**scale} AS BIGINT) AS _low_{col}",
         ]
-    return [*out, wrap(F.max("p_last")).alias("p_last")]
+    sums = _merge_sql()
+    for col in _SUMMED:
+        del sums[f"p_sum_{col}"]
+        sums |= {f"_high_{col}": f"sum(_high_{col})", f"_low_{col}": f"sum(_low_{col})"}
+    over = f"OVER (PARTITION BY cardid ORDER BY tx_dhour RANGE BETWEEN {hours} PRECEDING AND 1 PRECEDING)"
+    lag = "OVER (PARTITION BY cardid ORDER BY tx_dhour)"
+    framed = hourly.selectExpr(*cut).selectExpr(
+        "cardid",
+        "tx_dhour",
+        *[f"{sql} {over} AS {name}" for name, sql in sums.items()],
+        f"lag(tx_dhour) {lag} AS _hour",
+        *[f"lag(p_last_{c}) {lag} AS _last_{c}" for c in _LAST],
+    )
+    keep = [n for n in sums if not n.startswith("_")]
+    whole = [
+        f"CAST(_high_{col} AS DECIMAL(19,0)) * {_HIGH}BD"
+        f" + CAST(_low_{col} AS DECIMAL(19,0)) * {1 / 10**scale:.{scale}f}BD AS p_sum_{col}"
+        for col, scale in _SUMMED.items()
+    ]
+    last = [f"CASE WHEN tx_dhour - _hour <= {hours} THEN _last_{c} END AS p_last_{c}" for c in _LAST]
+    return framed.selectExpr("cardid", "tx_dhour", *keep, *whole, *last)
 
 
 def finished() -> list[str]:
@@ -76,8 +128,7 @@ def finished() -> list[str]:
             f"w1_count_{name}": n,
             f"w1_avg_{name}": f"{total} / greatest({n}, 1D)",
         }
-    for name in LAST_TX:
-        out[name] = f"coalesce(p_last.{name.removeprefix('last_')}, 0D)"
+    out |= {name: f"coalesce(p_{name}, 0D)" for name in LAST_TX}
     return [f"{out[c]} AS {c}" for c in AMOUNT_STATS + AREA_STATS + LAST_TX]
 
 

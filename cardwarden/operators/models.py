@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 
 from cardwarden.config import EngineConfig
 from cardwarden.functions.scores import ensemble, mean_of
-from cardwarden.operators.bags import balanced_bags
 from cardwarden.operators.vectors import with_vector
 from cardwarden.schema import FEATURES, NOMINAL_ARITY
 from cardwarden.session import materialize
@@ -53,14 +52,14 @@ def _training_rows(df: DataFrame, n_rows: int) -> DataFrame:
     return rows.withColumn("_copy", again).select("features", "class")
 
 
-def train_delayed(train: DataFrame, cfg: EngineConfig, model_id: str, day: int) -> TreeBag | None:
-    """One random tree per bag; None if no bag has rows.
+def train_delayed(bagged: DataFrame, cfg: EngineConfig, model_id: str, day: int) -> TreeBag | None:
+    """One random tree per bag of ``bagged`` (columns ``shard`` and ``bag``); None without rows.
 
     The bags are written once, one folder per bag, so each fit scans only its own rows. The
     driver holds the list of bags (``n_shards * n_tree`` at most), never their rows.
     """
-    needed = train.select("tx_id", "label", *FEATURES)
-    bags = materialize(balanced_bags(needed, cfg), "bags", partition_by=("shard", "bag"))
+    needed = bagged.select("shard", "bag", "label", *FEATURES)
+    bags = materialize(needed, "bags", partition_by=("shard", "bag"))
     found = bags.groupBy("shard", "bag").count().orderBy("shard", "bag").collect()
 
     def fit(row) -> RandomForestClassificationModel:
@@ -71,7 +70,7 @@ def train_delayed(train: DataFrame, cfg: EngineConfig, model_id: str, day: int)
     if not found:
         return None
     with ThreadPool(min(cfg.fit_parallelism, len(found))) as pool:
-        trees = pool.map(inheritable_thread_target(train.sparkSession)(fit), found)
+        trees = pool.map(inheritable_thread_target(bagged.sparkSession)(fit), found)
     return TreeBag(model_id, day, tuple(trees))
 
 

@@ -357,7 +357,7 @@ def _trained(spark: SparkSession, sf_dir: str):
     rows = materialize(asof_hourly(fx.encoded(spark, sf_dir), CFG), "features")
     day = rows.agg(F.max(F.call_function("div", F.col("tx_dhour"), F.lit(24)))).first()[0]
     window = training_days(rows, "delayed", day, CFG).where(F.col("train_day") == day)
-    return rows, day, train_delayed(window, CFG, f"delayed-{day}-0", day)
+    return rows, day, train_delayed(balanced_bags(window, CFG), CFG, f"delayed-{day}-0", day)
 
 
 def _forest(rows: DataFrame, day: int):

@@ -11,13 +11,12 @@ from pyspark.sql import functions as F
 from cardwarden.config import EngineConfig
 from cardwarden.functions.clock import DAY_MS, HOUR_MS, with_time_fields
 from cardwarden.operators import alerts as al
-from cardwarden.operators.bags import delayed_window, recent_window
+from cardwarden.operators.bags import bags_of_history, delayed_window, recent_window
 from cardwarden.operators.encode import Dictionary, encode_id, encode_risk
 from cardwarden.operators.history import (
     batch_cards,
     finished,
     history_stats,
-    latest_per_key,
     of_batch_cards,
 )
 from cardwarden.operators.joins import hot_keys, spread_join
@@ -129,10 +128,8 @@ class Engine:
     def _train(self, kind: str, window: Column, now: Progress, batch_id: int) -> None:
         """Train a delayed model; one without trees changes nothing."""
         model_id = f"{kind}-{now.day}-{batch_id}"
-        stored = self._stored(now, batch_id).where(window)
-        bag = train_delayed(
-            latest_per_key(stored, ["batch_id", "tx_id"]), self.cfg, model_id, now.day
-        )
+        bagged = bags_of_history(self._stored(now, batch_id).where(window), self.cfg)
+        bag = train_delayed(bagged, self.cfg, model_id, now.day)
         if bag is not None:
             self.models.save_bag(bag)
             now.models = live_after([*now.models, model_id], self.cfg)

@@ -71,3 +71,25 @@ def test_training_days_agree_with_the_engine_filters(spark):
             stored = rows.where((hour < 24 * day) & (hour > 24 * day - cfg.history_hours))
             want = {r.tx_id for r in stored.where(window).collect()}
             assert want == {r.tx_id for r in got.where(F.col("train_day") == day).collect()}
+
+
+def test_bags_of_history_take_the_last_write_once(spark):
+    """Copies inside a batch and a second write by a later batch leave one row per key and bag."""
+    import datetime as dt
+
+    from cardwarden.operators.bags import bags_of_history
+
+    base = train(spark, 200, 20).select(
+        "tx_id", "label", F.concat(F.lit("c"), F.col("tx_id") % 9).alias("cardid"),
+        F.col("tx_id").cast("int").alias("tx_dhour"),
+        (F.lit(dt.datetime(2024, 1, 1)) + F.expr("make_interval(0,0,0,0,CAST(tx_id AS INT))")).alias("tx_datetime"),
+        F.lit(0).cast("bigint").alias("batch_id"), F.lit(1.0).alias("tx_amount"),
+    )
+    copies = base.where("tx_id = 3").crossJoin(spark.range(500)).drop("id")
+    again = base.where("tx_id < 5").withColumn("batch_id", F.lit(7).cast("bigint")).withColumn("tx_amount", F.lit(2.0))
+    stored = base.unionByName(copies).unionByName(again)
+    for cfg in (EngineConfig(), EngineConfig(broadcast_rows=3)):
+        got = bags_of_history(stored, cfg)
+        want = summary(balanced_bags(base, cfg))
+        assert summary(got) == want
+        assert got.where("tx_id < 5 AND tx_amount <> 2.0").isEmpty()

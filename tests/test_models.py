@@ -4,11 +4,12 @@ import pytest
 from pyspark.sql import functions as F
 
 from cardwarden.config import EngineConfig
+from cardwarden.operators.bags import balanced_bags
 from cardwarden.operators.models import (
     score,
     score_delayed,
     score_feedback,
-    train_delayed,
+    train_delayed as fit_bags,
     train_feedback,
 )
 from cardwarden.operators.vectors import with_vector
@@ -17,6 +18,10 @@ from cardwarden.schema import FEATURES, NOMINAL_ARITY
 CFG = EngineConfig(n_tree=3, feedback_trees=10, tree_depth=8, fit_parallelism=3)
 
 
+def train_delayed(train, cfg, model_id, day):
+    return fit_bags(balanced_bags(train, cfg), cfg, model_id, day)
+
+
 def rows(spark, genuine, fraud):
     """Frauds have high amounts; every other feature is noise."""
     df = spark.range(genuine + fraud).select(
