@@ -79,7 +79,10 @@ def batch_clocks(rows: DataFrame, origin_ms) -> DataFrame:
 
 
 def _expiry(clocks: DataFrame, cfg: EngineConfig) -> DataFrame:
-    """Per relative hour, the first batch that no longer sees transactions of that hour."""
+    """Per relative hour, the first batch that no longer sees transactions of that hour.
+
+    One row per hour from one row per batch; neither grows with the transactions.
+    """
     order = Window.partitionBy(F.lit(0)).orderBy("batch_seq")
     passed = clocks.select(
         "batch_seq",
@@ -93,7 +96,20 @@ def _expiry(clocks: DataFrame, cfg: EngineConfig) -> DataFrame:
 
 
 def asof_batches(tx: DataFrame, clocks: DataFrame, cfg: EngineConfig) -> DataFrame:
-    """Features for batches of any length and for late rows.
+    """Features of every transaction, for batches of any length and for late rows."""
+    counts, feats = _card_batches(tx, clocks, cfg)
+    return _attach(tx, feats, counts, ["cardid", "batch_seq"], cfg)
+
+
+def card_stats(tx: DataFrame, clocks: DataFrame, cfg: EngineConfig) -> DataFrame:
+    """Features per batch and card, zero for a card without history."""
+    counts, feats = _card_batches(tx, clocks, cfg)
+    keys = ["batch_seq", "cardid"]
+    return counts.select(*keys).join(feats, keys, "left").selectExpr(*keys, *finished())
+
+
+def _card_batches(tx: DataFrame, clocks: DataFrame, cfg: EngineConfig):
+    """The (card, batch) pairs with their number of rows, and their merged statistics.
 
     A stored row is seen by an unbroken run of batches: from the one after its own to the one
     whose clock expires its hour. Each run is cut into aligned blocks of 2^k batches, at most two
@@ -139,18 +155,17 @@ def asof_batches(tx: DataFrame, clocks: DataFrame, cfg: EngineConfig) -> DataFra
         .groupBy("cardid", "k", "at")
         .agg(*merged())
     )
-    counts = materialize(
-        tx.groupBy("cardid", "batch_seq").agg(F.count("*").alias("rows")), "points"
-    )
+    seq = F.col("batch_seq").cast("bigint").alias("batch_seq")
+    counts = materialize(tx.groupBy("cardid", seq).agg(F.count("*").alias("rows")), "points")
     points = counts.select(
         "cardid",
-        F.col("batch_seq").cast("bigint").alias("batch_seq"),
+        "batch_seq",
         F.explode(F.sequence(F.lit(0), F.lit(levels - 1))).alias("k"),
     ).withColumn("at", F.expr("shiftright(batch_seq, k)"))
     feats = (
         points.join(nodes, ["cardid", "k", "at"]).groupBy("cardid", "batch_seq").agg(*merged())
     )
-    return _attach(tx, feats, counts, ["cardid", "batch_seq"], cfg)
+    return counts, feats
 
 
 def _upserts(tx: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cardwarden.config import EngineConfig
+from cardwarden.operators.joins import spread_join
 from cardwarden.schema import AMOUNT_STATS, AREA_STATS, HISTORY_KEY, LAST_TX
 
 # What the features need from a stored transaction.
@@ -142,10 +143,21 @@ def batch_cards(batch: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     return batch.groupBy(*by, "cardid").agg(F.count("*").cast("bigint").alias("batch_rows"))
 
 
-def of_batch_cards(history: DataFrame, cards: DataFrame, small: bool) -> DataFrame:
-    """History of the batch's cards only; the cards are broadcast if they were counted as few."""
-    keys = cards.select("cardid")
-    return history.join(F.broadcast(keys) if small else keys, "cardid", "left_semi")
+def of_batch_cards(
+    history: DataFrame,
+    cards: DataFrame,
+    small: bool,
+    hot: DataFrame | None = None,
+    by: tuple[str, ...] = (),
+) -> DataFrame:
+    """History of the batch's cards only, before anything is aggregated.
+
+    Cards counted as few are broadcast; else both sides are shuffled, the ``hot`` cards salted.
+    """
+    keys = [*by, "cardid"]
+    if small:
+        return history.join(F.broadcast(cards.select(*keys)), keys, "left_semi")
+    return spread_join(history, cards.select(*keys), keys, "tx_id", hot, "left_semi")
 
 
 def history_stats(history: DataFrame) -> DataFrame:

@@ -10,10 +10,16 @@ from pyspark.sql import functions as F
 from cardwarden.functions.clock import with_time_fields
 from cardwarden.functions.scores import ensemble, mean_of
 from cardwarden.operators import alerts as al
-from cardwarden.operators.asof import asof_batches, asof_hourly, batch_clocks
+from cardwarden.operators.asof import asof_batches, asof_hourly, batch_clocks, card_stats
 from cardwarden.operators.bags import balanced_bags, training_days
 from cardwarden.operators.encode import encode_id, encode_risk
-from cardwarden.operators.history import HISTORY_COLUMNS, batch_cards, latest_per_key
+from cardwarden.operators.history import (
+    HISTORY_COLUMNS,
+    batch_cards,
+    latest_per_key,
+    of_batch_cards,
+)
+from cardwarden.operators.joins import fits_broadcast, hot_keys, spread_join
 from cardwarden.operators.models import (
     score_delayed,
     score_feedback,
@@ -132,6 +138,11 @@ def _daily(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fx.encoded(spark, sf_dir).withColumn("batch_seq", day)
 
 
+def _daily_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _daily(spark, sf_dir)
+    return card_stats(rows, batch_clocks(rows, fx.origin_ms(rows)), CFG)
+
+
 def _replayed(rows: DataFrame) -> DataFrame:
     return asof_batches(rows, batch_clocks(rows, fx.origin_ms(rows)), CFG)
 
@@ -155,20 +166,24 @@ def history_semi(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.sequence(F.col("own"), F.floor(last)), lambda d: d > F.col("own")
         ))
     ).drop("own")
-    cards = rows.select(F.col("own").alias("batch_seq"), "cardid").distinct()
-    return seen.join(cards, ["batch_seq", "cardid"], "left_semi")
+    by_day = rows.withColumnRenamed("own", "batch_seq")
+    cards = materialize(batch_cards(by_day, by=("batch_seq",)), "cards")
+    few = fits_broadcast(cards, CFG.broadcast_rows)
+    keys = ["batch_seq", "cardid"]
+    hot = None if few else hot_keys(cards, keys, "batch_rows", CFG.hot_rows, CFG.broadcast_rows)
+    return of_batch_cards(seen, cards, few, hot, by=("batch_seq",))
 
 @query("amount_stats")
 def amount_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _replayed(_daily(spark, sf_dir)).select("batch_seq", "cardid", *AMOUNT_STATS).distinct()
+    return _daily_stats(spark, sf_dir).select("batch_seq", "cardid", *AMOUNT_STATS)
 
 @query("area_stats")
 def area_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _replayed(_daily(spark, sf_dir)).select("batch_seq", "cardid", *AREA_STATS).distinct()
+    return _daily_stats(spark, sf_dir).select("batch_seq", "cardid", *AREA_STATS)
 
 @query("last_tx")
 def last_tx(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _replayed(_daily(spark, sf_dir)).select("batch_seq", "cardid", *LAST_TX).distinct()
+    return _daily_stats(spark, sf_dir).select("batch_seq", "cardid", *LAST_TX)
 
 @query("asof_features")
 def asof_features(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -230,8 +245,10 @@ def _late(rows: DataFrame) -> DataFrame:
 def late_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Late and expired rows against the clock of the batch they arrive in."""
     rows = _late(fx.tx(spark, sf_dir))
-    clocks = batch_clocks(rows, fx.origin_ms(rows)).select("batch_seq", "clock_hour")
-    return rows.join(clocks, "batch_seq").select(
+    clocks = materialize(batch_clocks(rows, fx.origin_ms(rows)), "clocks")
+    hot = hot_keys(clocks, ["batch_seq"], "n_rows", CFG.hot_rows, CFG.broadcast_rows)
+    hours = clocks.select("batch_seq", "clock_hour")
+    return spread_join(rows, hours, ["batch_seq"], "tx_id", hot, "inner").select(
         "tx_id",
         "batch_seq",
         "tx_dhour",
@@ -296,7 +313,7 @@ def score_default(spark: SparkSession, sf_dir: str) -> DataFrame:
     return unscored(fx.tx(spark, sf_dir).select("tx_id", "cardid"), CFG)
 
 
-def _votes(rows: DataFrame, model: int) -> list:
+def _votes(model: int) -> list:
     """Ten made-up votes per model, as exact thousandths."""
     return [
         ((F.col("tx_id") * (37 + 20 * model + 2 * tree)) % 1000).cast("double") / F.lit(1000.0)
@@ -307,7 +324,7 @@ def _votes(rows: DataFrame, model: int) -> list:
 def vote_average(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mean over trees, then over two live models."""
     rows = fx.tx(spark, sf_dir).select("tx_id")
-    means = rows.select("tx_id", *[mean_of(_votes(rows, m)).alias(f"pd_{m}") for m in (0, 1)])
+    means = rows.select("tx_id", *[mean_of(_votes(m)).alias(f"pd_{m}") for m in (0, 1)])
     return means.withColumn("pd", mean_of([F.col("pd_0"), F.col("pd_1")]))
 
 @query("ensemble_score")
@@ -405,5 +422,5 @@ def score_feedback_model(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("stream_replay")
 def stream_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The whole stream through the engine in five-day batches; one row per committed batch."""
-    return replay(spark, sf_dir, CFG, hours_per_batch=120).batch_metrics()
+    """The whole stream through the engine in ten-day batches; one row per committed batch."""
+    return replay(spark, sf_dir, CFG, hours_per_batch=240).batch_metrics()

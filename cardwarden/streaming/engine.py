@@ -19,7 +19,7 @@ from cardwarden.operators.history import (
     history_stats,
     of_batch_cards,
 )
-from cardwarden.operators.joins import hot_keys, spread_join
+from cardwarden.operators.joins import fits_broadcast, hot_keys, spread_join
 from cardwarden.operators.models import score, train_delayed, train_feedback
 from cardwarden.operators.parse import accepted, parse_lines, rejects
 from cardwarden.plans.schedule import day_plan, live_after
@@ -153,14 +153,14 @@ class Engine:
             joined = rows.join(F.broadcast(stats), "cardid", "left")
         else:
             cards = materialize(cards, "cards")
-            few = cards.count() <= self.cfg.broadcast_rows
-            stats = history_stats(of_batch_cards(stored, cards, small=few))
+            few = fits_broadcast(cards, self.cfg.broadcast_rows)
+            hot = None if few else hot_keys(
+                cards, ["cardid"], "batch_rows", self.cfg.hot_rows, self.cfg.broadcast_rows
+            )
+            stats = history_stats(of_batch_cards(stored, cards, few, hot))
             if few:
                 joined = rows.join(F.broadcast(stats), "cardid", "left")
             else:
-                hot = hot_keys(
-                    cards, ["cardid"], "batch_rows", self.cfg.hot_rows, self.cfg.broadcast_rows
-                )
                 joined = spread_join(rows, stats, ["cardid"], "tx_id", hot)
         return joined.selectExpr(*rows.columns, *finished())
 

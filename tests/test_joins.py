@@ -68,3 +68,16 @@ def test_large_dictionary_is_joined_without_broadcast(spark):
     got = encode_risk(rows, big, cfg)
     want = encode_risk(rows, Dictionary(entries, True), cfg).select(got.columns)
     assert got.exceptAll(want).isEmpty() and got.count() == 500
+
+
+def test_history_of_many_cards_is_salted(spark):
+    from cardwarden.operators.history import of_batch_cards
+
+    rows, _ = sides(spark)
+    history = rows.withColumnRenamed("key", "cardid")
+    cards = history.where("cardid IN ('hot', 'k4', 'k5')").groupBy("cardid").agg(F.count("*").alias("n"))
+    hot = hot_keys(cards, ["cardid"], "n", 100, 10)
+    got = of_batch_cards(history, cards, False, hot)
+    want = of_batch_cards(history, cards, True)
+    assert got.columns == want.columns
+    assert got.exceptAll(want).isEmpty() and got.count() == want.count() > 0
