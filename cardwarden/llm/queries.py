@@ -8,9 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 from cardwarden.llm.compression import compression_bands
 from cardwarden.llm.decontaminate import find_leaks
+from cardwarden.llm.lattice import lattice_scores
 from cardwarden.llm.licenses import scan_licenses
+from cardwarden.llm.line_crf import line_quality
+from cardwarden.llm.mixing import mix_documents
 from cardwarden.llm.near_dedup import near_duplicates
 from cardwarden.llm.substring_dedup import remove_repeats
+from cardwarden.llm.toxicity import score_toxicity
 from cardwarden.llm.url_filter import filter_urls
 from cardwarden.llm.words import read_table
 
@@ -43,6 +47,24 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(read_table(spark, sf_dir, "documents"))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents that the chain rejects, with their probabilities."""
+    docs, labels = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")
+    return score_toxicity(docs, labels)
+
+
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_documents(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
+def op7_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice_scores(read_table(spark, sf_dir, "documents"))
+
+
+def op8_line_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_quality(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(read_table(spark, sf_dir, "documents"))
 
@@ -53,5 +75,8 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_compression, op2_url_filter, op3_near_dedup, op4_substring_dedup, op9_licenses, op10_decontaminate)
+    for f in (
+        op1_compression, op2_url_filter, op3_near_dedup, op4_substring_dedup, op5_toxicity,
+        op6_mixing, op7_lattice, op8_line_crf, op9_licenses, op10_decontaminate,
+    )
 }
