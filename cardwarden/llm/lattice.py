@@ -15,18 +15,20 @@ from __future__ import annotations
 import math
 from collections import Counter, defaultdict
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from cardwarden.llm.substring_dedup import mix
 from cardwarden.llm.words import id_remainder, record_batch, slim
 from cardwarden.session import materialize
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 MARK, END = "▁", "</s>"
 #: Rounds of expectation maximisation, and the count that every piece gets in advance.
-ROUNDS, PRIOR = 2, 0.1
+ROUNDS, PRIOR = 3, 0.1
 #: At most this many frequent words are broadcast.
 FREQUENT = 200_000
 HELD_OUT_MODULUS, HELD_OUT = 7, 2
@@ -49,77 +51,115 @@ def load_pieces(path: str = VOCABULARY) -> dict[str, float]:
     return {n: math.log(w / total) for n, w in weight.items()}
 
 
-def log_sum(terms: list[float]) -> float:
-    if len(terms) == 1:
-        return terms[0]
-    top = max(terms)
-    return top + math.log(sum([math.exp(t - top) for t in terms]))
-
-
 class Lattice:
-    """All segmentations of a word into pieces, with their natural log-probabilities."""
+    """All segmentations of words into pieces, for many words of one length at a time.
+
+    Scores are natural logarithms. A character that is no piece falls back to its bytes' pieces.
+    """
 
     def __init__(self, pieces: dict[str, float]):
-        self.pieces = {p: s for p, s in pieces.items() if not (p.startswith("<0x") or p == END)}
+        names = [p for p in pieces if not (p.startswith("<0x") or p == END)]
+        self.names, self.end = names, pieces[END]
         self.bytes = [pieces.get(f"<0x{b:02X}>", NO_PIECE) for b in range(256)]
-        self.end = pieces[END]
-        self.prefixes = {p[:k] for p in self.pieces for k in range(1, len(p) + 1)}
-
-    def edges(self, text: str) -> list[list[tuple[int, float, str]]]:
-        """For each place: (end, score, piece). A character that is no piece falls back to bytes."""
-        out, n = [], len(text)
-        pieces, prefixes = self.pieces, self.prefixes
-        for i in range(n):
-            here = []
-            for j in range(i + 1, n + 1):
-                part = text[i:j]
-                if part not in prefixes:
-                    break
-                if part in pieces:
-                    here.append((j, pieces[part], part))
-            if not here or here[0][0] != i + 1:
-                here.append((i + 1, sum(self.bytes[b] for b in text[i].encode("utf-8", "replace")), ""))
-            out.append(here)
+        self.longest = max(map(len, names), default=1)
+        keys = np.zeros(len(names), np.uint64)
+        for size in {len(p) for p in names}:
+            of_size = [i for i, p in enumerate(names) if len(p) == size]
+            chars = np.array([[ord(c) for c in names[i]] for i in of_size], np.uint64)
+            key = np.zeros(len(of_size), np.uint64)
+            for k in range(size):
+                key = self._longer(key, chars[:, k])
+            keys[of_size] = key
+        order = np.argsort(keys)
+        self.keys, self.ids = keys[order], order
+        self.maybe = np.zeros(1 << 20, bool)  # rules out most substrings before the search
+        self.maybe[keys >> np.uint64(44)] = True
+        self.scores = np.array([pieces[p] for p in names])
+
+    @staticmethod
+    def _longer(key: np.ndarray, char: np.ndarray) -> np.ndarray:
+        """The key of a string that is one character longer."""
+        with np.errstate(over="ignore"):
+            return mix(key * np.uint64(0x100000001B3) + char)
+
+    def _fallback(self, char: int) -> float:
+        return sum(self.bytes[b] for b in chr(char).encode("utf-8", "replace"))
+
+    def edges(self, chars: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each length k: (ids, scores) of the pieces at every place; -1 and -inf for none."""
+        out = []
+        n = chars.shape[1]
+        key = np.zeros(chars.shape, np.uint64)
+        for k in range(1, min(self.longest, n) + 1):
+            key = self._longer(key[:, : n - k + 1], chars[:, k - 1 :])
+            ids = np.full(key.shape, -1)
+            scores = np.full(key.shape, -np.inf)
+            row, col = np.nonzero(self.maybe[key >> np.uint64(44)])
+            found = key[row, col]
+            at = np.minimum(np.searchsorted(self.keys, found), len(self.keys) - 1)
+            hit = self.keys[at] == found
+            row, col, piece = row[hit], col[hit], self.ids[at[hit]]
+            ids[row, col], scores[row, col] = piece, self.scores[piece]
+            if k == 1 and len(piece) < key.size:
+                missing = ids < 0
+                odd, where = np.unique(chars[missing], return_inverse=True)
+                scores[missing] = np.array([self._fallback(int(c)) for c in odd])[where]
+            out.append((ids, scores))
         return out
 
-    def forward(self, edges) -> list[float]:
-        coming: list[list[float]] = [[] for _ in range(len(edges) + 1)]
-        coming[0] = [0.0]
-        alpha = []
-        for i, here in enumerate(edges):
-            a = log_sum(coming[i])
-            alpha.append(a)
-            for j, score, _ in here:
-                coming[j].append(a + score)
-        alpha.append(log_sum(coming[-1]))
+    @staticmethod
+    def _sum(terms: list[np.ndarray]) -> np.ndarray:
+        if len(terms) == 1:
+            return terms[0]
+        stack = np.stack(terms)
+        top = stack.max(0)
+        return top + np.log(np.exp(stack - top).sum(0))
+
+    def forward(self, edges, n: int, rows: int) -> np.ndarray:
+        alpha = np.zeros((n + 1, rows))
+        for j in range(1, n + 1):
+            alpha[j] = self._sum([alpha[j - k] + edges[k - 1][1][:, j - k] for k in range(1, min(j, len(edges)) + 1)])
         return alpha
 
-    def log_probability(self, word: bytes) -> float:
-        """Natural logarithm of the word's marginal probability; the end token is b''."""
-        if not word:
-            return self.end
-        return self.forward(self.edges(MARK + word.decode("utf-8", "replace")))[-1]
-
-    def expect(self, word: bytes, n: int, into: dict[str, float]) -> None:
-        """Add ``n`` times the expected number of uses of each piece in the word."""
-        if not word:
-            into[END] += n
-            return
-        text = MARK + word.decode("utf-8", "replace")
-        edges = self.edges(text)
-        alpha = self.forward(edges)
-        beta = [0.0] * (len(edges) + 1)
-        for i in range(len(edges) - 1, -1, -1):
-            beta[i] = log_sum([s + beta[j] for j, s, _ in edges[i]])
-        total = alpha[-1]
-        for i, here in enumerate(edges):
-            for j, score, piece in here:
-                weight = n * math.exp(alpha[i] + score + beta[j] - total)
-                if piece:
-                    into[piece] += weight
-                else:
-                    for b in text[i].encode("utf-8", "replace"):
-                        into[f"<0x{b:02X}>"] += weight
+    @staticmethod
+    def by_length(words: list[bytes]):
+        """(places in ``words``, code points) of the words of each length, the end left out."""
+        groups: dict[int, list[int]] = defaultdict(list)
+        texts = [MARK + w.decode("utf-8", "replace") for w in words]
+        for i, w in enumerate(words):
+            if w:
+                groups[len(texts[i])].append(i)
+        for size, places in sorted(groups.items()):
+            for k in range(0, len(places), max(1, 200_000 // size)):
+                part = places[k : k + max(1, 200_000 // size)]
+                flat = "".join([texts[i] for i in part]).encode("utf-32-le", "surrogatepass")
+                yield np.array(part), np.frombuffer(flat, np.uint32).reshape(len(part), size).astype(np.uint64)
+
+    def log_probabilities(self, words: list[bytes]) -> np.ndarray:
+        """Natural logarithm of each word's marginal probability; the end token is b''."""
+        out = np.full(len(words), self.end)
+        for places, chars in self.by_length(words):
+            out[places] = self.forward(self.edges(chars), chars.shape[1], len(places))[-1]
+        return out
+
+    def expect(self, words: list[bytes], counts: np.ndarray, into: np.ndarray, bytes_into: np.ndarray) -> None:
+        """Add the expected uses of each piece, and of bytes, in words that occur ``counts`` times."""
+        for places, chars in self.by_length(words):
+            edges, n = self.edges(chars), chars.shape[1]
+            alpha = self.forward(edges, n, len(places))
+            beta = np.zeros((n + 1, len(places)))
+            for i in range(n - 1, -1, -1):
+                beta[i] = self._sum([edges[k - 1][1][:, i] + beta[i + k] for k in range(1, min(n - i, len(edges)) + 1)])
+            times = counts[places]
+            for k, (ids, scores) in enumerate(edges, 1):
+                use = np.exp(alpha[: n - k + 1].T + scores + beta[k:].T - alpha[-1][:, None]) * times[:, None]
+                known = ids >= 0
+                into += np.bincount(ids[known], weights=use[known], minlength=len(into))
+                if k == 1 and not known.all():
+                    odd, where = np.unique(chars[~known], return_inverse=True)
+                    for c, total in zip(odd, np.bincount(where, weights=use[~known])):
+                        for b in chr(int(c)).encode("utf-8", "replace"):
+                            bytes_into[b] += total
 
 
 def count_words(docs: DataFrame) -> DataFrame:
@@ -150,11 +190,15 @@ def fit_pieces(words: DataFrame, pieces: dict[str, float], rounds: int = ROUNDS)
         sent = sc.broadcast(pieces)
 
         def run(batches, sent=sent):
-            lattice, into = Lattice(sent.value), defaultdict(float)
+            lattice = Lattice(sent.value)
+            into, from_bytes, ends = np.zeros(len(lattice.names)), np.zeros(256), 0.0
             for batch in batches:
-                for word, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                    lattice.expect(word, n, into)
-            yield record_batch(sorted(into.items()), arrow)
+                found, n = batch.column(0).to_pylist(), np.array(batch.column(1).to_pylist(), float)
+                lattice.expect(found, n, into, from_bytes)
+                ends += sum(c for w, c in zip(found, n) if not w)
+            rows = [(p, u) for p, u in zip(lattice.names, into.tolist()) if u]
+            rows += [(f"<0x{b:02X}>", u) for b, u in enumerate(from_bytes.tolist()) if u]
+            yield record_batch([*rows, (END, ends)], arrow)
 
         summed = words.where("n > 0").select("word", "n").mapInArrow(run, out).groupBy("piece").agg(F.sum("uses").alias("uses"))
         uses = {r["piece"]: r["uses"] for r in summed.collect()}
@@ -234,7 +278,7 @@ def _with_scores(counted: DataFrame, pieces: dict[str, float]) -> DataFrame:
         lattice = Lattice(sent.value)
         for batch in batches:
             word, n, n_all = (batch.column(i).to_pylist() for i in range(3))
-            yield record_batch([(w, a, b, lattice.log_probability(w)) for w, a, b in zip(word, n, n_all)], arrow)
+            yield record_batch(list(zip(word, n, n_all, lattice.log_probabilities(word).tolist())), arrow)
 
     return counted.select("word", "n", "n_all").mapInArrow(run, out)
 

@@ -108,7 +108,7 @@ def choose_features(rows: DataFrame, target: str, chosen: int = CHOSEN, least: i
     p, q = (F.col("pos") + 0.5) / (n_pos + 1.0), (F.col("neg") + 0.5) / (n_neg + 1.0)
     spread = F.sqrt(p * (1 - p) / n_pos + q * (1 - q) / n_neg)
     z = F.abs(p - q) / spread
-    best = counted.where("key <> -1").select("key", z.alias("z")).where("z > 4").orderBy(F.desc("z"), "key").limit(chosen)
+    best = counted.where("key <> -1").select("key", z.alias("z")).where("z > 3").orderBy(F.desc("z"), "key").limit(chosen)
     return [r["key"] for r in best.collect()]
 
 
