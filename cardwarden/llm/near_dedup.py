@@ -15,8 +15,10 @@ their rarest shingles, where every linked pair must meet, so no bucket emits all
 from __future__ import annotations
 
 import hashlib
+from functools import reduce
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -31,7 +33,7 @@ from cardwarden.session import materialize
 BINS, ROWS = 128, 4
 THRESHOLD_PERCENT = 80
 #: Rounds of single proposals before the rest is listed; they only save verifications.
-PROPOSALS = 3
+PROPOSALS = 2
 #: Members of a bucket above which its remaining pairs go through rare shingles.
 CROWDED = 64
 #: Lists of ids up to this length are broadcast (16 bytes an entry), longer ones are shuffled.
@@ -131,16 +133,15 @@ class _Finder:
         return self.docs.mapInArrow(run, out)
 
     def verified(self, pairs: DataFrame, texts: DataFrame) -> DataFrame:
-        """Those of ``pairs`` (a, b) whose full sets are linked."""
+        """Those rows of the written table ``pairs`` (a, b, ...) whose full sets are linked."""
         size, percent = self.size, self.percent
-        pairs = materialize(pairs.select("a", "b"), "pairs")
         hinted = self._hint(pairs)
         left = hinted.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a")
         if hinted is not pairs:
             ends = F.broadcast(pairs.select(F.col("b").alias("doc_id")).distinct())
             texts = texts.join(ends, "doc_id", "left_semi")
-        both = left.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b").select("a", "b", "ta", "tb")
-        schema = pairs.schema
+        both = left.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b").select(*pairs.columns, "ta", "tb")
+        schema, names, n = pairs.schema, pairs.columns, len(pairs.columns)
         arrow = to_arrow_schema(schema)
 
         def run(batches):
@@ -155,11 +156,11 @@ class _Finder:
                 return recent[text]
 
             for batch in batches:
-                a, b, ta, tb = (batch.column(i).to_pylist() for i in range(4))
-                rows = [(x, y) for x, y, s, t in zip(a, b, ta, tb) if linked(items(s), items(t), percent)]
-                yield record_batch(rows, arrow)
+                yes = [linked(items(s), items(t), percent) for s, t in zip(batch.column(n).to_pylist(), batch.column(n + 1).to_pylist())]
+                kept = batch.select(names).filter(pa.array(yes, pa.bool_()))
+                yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(kept.columns, arrow)], schema=arrow)
 
-        return materialize(both.mapInArrow(run, schema).distinct(), "links-of-round")
+        return materialize(both.mapInArrow(run, schema), "links-of-round")
 
     def _ratio(self) -> F.Column:
         return 100 * F.least("na", "nb") >= self.percent * F.greatest("na", "nb")
@@ -171,10 +172,11 @@ class _Finder:
         first = live.groupBy("key").agg(F.min(F.struct(order.alias("o"), F.col("doc").alias("mate"), F.col("n").alias("nb"), F.col("comp").alias("mc"))).alias("f"))
         first = first.select("key", "f.mate", "f.nb", "f.mc")
         seen = live.withColumnRenamed("n", "na").join(first, "key").where((F.col("comp") != F.col("mc")) & self._ratio())
-        shared = seen.groupBy("doc", "mate").agg(F.count("*").alias("k"))
-        best = shared.groupBy("doc").agg(F.max(F.struct("k", (-F.col("mate")).alias("m"))).alias("x"))
+        shared = seen.groupBy("doc", "mate", "comp", "mc").agg(F.count("*").alias("k"))
+        best = shared.groupBy("doc").agg(F.max(F.struct("k", (-F.col("mate")).alias("m"), "comp", "mc")).alias("x"))
         mate = -F.col("x.m")
-        return best.select(F.least("doc", mate).alias("a"), F.greatest("doc", mate).alias("b")).distinct()
+        ends = [F.col("doc").alias("a"), mate.alias("b"), F.col("x.comp").alias("ca"), F.col("x.mc").alias("cb")]
+        return best.select(*ends)
 
     def remaining(self, live: DataFrame, texts: DataFrame) -> DataFrame:
         """Every pair that shares a bucket across components and may be linked, by full listing in
@@ -223,9 +225,17 @@ class _Finder:
         return ranked.select("doc", "n", "comp", F.explode(cut).alias("i")).select("doc", "n", "comp", F.col("i.shingle").alias("shingle"))
 
 
-def _moved(live: DataFrame, found: DataFrame) -> DataFrame:
-    moved = live.join(found.select(F.col("node").alias("comp"), F.col("component").alias("to")), "comp", "left")
-    return moved.select("key", "doc", "n", F.coalesce("to", "comp").alias("comp"))
+def _merged(live: DataFrame, links: DataFrame) -> DataFrame:
+    """``live`` after the new links (ca, cb) joined components, followed for two steps.
+
+    Long chains of components may stay in parts until the end; that costs verifications, no links.
+    """
+    up = links.select(F.greatest("ca", "cb").alias("comp"), F.least("ca", "cb").alias("to"))
+    up = materialize(up.groupBy("comp").agg(F.min("to").alias("to")), "merged")
+    again = up.select(F.col("comp").alias("to"), F.col("to").alias("far"))
+    up = up.join(again, "to", "left").select("comp", F.coalesce("far", "to").alias("to"))
+    moved = live.join(up, "comp", "left")
+    return materialize(moved.select("key", "doc", "n", F.coalesce("to", "comp").alias("comp")), "buckets")
 
 
 def near_duplicates(
@@ -237,11 +247,10 @@ def near_duplicates(
     broadcast_ids: int = BROADCAST_IDS,
     crowded: int = CROWDED,
 ) -> DataFrame:
-    """Per row: doc_id, n_shingles, component_id, n_links, kept.
+    """Per row: doc_id, n_shingles, component_id, kept.
 
     ``component_id`` is the least id reachable over links; ``kept`` is true where it is the row's
-    own. ``n_links`` counts verified links of the row's class, which are enough to connect its
-    component, not all pairs. Null, empty and wordless texts have no shingles and are linked with
+    own. Null, empty and wordless texts have no shingles and are linked with
     nothing. Rows with a null id are linked with nothing and kept, with a null component. Repeated
     rows get a row each with one component. Ids must be integers; other columns are not read.
     """
@@ -249,58 +258,50 @@ def near_duplicates(
     finder = _Finder(rows, size, percent, broadcast_ids, crowded)
     marked = materialize(finder.sketches(), "sketches")
     usable = marked.where("n_shingles > 0 and doc_id is not null")
-    classes = materialize(usable.groupBy("print").agg(F.min("doc_id").alias("doc")), "classes")
-    reps = usable.join(classes.select("print", F.col("doc").alias("doc_id")), ["print", "doc_id"], "left_semi")
-    reps = reps.dropDuplicates(["print", "doc_id"])
-    keyed = reps.select(F.explode("bands").alias("key"), F.col("doc_id").alias("doc"), F.col("n_shingles").alias("n"))
+    # Rows of a class have one set, so one sketch.
+    classes = usable.groupBy("print").agg(F.min("doc_id").alias("doc"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"))
+    classes = materialize(classes, "classes")
+    keyed = classes.select(F.explode("bands").alias("key"), "doc", "n")
     shared = keyed.groupBy("key").agg(F.count("*").alias("k")).where("k > 1").select("key")
     live = materialize(keyed.join(shared, "key", "left_semi").withColumn("comp", F.col("doc")), "buckets")
 
     ids = live.select(F.col("doc").alias("doc_id")).distinct()
     texts = rows.where("doc_id is not null").join(finder._hint(materialize(ids, "candidates")), "doc_id", "left_semi")
     texts = materialize(texts, "candidate-texts")
-    links, tested = [], []
+    links: list[DataFrame] = []
+    tested: list[DataFrame] = []
     for turn in range(PROPOSALS):
         pairs = finder.proposals(live, turn)
         if tested:
-            pairs = pairs.join(tested[0] if len(tested) == 1 else tested[0].union(tested[1]), ["a", "b"], "left_anti")
+            pairs = pairs.join(_both_ways(tested), ["a", "b"], "left_anti")
         pairs = materialize(pairs, "proposed")
         if not _some(pairs):
             break
         tested.append(pairs)
-        new = finder.verified(pairs, texts)
-        links.append(new)
-        live = _merge(live, new)
-    known = links[0].sparkSession.createDataFrame([], "a long, b long") if not tested else tested[0]
-    for more in tested[1:]:
-        known = known.union(more)
-    rest = finder.remaining(live, texts).distinct().join(known, ["a", "b"], "left_anti") if tested else None
-    if rest is not None:
-        links.append(finder.verified(rest, texts))
-    return _result(marked, classes, links, rows)
-
-
-def _merge(live: DataFrame, links: DataFrame) -> DataFrame:
-    """``live`` with the components that the new links join."""
-    comp = live.select(F.col("doc").alias("node"), "comp").distinct()
-    ends = links.join(comp.select(F.col("node").alias("a"), F.col("comp").alias("ca")), "a").join(comp.select(F.col("node").alias("b"), F.col("comp").alias("cb")), "b")
-    found = connected_components(ends.select(F.col("ca").alias("a"), F.col("cb").alias("b")))
-    return materialize(_moved(live, found), "buckets")
-
-
-def _result(marked: DataFrame, classes: DataFrame, links: list[DataFrame], rows: DataFrame) -> DataFrame:
-    spark = rows.sparkSession
-    all_links = links[0] if links else spark.createDataFrame([], "a long, b long")
-    for more in links[1:]:
-        all_links = all_links.union(more)
-    found = connected_components(all_links)
-    ends = all_links.select("a").union(all_links.select(F.col("b").alias("a")))
-    degree = ends.groupBy("a").agg(F.count("*").alias("n_links")).withColumnRenamed("a", "node")
-    of_class = classes.join(found.withColumnRenamed("node", "doc"), "doc", "left").join(degree.withColumnRenamed("node", "doc"), "doc", "left")
-    of_class = of_class.select("print", F.coalesce("component", "doc").alias("component"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+        links.append(finder.verified(pairs, texts))
+        live = _merged(live, links[-1])
+    if tested:
+        rest = finder.remaining(live, texts).distinct().join(_both_ways(tested), ["a", "b"], "left_anti")
+        links.append(finder.verified(materialize(rest, "remaining"), texts))
+    return _result(marked, classes, links)
+
+
+def _both_ways(tested: list[DataFrame]) -> DataFrame:
+    pairs = reduce(DataFrame.union, [t.select("a", "b") for t in tested])
+    return pairs.union(pairs.select("b", "a"))
+
+
+def _result(marked: DataFrame, classes: DataFrame, links: list[DataFrame]) -> DataFrame:
+    of_class = classes.select("print", "doc")
+    if links:
+        found = connected_components(reduce(DataFrame.union, [x.select("a", "b") for x in links]))
+        of_class = of_class.join(found.withColumnRenamed("node", "doc"), "doc", "left")
+    else:
+        of_class = of_class.withColumn("component", F.col("doc"))
+    of_class = of_class.select("print", F.coalesce("component", "doc").alias("component_id"))
     linked_rows = marked.where("n_shingles > 0 and doc_id is not null").select("doc_id", "n_shingles", "print").join(of_class, "print")
-    linked_rows = linked_rows.select("doc_id", "n_shingles", F.col("component").alias("component_id"), "n_links")
-    alone = marked.where("n_shingles = 0 or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(0).cast("long").alias("n_links"))
+    linked_rows = linked_rows.select("doc_id", "n_shingles", "component_id")
+    alone = marked.where("n_shingles = 0 or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return linked_rows.union(alone).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
