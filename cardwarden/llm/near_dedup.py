@@ -8,8 +8,8 @@ bin with the similarity of the sets, with the concentration of independent minim
 Links: texts with one shingle set form a class. A class joins the bucket of each of its bands. In
 a few rounds every class proposes one bucket mate of another component, proposals are verified on
 full sets, and components merge; so a group of n near copies costs about n verifications. What then
-still shares a bucket across components is verified pair by pair. Crowded buckets do this through
-their rarest shingles, where every linked pair must meet, so no bucket emits all of its pairs.
+still shares a bucket across components is verified pair by pair; in crowded buckets, members
+outside the largest component are compared with all members in blocks that emit links only.
 """
 
 from __future__ import annotations
@@ -34,8 +34,8 @@ BINS, ROWS = 128, 4
 THRESHOLD_PERCENT = 80
 #: Rounds of single proposals before the rest is listed; they only save verifications.
 PROPOSALS = 2
-#: Members of a bucket above which its remaining pairs go through rare shingles.
-CROWDED = 64
+#: Members of a bucket above which its remaining pairs are compared in blocks of this size.
+CROWDED, BLOCK = 64, 512
 #: Lists of ids up to this length are broadcast (16 bytes an entry), longer ones are shuffled.
 BROADCAST_IDS = 1_000_000
 
@@ -167,8 +167,8 @@ class _Finder:
 
     def proposals(self, live: DataFrame, turn: int) -> DataFrame:
         """One pair for each class at most: with a mate of another component that it shares most
-        buckets with. The mate of a bucket is its first member in an order that turns change."""
-        order = F.col("doc") if turn == 0 else F.xxhash64("doc", F.lit(turn))
+        buckets with. The mate of a bucket is its most central member, in later turns any."""
+        order = F.struct(-F.col("central"), F.col("doc")) if turn == 0 else F.xxhash64("doc", F.lit(turn))
         first = live.groupBy("key").agg(F.min(F.struct(order.alias("o"), F.col("doc").alias("mate"), F.col("n").alias("nb"), F.col("comp").alias("mc"))).alias("f"))
         first = first.select("key", "f.mate", "f.nb", "f.mc")
         seen = live.withColumnRenamed("n", "na").join(first, "key").where((F.col("comp") != F.col("mc")) & self._ratio())
@@ -178,22 +178,68 @@ class _Finder:
         ends = [F.col("doc").alias("a"), mate.alias("b"), F.col("x.comp").alias("ca"), F.col("x.mc").alias("cb")]
         return best.select(*ends)
 
-    def remaining(self, live: DataFrame, texts: DataFrame) -> DataFrame:
-        """Every pair that shares a bucket across components and may be linked, by full listing in
-        small buckets and through rare shingles in crowded ones."""
+    def with_centrality(self, live: DataFrame) -> DataFrame:
+        """``live`` with the members of all buckets that a class is in. The text that a group's
+        copies come from shares buckets with most of them, so it is the mate to try first."""
+        sizes = live.groupBy("key").agg(F.count("*").alias("k"))
+        central = live.join(sizes, "key").groupBy("doc").agg(F.sum("k").alias("central"))
+        return live.join(central, "doc").select("key", "doc", "n", "comp", "central")
+
+    def remaining(self, live: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """What still shares a bucket across components: all pairs of small buckets, as (a, b),
+        and the rows of crowded buckets, with each bucket's largest component as ``top``."""
         per = live.groupBy("key", "comp").agg(F.count("*").alias("k"))
         kinds = per.groupBy("key").agg(F.max(F.struct("k", "comp")).alias("top"), F.count("*").alias("comps"), F.sum("k").alias("size"))
         kinds = kinds.where("comps > 1").select("key", F.col("top.comp").alias("top"), "size")
         mixed = materialize(live.join(kinds, "key"), "mixed")
-        small = self._across(mixed.where(F.col("size") <= self.crowded), ["key"])
-        big = mixed.where(F.col("size") > self.crowded).select("doc", "n", "comp").distinct()
-        big = materialize(big, "crowded")
-        if not _some(big):
-            return small
-        rare = self._rare_prefixes(big, texts)
-        top = rare.groupBy("shingle", "comp").agg(F.count("*").alias("k")).groupBy("shingle").agg(F.max(F.struct("k", "comp")).alias("t"), F.count("*").alias("comps"))
-        rare = rare.join(top.where("comps > 1").select("shingle", F.col("t.comp").alias("top")), "shingle")
-        return small.union(self._across(materialize(rare, "rare"), ["shingle"]))
+        crowds = mixed.where(F.col("size") > self.crowded).select("doc", "comp", "top").distinct()
+        return self._across(mixed.where(F.col("size") <= self.crowded), ["key"]), materialize(crowds, "crowds")
+
+    def crowded_links(self, crowds: DataFrame, texts: DataFrame) -> DataFrame:
+        """Links between components in crowded buckets: the members outside a bucket's largest
+        component are a query set, compared with all its members block by block. Each block pair
+        counts common shingles through one sorted index; only links leave it."""
+        size, percent = self.size, self.percent
+        outside = F.col("comp") != F.col("top")
+        sizes = crowds.groupBy("top").agg(F.count("*").alias("all"), F.count_if(outside).alias("some"))
+        cells = [F.ceil(F.col(c) / F.lit(BLOCK)).cast("int").alias(n) for c, n in (("all", "rows"), ("some", "cols"))]
+        sizes = sizes.where("some > 0").select("top", *cells)
+        held = texts.join(self._hint(crowds).withColumnRenamed("doc", "doc_id"), "doc_id").join(sizes, "top")
+        held = materialize(held.select("top", F.col("doc_id").alias("doc"), "comp", "text", "rows", "cols"), "crowd-texts")
+
+        def every(n: str):
+            return F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+
+        row = F.pmod(F.xxhash64("doc"), F.col("rows")).cast("int")
+        col = F.pmod(F.xxhash64("doc", F.lit(1)), F.col("cols")).cast("int")
+        left = held.select("top", row.alias("i"), every("cols").alias("j"), "doc", "comp", "text")
+        right = held.where(outside).select("top", every("rows").alias("i"), col.alias("j"), "doc", "comp", "text")
+        out = T.StructType.fromDDL("a long, b long")
+        arrow = to_arrow_schema(out)
+
+        def block(members: pa.Table, queries: pa.Table) -> pa.Table:
+            hasher = Hasher()
+            sets = [shingles(t, size, hasher) for t in members["text"].to_pylist()]
+            docs, comps = members["doc"].to_numpy(), members["comp"].to_numpy()
+            values = np.concatenate([np.zeros(0, np.uint64), *sets])
+            owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+            order = np.argsort(values, kind="stable")
+            values, owner = values[order], owner[order]
+            lengths = np.array([len(x) for x in sets])
+            links = []
+            for doc, comp, text in zip(*(queries[c].to_pylist() for c in ("doc", "comp", "text"))):
+                own = shingles(text, size, hasher)
+                first, last = np.searchsorted(values, own, "left"), np.searchsorted(values, own, "right")
+                spans = last - first
+                at = np.repeat(first - np.cumsum(spans) + spans, spans) + np.arange(spans.sum())
+                common = np.bincount(owner[at], minlength=len(sets))
+                yes = (100 * common >= percent * (lengths + len(own) - common)) & (comps != comp)
+                links += [(min(doc, d), max(doc, d)) for d in docs[yes].tolist()]
+            return pa.Table.from_batches([record_batch(links, arrow)], schema=arrow)
+
+        cell = ["top", "i", "j"]
+        found = left.groupBy(*cell).cogroup(right.groupBy(*cell)).applyInArrow(block, out)
+        return materialize(found, "crowd-links")
 
     def _across(self, rows: DataFrame, key: list[str]) -> DataFrame:
         """Pairs of different components that share ``key``; one end is outside its top one."""
@@ -203,27 +249,6 @@ class _Finder:
         pairs = a.join(b, key).where((F.col("ca") != F.col("cb")) & once & self._ratio())
         return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
-    def _rare_prefixes(self, big: DataFrame, texts: DataFrame) -> DataFrame:
-        """(doc, n, comp, shingle): the rarest shingles of each class. Two linked sets share one
-        among their n - ceil(percent * n / 100) + 1 first in any common order."""
-        size, percent = self.size, self.percent
-        out = T.StructType.fromDDL("doc long, n long, comp long, items array<long>")
-        arrow = to_arrow_schema(out)
-
-        def run(batches):
-            hasher = Hasher()
-            for batch in batches:
-                rows = [(d, n, c, shingles(t, size, hasher).view(np.int64)) for d, n, c, t in zip(*(batch.column(i).to_pylist() for i in range(4)))]
-                yield record_batch(rows, arrow)
-
-        held = texts.join(self._hint(big).withColumnRenamed("doc", "doc_id"), "doc_id").select("doc_id", "n", "comp", "text")
-        rows = materialize(held.mapInArrow(run, out).select("doc", "n", "comp", F.explode("items").alias("shingle")), "shingles")
-        often = rows.groupBy("shingle").agg(F.count("*").alias("df"))
-        ranked = rows.join(often, "shingle").groupBy("doc", "n", "comp").agg(F.array_sort(F.collect_list(F.struct("df", "shingle"))).alias("items"))
-        length = F.col("n") - F.ceil(F.col("n") * percent / F.lit(100)).cast("long") + 1
-        cut = F.slice("items", F.lit(1), F.greatest(length, F.lit(1)).cast("int"))
-        return ranked.select("doc", "n", "comp", F.explode(cut).alias("i")).select("doc", "n", "comp", F.col("i.shingle").alias("shingle"))
-
 
 def _merged(live: DataFrame, links: DataFrame) -> DataFrame:
     """``live`` after the new links (ca, cb) joined components, followed for two steps.
@@ -235,7 +260,7 @@ def _merged(live: DataFrame, links: DataFrame) -> DataFrame:
     again = up.select(F.col("comp").alias("to"), F.col("to").alias("far"))
     up = up.join(again, "to", "left").select("comp", F.coalesce("far", "to").alias("to"))
     moved = live.join(up, "comp", "left")
-    return materialize(moved.select("key", "doc", "n", F.coalesce("to", "comp").alias("comp")), "buckets")
+    return materialize(moved.select("key", "doc", "n", F.coalesce("to", "comp").alias("comp"), "central"), "buckets")
 
 
 def near_duplicates(
@@ -264,6 +289,7 @@ def near_duplicates(
     keyed = classes.select(F.explode("bands").alias("key"), "doc", "n")
     shared = keyed.groupBy("key").agg(F.count("*").alias("k")).where("k > 1").select("key")
     live = materialize(keyed.join(shared, "key", "left_semi").withColumn("comp", F.col("doc")), "buckets")
+    live = materialize(finder.with_centrality(live), "central")
 
     ids = live.select(F.col("doc").alias("doc_id")).distinct()
     texts = rows.where("doc_id is not null").join(finder._hint(materialize(ids, "candidates")), "doc_id", "left_semi")
@@ -281,8 +307,11 @@ def near_duplicates(
         links.append(finder.verified(pairs, texts))
         live = _merged(live, links[-1])
     if tested:
-        rest = finder.remaining(live, texts).distinct().join(_both_ways(tested), ["a", "b"], "left_anti")
+        rest, crowds = finder.remaining(live)
+        rest = rest.distinct().join(_both_ways(tested), ["a", "b"], "left_anti")
         links.append(finder.verified(materialize(rest, "remaining"), texts))
+        if _some(crowds):
+            links.append(finder.crowded_links(crowds, texts))
     return _result(marked, classes, links)
 
 
