@@ -256,12 +256,14 @@ def drop_leaks(
 ) -> DataFrame:
     """The rows of ``docs``, all columns, whose text leaks no item; judged in the scan itself."""
     sent, size = build_indexes(benchmark, index_bytes)
-    for index in sent:
 
-        @F.pandas_udf("boolean")
-        def leaks(texts: pd.Series, index=index) -> pd.Series:
+    def leaks(index):
+        def judge(texts: pd.Series) -> pd.Series:
             found = [bool(search(index.value, t or b"", size, threshold, question, answer)) for t in texts]
             return pd.Series(found, dtype=bool)
 
-        docs = docs.where(~leaks(docs[text_col].cast("binary")))
+        return F.pandas_udf(judge, "boolean")
+
+    for index in sent:
+        docs = docs.where(~leaks(index)(docs[text_col].cast("binary")))
     return docs
