@@ -41,6 +41,13 @@ class EngineConfig:
     # A join key with more rows than this is spread over several tasks.
     hot_rows: int = 2_000_000
 
+    # Thresholds that a tree tries for each amount; must not be below the largest nominal domain.
+    max_bins: int = 32
+
+    def __post_init__(self):
+        if self.batch_candidates < self.alerts_per_day:
+            raise ValueError("batch_candidates below alerts_per_day would lose alerts")
+
     @property
     def live_delayed_models(self) -> int:
         return max(1, self.train_days - 1)

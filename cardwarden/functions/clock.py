@@ -20,10 +20,6 @@ def relative_hour(ts: Column, origin_ms: Column | int) -> Column:
     return elapsed(ts, origin_ms, HOUR_MS)
 
 
-def relative_day(ts: Column, origin_ms: Column | int) -> Column:
-    return elapsed(ts, origin_ms, DAY_MS)
-
-
 def with_time_fields(df, origin_ms: Column | int):
     """Add the relative hour, the hour of day and the day of week (Sunday is 1)."""
     return df.withColumns(

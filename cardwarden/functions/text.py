@@ -10,28 +10,29 @@ RAW_FIELDS = [
     "cardid", "cat1", "cat2", "merchant", "merchantarea", "tx_amount", "tx_datetime",
     "boo1", "boo2", "age", "nationality", "gender", "cat3", "cat4", "label",
 ]
-# Separator pattern and time format of the input lines.
-COMMA_OUTSIDE_QUOTES = r',(?=([^"]*"[^"]*")*[^"]*$)'
-DATETIME_FORMAT = "yyyy-MM-dd HH:mm:ss"
+# Time format of the input lines; parts may have one digit, text may follow.
+DATETIME_FORMAT = "yyyy-M-d H:m:s"
+_DATETIME = r"^\d{4}-\d{1,2}-\d{1,2} \d{1,2}:\d{1,2}:\d{1,2}"
 
-# A Unicode noncharacter; a line that does hold it takes the pattern above instead.
+# A Unicode noncharacter that leads two-character marks: 0 after it stands for itself in the
+# line, 1 for a separating comma. So lines that hold the character split like any other.
 _MARK = "\uffff"
 
 
 def split_quoted(value: Column) -> Column:
     """Split on commas that an even number of quotes follows; trailing empty fields stay.
 
-    Cutting at the quotes first is linear in the line. The look-ahead pattern alone recurses
-    once per quote pair, so a single line full of quotes could overflow an executor's stack.
+    Cutting at the quotes first is linear in the line, whatever its number of quotes.
     """
+    kept = F.replace(value, F.lit(_MARK), F.lit(_MARK + "0"))
     from_end = F.transform(
-        F.reverse(F.split(value, '"', -1)),
+        F.reverse(F.split(kept, '"', -1)),
         lambda piece, i: F.when(
-            i % 2 == 0, F.replace(piece, F.lit(","), F.lit(_MARK))
+            i % 2 == 0, F.replace(piece, F.lit(","), F.lit(_MARK + "1"))
         ).otherwise(piece),
     )
-    linear = F.split(F.array_join(F.reverse(from_end), '"'), _MARK, -1)
-    return F.when(value.contains(_MARK), F.split(value, COMMA_OUTSIDE_QUOTES, -1)).otherwise(linear)
+    fields = F.split(F.array_join(F.reverse(from_end), '"'), _MARK + "1", -1)
+    return F.transform(fields, lambda f: F.replace(f, F.lit(_MARK + "0"), F.lit(_MARK)))
 
 
 def without_quotes(field: Column) -> Column:
@@ -68,4 +69,6 @@ def bool_or(field: Column, default: bool) -> Column:
 
 
 def datetime_or_null(field: Column) -> Column:
-    return F.try_to_timestamp(field, F.lit(DATETIME_FORMAT))
+    """The time at the start of the field. Months, hours and so on beyond their range make it
+    null: such a line is rejected, never moved to another day."""
+    return F.try_to_timestamp(F.regexp_extract(field, _DATETIME, 0), F.lit(DATETIME_FORMAT))

@@ -40,18 +40,20 @@ _SUMMED = {"tx_amount": 2, "merchantarea": 6}
 def partial_stats() -> list[Column]:
     """Statistics of raw rows, one row per key, that can be merged later.
 
-    Sums run on decimals so that the order of addition cannot change them. Values no decimal
-    holds (too large, not finite) still count, as doubles in ``p_odd_*``. A card's stored rows
-    differ in time, so time alone decides the last one.
+    Sums run on decimals so that the order of addition cannot change them. Values too large for
+    a decimal are added as doubles in ``p_odd_*``. Values that are not finite count as rows but
+    enter no minimum, maximum or sum, so one odd line does not spoil its card's later rows. A
+    card's stored rows differ in time, so time alone decides the last one.
     """
     out = {"p_n": "count(*)", "p_notboo1": "count_if(NOT boo1)", "p_at": "max(tx_datetime)"}
     for col, scale in _SUMMED.items():
         dec = f"try_cast({col} AS DECIMAL(18,{scale}))"
+        finite = f"CASE WHEN abs({col}) < double('Infinity') THEN {col} END"
         out |= {
-            f"p_min_{col}": f"min({col})",
-            f"p_max_{col}": f"max({col})",
+            f"p_min_{col}": f"min({finite})",
+            f"p_max_{col}": f"max({finite})",
             f"p_sum_{col}": f"sum({dec})",
-            f"p_odd_{col}": f"sum(CASE WHEN {dec} IS NULL THEN {col} END)",
+            f"p_odd_{col}": f"sum(CASE WHEN {dec} IS NULL THEN {finite} END)",
         }
     out |= {f"p_last_{c}": f"max_by({c}, tx_datetime)" for c in _LAST}
     return [F.expr(sql).alias(name) for name, sql in out.items()]
@@ -133,11 +135,6 @@ def finished() -> list[str]:
     return [f"{out[c]} AS {c}" for c in AMOUNT_STATS + AREA_STATS + LAST_TX]
 
 
-def retained(rows: DataFrame, clock_hour: Column | int, cfg: EngineConfig) -> DataFrame:
-    """Rows that the retention rule still keeps at the given clock hour."""
-    return rows.where(F.col("tx_dhour") > F.lit(clock_hour) - F.lit(cfg.history_hours))
-
-
 def batch_cards(batch: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """The distinct cards of a batch, with their number of rows."""
     return batch.groupBy(*by, "cardid").agg(F.count("*").cast("bigint").alias("batch_rows"))

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import logging
 from dataclasses import dataclass
 from multiprocessing.pool import ThreadPool
 
 from pyspark import inheritable_thread_target
+from pyspark.errors import IllegalArgumentException
 from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
@@ -35,7 +37,7 @@ def _classifier(trees: int, seed: int, bootstrap: bool, cfg: EngineConfig):
         featureSubsetStrategy="log2",
         minInstancesPerNode=1,
         maxDepth=cfg.tree_depth,
-        maxBins=32,
+        maxBins=cfg.max_bins,
         seed=seed,
         cacheNodeIds=False,
     )
@@ -52,6 +54,16 @@ def _training_rows(df: DataFrame, n_rows: int) -> DataFrame:
     return rows.withColumn("_copy", again).select("features", "class")
 
 
+def _fitted(classifier: RandomForestClassifier, rows: DataFrame) -> RandomForestClassificationModel | None:
+    """The fitted forest, or None where MLlib refuses the rows themselves; the stream goes on
+    with the other trees. Anything else, such as a lost executor, is raised."""
+    try:
+        return classifier.fit(rows)
+    except IllegalArgumentException as fault:
+        logging.getLogger(__name__).warning("a tree was skipped: %s", fault)
+        return None
+
+
 def train_delayed(bagged: DataFrame, cfg: EngineConfig, model_id: str, day: int) -> TreeBag | None:
     """One random tree per bag of ``bagged`` (columns ``shard`` and ``bag``); None without rows.
 
@@ -62,16 +74,16 @@ def train_delayed(bagged: DataFrame, cfg: EngineConfig, model_id: str, day: int)
     bags = materialize(needed, "bags", partition_by=("shard", "bag"))
     found = bags.groupBy("shard", "bag").count().orderBy("shard", "bag").collect()
 
-    def fit(row) -> RandomForestClassificationModel:
+    def fit(row) -> RandomForestClassificationModel | None:
         rows = bags.where((F.col("shard") == row["shard"]) & (F.col("bag") == row["bag"]))
-        tree = _classifier(1, row["bag"] + 1, False, cfg)
-        return tree.fit(_training_rows(rows, row["count"]))
+        return _fitted(_classifier(1, row["bag"] + 1, False, cfg), _training_rows(rows, row["count"]))
 
     if not found:
         return None
     with ThreadPool(min(cfg.fit_parallelism, len(found))) as pool:
         trees = pool.map(inheritable_thread_target(bagged.sparkSession)(fit), found)
-    return TreeBag(model_id, day, tuple(trees))
+    grown = tuple(t for t in trees if t is not None)
+    return TreeBag(model_id, day, grown) if grown else None
 
 
 def train_feedback(alerts: DataFrame, cfg: EngineConfig) -> RandomForestClassificationModel | None:
@@ -79,7 +91,7 @@ def train_feedback(alerts: DataFrame, cfg: EngineConfig) -> RandomForestClassifi
     n_rows = alerts.count()
     if n_rows == 0:
         return None
-    return _classifier(cfg.feedback_trees, 1, True, cfg).fit(_training_rows(alerts, n_rows))
+    return _fitted(_classifier(cfg.feedback_trees, 1, True, cfg), _training_rows(alerts, n_rows))
 
 
 def _with_vote(df: DataFrame, model: RandomForestClassificationModel, name: str) -> DataFrame:

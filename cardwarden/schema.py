@@ -66,16 +66,26 @@ TX_STORED = T.StructType(
 ALERT = T.StructType([T.StructField("tx_rank", T.IntegerType()), *TX_STORED.fields[:-1]])
 
 
+#: Features are cut to plus or minus this when they enter a vector.
+LARGEST_FEATURE = 1e15
+
+
 def nominal_metadata(values: list[str]) -> dict:
     return {"ml_attr": {"type": "nominal", "vals": values}}
 
 
 def feature_column(name: str, alias: str) -> Column:
-    """A feature as double; nominal ones carry their domain, and codes outside it become 0."""
+    """A feature as double; nominal ones carry their domain, and codes outside it become 0.
+
+    Fits refuse numbers that are not finite, so NaN enters as 0 and infinities, like anything
+    beyond ``LARGEST_FEATURE``, as that bound; the stored row keeps the number it came with.
+    """
     col = F.col(name)
     arity = NOMINAL_ARITY.get(name)
     if arity is None:
-        return col.cast("double").alias(alias)
+        number = col.cast("double")
+        bounded = F.greatest(F.lit(-LARGEST_FEATURE), F.least(F.lit(LARGEST_FEATURE), number))
+        return F.when(F.isnan(number), F.lit(0.0)).otherwise(bounded).alias(alias)
     code = col.cast("int")
     inside = F.when((code >= 0) & (code < arity), code).otherwise(F.lit(0))
     vals = [str(i) for i in range(arity)]

@@ -198,20 +198,37 @@ class Tables:
         return self._read("state", STATE).select("batch_id", "day", "n_in", "n_dropped", "n_alerts")
 
     def prune(self, before_batch: int, keep: int = 10) -> None:
-        """Drop alert lists that no batch can start from any more."""
+        """Drop alert lists that no batch can start from any more.
+
+        A state names one list, so the last ``keep`` states name at most as many, the newest ones
+        written. They stay however long ago that was: batches without good rows write none.
+        """
         folder = self.path("alerts_current")
-        for batch in self._values(folder, "batch_id"):
-            if batch < before_batch - keep:
-                self._drop(f"{folder}/batch_id={batch}")
+        written = [b for b in self._values(folder, "batch_id") if b <= before_batch]
+        for batch in written[: -(keep + 1)]:
+            self._drop(f"{folder}/batch_id={batch}")
 
 
-def new_tables(spark: SparkSession, root: str, reset: bool = False) -> Tables:
-    """Open the tables; ``reset`` starts over with an empty root of a new name."""
-    if not reset:
-        return Tables(spark, root)
+def _resets(spark: SparkSession, root: str) -> int:
+    """How often the tables of ``root`` were reset: the number of roots named after it."""
     path = spark._jvm.org.apache.hadoop.fs.Path
     fs = path(root).getFileSystem(spark._jsc.hadoopConfiguration())
     run = 0
-    while fs.exists(path(f"{root.rstrip('/')}-{run}")):
+    while fs.exists(path(f"{root}-{run}")):
         run += 1
-    return Tables(spark, f"{root.rstrip('/')}-{run}")
+    return run
+
+
+def new_tables(spark: SparkSession, root: str, reset: bool = False) -> Tables:
+    """Open the tables; ``reset`` starts over with an empty root of a new name."""
+    root = root.rstrip("/")
+    return Tables(spark, f"{root}-{_resets(spark, root)}" if reset else root)
+
+
+def current_tables(spark: SparkSession, root: str, reset: bool = False) -> Tables:
+    """The tables of the last reset of ``root``, of a new one, or of ``root`` if there was none."""
+    root = root.rstrip("/")
+    resets = _resets(spark, root)
+    if reset or not resets:
+        return new_tables(spark, root, reset)
+    return Tables(spark, f"{root}-{resets - 1}")

@@ -24,7 +24,7 @@ from cardwarden.operators.models import score, train_delayed, train_feedback
 from cardwarden.operators.parse import accepted, parse_lines, rejects
 from cardwarden.plans.schedule import day_plan, live_after
 from cardwarden.session import materialize
-from cardwarden.sources.tables import Tables
+from cardwarden.sources.tables import Tables, current_tables
 from cardwarden.streaming.registry import ModelRegistry
 
 
@@ -206,7 +206,8 @@ def run_stream(
 
 
 def start(spark: SparkSession, lines: DataFrame, root: str, dictionary: Dictionary, **options):
-    """Open the tables below ``root`` and run the stream on them."""
+    """Open the tables below ``root`` and run the stream on them; ``reset=True`` starts over."""
     cfg = options.pop("cfg", EngineConfig())
-    engine = Engine(Tables(spark, root), dictionary, cfg)
+    tables = current_tables(spark, root, options.pop("reset", False))
+    engine = Engine(tables, dictionary, cfg)
     return run_stream(lines, engine, f"{engine.tables.root}/checkpoint", **options)

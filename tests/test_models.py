@@ -100,3 +100,12 @@ def test_schema_of_the_vector(spark, data):
     attrs = with_vector(data).schema["features"].metadata["ml_attr"]["attrs"]
     assert sorted(a["idx"] for a in attrs["nominal"]) == sorted(FEATURES.index(c) for c in NOMINAL_ARITY)
     assert len(attrs["nominal"]) + len(attrs["numeric"]) == 31
+
+
+def test_features_that_are_not_finite_enter_bounded(spark):
+    from cardwarden.schema import LARGEST_FEATURE, feature_column
+
+    values = [float("inf"), float("-inf"), float("nan"), 1e300, 2.5, None]
+    df = spark.createDataFrame([(v,) for v in values], "tx_amount double")
+    got = [r[0] for r in df.select(feature_column("tx_amount", "x")).collect()]
+    assert got == [LARGEST_FEATURE, -LARGEST_FEATURE, 0.0, LARGEST_FEATURE, 2.5, None]

@@ -15,6 +15,9 @@ GOOD = dict(
     gender="g1", cat3="t2", cat4="u5", label="true",
 )
 
+# A plain look-ahead pattern, as the expectation.
+COMMA_OUTSIDE_QUOTES = r',(?=([^"]*"[^"]*")*[^"]*$)'
+
 
 def line(**changes):
     return ",".join({**GOOD, **changes}.values())
@@ -79,6 +82,20 @@ def test_rejects(spark, bad, reason):
     assert [r.reject_reason for r in rejects(parse(spark, bad)).collect()] == [reason]
 
 
+@pytest.mark.parametrize(
+    "value, want",
+    [("2024-1-7 1:2:3", "2024-01-07 01:02:03"), ("2024-01-07 10:00:00.0", "2024-01-07 10:00:00"),
+     ("2024-01-07 10:00:00 CET", "2024-01-07 10:00:00")],
+)
+def test_lenient_dates(spark, value, want):
+    assert str(one(spark, tx_datetime=value).tx_datetime) == want
+
+
+@pytest.mark.parametrize("value", ["2024-13-07 10:00:00", "2024-01-07 25:00:00", "2024-01-07"])
+def test_dates_out_of_range_are_rejected(spark, value):
+    assert one(spark, tx_datetime=value) is None
+
+
 def test_null_line_is_rejected(spark):
     assert [r.reject_reason for r in rejects(parse(spark, None)).collect()] == ["arity"]
 
@@ -86,13 +103,13 @@ def test_null_line_is_rejected(spark):
 def test_split_agrees_with_the_pattern(spark):
     samples = [
         "", ",", 'a,b,', '"a,b",c', 'a"b,c"d,e', '"a,b', 'a,"b,c', '",",",",x', 'x,"","y,z",,',
-        'a,￿,"b,c"', '""",",a',
+        'a,￿,"b,c"', 'a￿1b,￿0,c', '￿,"￿,1"', '""",",a',
     ]
     df = spark.createDataFrame([(s,) for s in samples], "value string")
     rows = df.select(
         "value",
         text.split_quoted(F.col("value")).alias("got"),
-        F.split("value", text.COMMA_OUTSIDE_QUOTES, -1).alias("want"),
+        F.split("value", COMMA_OUTSIDE_QUOTES, -1).alias("want"),
     ).collect()
     assert all(r.got == r.want for r in rows), rows
 

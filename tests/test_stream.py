@@ -14,7 +14,7 @@ from cardwarden.plans.replay import write_batches
 from cardwarden.schema import AMOUNT_STATS, AREA_STATS, LAST_TX
 from cardwarden.session import materialize
 from cardwarden.sources.readers import read_dictionary, read_transactions
-from cardwarden.sources.tables import Tables, new_tables
+from cardwarden.sources.tables import Tables, current_tables, new_tables
 from cardwarden.streaming.engine import Engine, run_stream
 
 CFG = EngineConfig(n_tree=2, feedback_trees=5, tree_depth=5, fit_parallelism=4)
@@ -189,3 +189,27 @@ def test_reset_starts_with_new_tables(spark, tmp_path):
     a, b = new_tables(spark, root, reset=True), new_tables(spark, root, reset=True)
     assert a.root != b.root and b.history().isEmpty() and b.last_state(1) is None
     assert new_tables(spark, root).root == root
+
+
+def test_alert_list_outlives_batches_without_good_rows(spark, tmp_path):
+    """Twelve all-reject batches write no list; the one that the state names must stay."""
+    tables = Tables(spark, str(tmp_path / "tables"))
+    for batch in (1, 2):
+        path = tables.path("alerts_current", f"batch_id={batch}")
+        spark.range(1).write.parquet(path)
+    for batch in range(3, 16):
+        tables.prune(batch)
+    assert tables._values(tables.path("alerts_current"), "batch_id") == [1, 2]
+    for batch in range(3, 40):
+        spark.range(1).write.parquet(tables.path("alerts_current", f"batch_id={batch}"))
+        tables.prune(batch)
+    assert len(tables._values(tables.path("alerts_current"), "batch_id")) == 11
+
+
+def test_reset_is_remembered_by_later_starts(spark, tmp_path):
+    root = str(tmp_path / "root")
+    assert current_tables(spark, root).root == root
+    assert current_tables(spark, root, reset=True).root == f"{root}-0"
+    assert current_tables(spark, root).root == f"{root}-0"
+    assert current_tables(spark, root, reset=True).root == f"{root}-1"
+    assert current_tables(spark, root).root == f"{root}-1"
