@@ -8,6 +8,7 @@ all items at or above it are retrieved. Each is then verified on question and an
 from __future__ import annotations
 
 import math
+from bisect import bisect_left
 from collections import Counter, defaultdict
 from collections.abc import Iterable
 from functools import reduce
@@ -26,6 +27,9 @@ K1, B = 1.2, 0.75
 THRESHOLD, QUESTION_OVERLAP, ANSWER_OVERLAP = 0.5, 0.5, 0.5
 #: A passage is at least this many words; half of it is shared with the next one.
 PASSAGE_WORDS, BLOCK, NGRAM = 128, 8, 3
+#: The items of an index are cut into at most this many ranges. A term has one upper bound for
+#: each range; most passages end at these bounds, summed for a whole document at once.
+RANGES = 128
 #: An index of items up to this many bytes of text is broadcast; more items make more indexes.
 INDEX_BYTES = 8 << 20
 
@@ -74,9 +78,24 @@ class Index:
                 [max(x for _, x in b) for b in blocks],
             )
             self.best[w] = max(x for _, x in rows)
+        self.range = max(1, -(-len(self.items) // RANGES))
+        self.rows = {w: i for i, w in enumerate(self.postings)}
+        # The last row is for words that no item has.
+        self.bounds = np.zeros((len(self.rows) + 1, max(1, -(-len(self.items) // self.range))), np.float32)
+        for w, i in self.rows.items():
+            docs, impacts = self.postings[w][:2]
+            np.maximum.at(self.bounds[i], np.array(docs) // self.range, np.array(impacts))
 
     def retrieve(self, terms: Iterable[bytes], threshold: float) -> list[tuple[int, float]]:
-        """All items that score at least ``threshold``: (item, score), by block-max WAND."""
+        """All items that score at least ``threshold``: (item, score), by block-max WAND.
+
+        Items in ranges whose bounds stay below are passed over.
+        """
+        terms = [w for w in terms if w in self.postings]
+        most = self.bounds[[self.rows[w] for w in terms]].sum(0)
+        open_ranges = np.flatnonzero(most >= threshold - 1e-5).tolist()
+        if not open_ranges:
+            return []
         cursors = [[self.postings[w], 0, self.best[w]] for w in sorted(terms) if w in self.postings]
         out, slack, end = [], threshold - 1e-9, len(self.items)
 
@@ -108,6 +127,13 @@ class Index:
             target = doc(cursors[pivot])
             while pivot + 1 < len(cursors) and doc(cursors[pivot + 1]) == target:
                 pivot += 1
+            near = bisect_left(open_ranges, target // self.range)
+            if near == len(open_ranges):
+                return out
+            if open_ranges[near] * self.range > target:
+                for c in cursors[: pivot + 1]:
+                    seek(c, open_ranges[near] * self.range)
+                continue
             # The blocks that hold the pivot bound its score more tightly.
             bound, reach = 0.0, end
             for c in cursors[: pivot + 1]:
@@ -144,18 +170,26 @@ def passages(n_words: int, size: int) -> list[tuple[int, int]]:
 def search(index: Index, text: bytes, size: int, threshold: float, question: float, answer: float) -> list[tuple]:
     """Verified hits of one document: best passage of each item."""
     words = alnum_words(text)
-    best = index.best
-    weights = np.fromiter((best.get(w, 0.0) for w in words), float, len(words))
-    if not len(words) or weights.sum() < threshold - 1e-9:
+    row, last = index.rows.get, len(index.rows)
+    ids = np.fromiter((row(w, last) for w in words), np.int64, len(words))
+    if not len(words) or not index.items:
         return []
-    sums = np.concatenate([[0.0], np.cumsum(weights)])
     hits: dict[int, tuple] = {}
-    for start, stop in passages(len(words), size):
-        if sums[stop] - sums[start] < threshold - 1e-6:
-            continue  # even all highest impacts together stay below
-        terms = {w for w, x in zip(words[start:stop], weights[start:stop]) if x}
-        if sum(best[w] for w in terms) < threshold - 1e-9:
-            continue
+    places = passages(len(words), size)
+    for k in range(0, len(places), 64):
+        hits = _search_part(index, words, ids, places[k : k + 64], threshold, question, answer, hits)
+    return [hits[k] for k in sorted(hits)]
+
+
+def _search_part(index, words, ids, places, threshold, question, answer, hits) -> dict[int, tuple]:
+    """A stretch of neighbouring passages; repeated words count anew in these first bounds."""
+    first = places[0][0]
+    sums = np.zeros((places[-1][1] - first + 1, index.bounds.shape[1]), np.float32)
+    np.cumsum(index.bounds[ids[first : places[-1][1]]], axis=0, out=sums[1:])
+    edges = np.array(places) - first
+    reach = (sums[edges[:, 1]] - sums[edges[:, 0]]).max(1) >= threshold - 1e-3
+    for start, stop in (p for p, r in zip(places, reach) if r):
+        terms = {w for w, i in zip(words[start:stop], ids[start:stop]) if i < len(index.rows)}
         found = index.retrieve(terms, threshold)
         if not found:
             continue
@@ -169,7 +203,7 @@ def search(index: Index, text: bytes, size: int, threshold: float, question: flo
                 row = (item_id, start, score, score * total, have_q, have_a)
                 if item_id not in hits or (score, -start) > (hits[item_id][2], -hits[item_id][1]):
                     hits[item_id] = row
-    return [hits[k] for k in sorted(hits)]
+    return hits
 
 
 HIT = "item_id long, passage_start long, score double, bm25 double, question_overlap double, answer_overlap double"
