@@ -163,6 +163,7 @@ class Index:
 
 
 def passages(n_words: int, size: int) -> list[tuple[int, int]]:
+    """(first, end) of passages of an even ``size``, each half a passage after the last."""
     step = size // 2
     return [(s, min(s + size, n_words)) for s in range(0, max(1, n_words - size + step), step)] if n_words else []
 
@@ -177,17 +178,22 @@ def search(index: Index, text: bytes, size: int, threshold: float, question: flo
     hits: dict[int, tuple] = {}
     places = passages(len(words), size)
     for k in range(0, len(places), 64):
-        hits = _search_part(index, words, ids, places[k : k + 64], threshold, question, answer, hits)
+        hits = _search_part(index, words, ids, places[k : k + 64], size, threshold, question, answer, hits)
     return [hits[k] for k in sorted(hits)]
 
 
-def _search_part(index, words, ids, places, threshold, question, answer, hits) -> dict[int, tuple]:
+def _search_part(index, words, ids, places, size, threshold, question, answer, hits) -> dict[int, tuple]:
     """A stretch of neighbouring passages; repeated words count anew in these first bounds."""
-    first = places[0][0]
-    sums = np.zeros((places[-1][1] - first + 1, index.bounds.shape[1]), np.float32)
-    np.cumsum(index.bounds[ids[first : places[-1][1]]], axis=0, out=sums[1:])
-    edges = np.array(places) - first
-    reach = (sums[edges[:, 1]] - sums[edges[:, 0]]).max(1) >= threshold - 1e-3
+    first, step = places[0][0], size // 2
+    # A passage is two of these halves; words that no item has add nothing and are left out.
+    edges = np.minimum(first + step * np.arange(len(places) + 2), places[-1][1])
+    known = first + np.flatnonzero(ids[first : places[-1][1]] < len(index.rows))
+    if not len(known):
+        return hits
+    cuts = np.searchsorted(known, edges)
+    halves = np.add.reduceat(index.bounds[ids[known]], np.minimum(cuts[:-1], len(known) - 1), axis=0)
+    halves[cuts[1:] == cuts[:-1]] = 0
+    reach = (halves[:-1] + halves[1:]).max(1) >= threshold - 1e-3
     for start, stop in (p for p, r in zip(places, reach) if r):
         terms = {w for w, i in zip(words[start:stop], ids[start:stop]) if i < len(index.rows)}
         found = index.retrieve(terms, threshold)
