@@ -85,7 +85,7 @@ def feature_column(name: str, alias: str) -> Column:
     if arity is None:
         number = col.cast("double")
         bounded = F.greatest(F.lit(-LARGEST_FEATURE), F.least(F.lit(LARGEST_FEATURE), number))
-        return F.when(F.isnan(number), F.lit(0.0)).otherwise(bounded).alias(alias)
+        return F.when(F.isnan(number), F.lit(0.0)).when(number.isNotNull(), bounded).alias(alias)
     code = col.cast("int")
     inside = F.when((code >= 0) & (code < arity), code).otherwise(F.lit(0))
     vals = [str(i) for i in range(arity)]
