@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections.abc import Mapping
+from dataclasses import dataclass, field
+
+from cardwarden.schema import NOMINAL_ARITY
 
 
 @dataclass(frozen=True)
@@ -43,10 +46,14 @@ class EngineConfig:
 
     # Thresholds that a tree tries for each amount; must not be below the largest nominal domain.
     max_bins: int = 32
+    # Number of codes of each nominal feature; a dictionary with more of them widens it.
+    arity: Mapping[str, int] = field(default_factory=lambda: dict(NOMINAL_ARITY), hash=False)
 
     def __post_init__(self):
         if self.batch_candidates < self.alerts_per_day:
             raise ValueError("batch_candidates below alerts_per_day would lose alerts")
+        if self.max_bins < max(self.arity.values()):
+            raise ValueError("max_bins must not be below the largest nominal domain")
 
     @property
     def live_delayed_models(self) -> int:

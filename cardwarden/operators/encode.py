@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cardwarden.config import EngineConfig
-from cardwarden.operators.joins import fits_broadcast, hot_keys, spread_join
+from cardwarden.operators.joins import hot_keys, spread_join
 from cardwarden.session import materialize
 
 # Dictionary variable of each encoded field.
@@ -19,18 +19,36 @@ RISK_VARIABLES = {
     "merchantarea": "TERM_COUNTRY",
 }
 ID_VARIABLES = {"nationality": "nationality", "gender": "GENDER", "cat3": "cat3", "cat4": "cat4"}
+VARIABLES = frozenset([*RISK_VARIABLES.values(), *ID_VARIABLES.values()])
 
 
 @dataclass(frozen=True)
 class Dictionary:
-    """Entries (variable, level, id, risk), one per variable and level, and their checked size."""
+    """Entries (variable, level, id, risk), one per variable and level.
+
+    ``small`` names the variables whose counted levels may be broadcast, ``codes`` the number of
+    codes of each variable, from its highest id.
+    """
 
     entries: DataFrame
-    small: bool
+    small: frozenset[str] = VARIABLES
+    codes: dict[str, int] = field(default_factory=dict)
 
     @classmethod
     def of(cls, entries: DataFrame, cfg: EngineConfig) -> Dictionary:
-        return cls(entries, fits_broadcast(entries, cfg.broadcast_rows))
+        """Measure every variable by itself, so one long list makes no other lookup a shuffle."""
+        known = entries.where(F.col("variable").isin(*VARIABLES)).groupBy("variable")
+        sizes = known.agg(F.count("*").alias("n_levels"), F.max("id").alias("top")).collect()
+        large = {r["variable"] for r in sizes if r["n_levels"] > cfg.broadcast_rows}
+        codes = {r["variable"]: r["top"] + 1 for r in sizes if r["top"] is not None}
+        return cls(entries, VARIABLES - large, codes)
+
+    def widened(self, cfg: EngineConfig) -> EngineConfig:
+        """Settings whose nominal domains, and with them ``max_bins``, hold all codes in use."""
+        arity = dict(cfg.arity)
+        for name, variable in ID_VARIABLES.items():
+            arity[name] = max(arity[name], self.codes.get(variable, 0))
+        return replace(cfg, arity=arity, max_bins=max(cfg.max_bins, *arity.values()))
 
 
 def _lookup(df: DataFrame, d: Dictionary, field: str, variable: str, value: str, cfg: EngineConfig):
@@ -39,9 +57,9 @@ def _lookup(df: DataFrame, d: Dictionary, field: str, variable: str, value: str,
     found = d.entries.where(F.col("variable") == variable).select(
         F.col("level").alias(level), F.col(value).alias(f"_{field}")
     )
-    if d.small:
+    if variable in d.small:
         return df.join(F.broadcast(found), level, "left")
-    # A dictionary too large to broadcast: one shuffle for this field, its hot levels salted.
+    # Too many levels to broadcast: one shuffle for this field, its hot levels salted.
     counts = materialize(df.groupBy(level).agg(F.count("*").alias("_rows")), "levels")
     hot = hot_keys(counts, [level], "_rows", cfg.hot_rows, cfg.broadcast_rows)
     return spread_join(df, found, [level], "tx_id", hot)

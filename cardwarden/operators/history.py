@@ -140,6 +140,13 @@ def batch_cards(batch: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     return batch.groupBy(*by, "cardid").agg(F.count("*").cast("bigint").alias("batch_rows"))
 
 
+def stored_counts(history: DataFrame, cards: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """Rows that the history holds of each of the batch's cards, counted before any join."""
+    keys = [*by, "cardid"]
+    held = history.groupBy(*keys).agg(F.count("*").alias("stored_rows"))
+    return held.join(cards.select(*keys), keys, "left_semi")
+
+
 def of_batch_cards(
     history: DataFrame,
     cards: DataFrame,
@@ -149,7 +156,8 @@ def of_batch_cards(
 ) -> DataFrame:
     """History of the batch's cards only, before anything is aggregated.
 
-    Cards counted as few are broadcast; else both sides are shuffled, the ``hot`` cards salted.
+    Cards counted as few are broadcast; else both sides are shuffled, the ``hot`` cards salted:
+    those of which the history holds many rows, however few the batch has.
     """
     keys = [*by, "cardid"]
     if small:

@@ -16,24 +16,30 @@ from pyspark.sql import functions as F
 from cardwarden.config import EngineConfig
 from cardwarden.functions.scores import ensemble, mean_of
 from cardwarden.operators.vectors import with_vector
-from cardwarden.schema import FEATURES, NOMINAL_ARITY
+from cardwarden.schema import FEATURES
 from cardwarden.session import materialize
 
 
 @dataclass(frozen=True)
 class TreeBag:
-    """A delayed model: the trees of all bags. Their mean vote is the score."""
+    """A delayed model: the trees of all bags. Their mean vote is the score.
+
+    ``bags`` tells of each freshly trained tree its shard, bag, seed, genuine and fraud rows.
+    """
 
     model_id: str
     trained_day: int
     trees: tuple[RandomForestClassificationModel, ...]
+    bags: tuple[tuple[int, int, int, int, int], ...] = ()
 
 
-def _classifier(trees: int, seed: int, bootstrap: bool, cfg: EngineConfig):
+def _classifier(trees: int, seed: int, bootstrap: bool, cfg: EngineConfig, copies: int):
     return RandomForestClassifier(
         labelCol="class",
         numTrees=trees,
         bootstrap=bootstrap,
+        # A bootstrap takes each row Poisson(1) times; ``copies`` draws of 1/copies add up to that.
+        subsamplingRate=1.0 / copies if bootstrap else 1.0,
         featureSubsetStrategy="log2",
         minInstancesPerNode=1,
         maxDepth=cfg.tree_depth,
@@ -43,22 +49,24 @@ def _classifier(trees: int, seed: int, bootstrap: bool, cfg: EngineConfig):
     )
 
 
-def _training_rows(df: DataFrame, n_rows: int) -> DataFrame:
-    """Vectors and classes. MLlib wants at least as many rows as a nominal feature has values,
-    so a smaller set repeats every row equally often, which leaves all split gains the same."""
-    rows = with_vector(df, label=True).select("features", "class")
-    copies = -(-max(NOMINAL_ARITY.values()) // n_rows)
-    if copies == 1:
-        return rows
-    again = F.explode(F.sequence(F.lit(1), F.lit(copies)))
-    return rows.withColumn("_copy", again).select("features", "class")
-
+def _fitted(
+    df: DataFrame, n_rows: int, trees: int, seed: int, bootstrap: bool, cfg: EngineConfig
+) -> RandomForestClassificationModel | None:
+    """The forest fitted on the ``n_rows`` rows of ``df``, or None where MLlib refuses the rows
+    themselves; the stream goes on with the other trees. Anything else, such as a lost executor,
+    is raised.
 
-def _fitted(classifier: RandomForestClassifier, rows: DataFrame) -> RandomForestClassificationModel | None:
-    """The fitted forest, or None where MLlib refuses the rows themselves; the stream goes on
-    with the other trees. Anything else, such as a lost executor, is raised."""
+    MLlib wants at least as many rows as a nominal feature has values, so a smaller set repeats
+    every row equally often. That leaves all split gains the same, and the draws of a bootstrap
+    are thinned by as much, so a row's total draws keep their distribution.
+    """
+    rows = with_vector(df, label=True, arity=cfg.arity).select("features", "class")
+    copies = -(-max(cfg.arity.values()) // n_rows)
+    if copies > 1:
+        again = F.explode(F.sequence(F.lit(1), F.lit(copies)))
+        rows = rows.withColumn("_copy", again).select("features", "class")
     try:
-        return classifier.fit(rows)
+        return _classifier(trees, seed, bootstrap, cfg, copies).fit(rows)
     except IllegalArgumentException as fault:
         logging.getLogger(__name__).warning("a tree was skipped: %s", fault)
         return None
@@ -71,19 +79,27 @@ def train_delayed(bagged: DataFrame, cfg: EngineConfig, model_id: str, day: int)
     driver holds the list of bags (``n_shards * n_tree`` at most), never their rows.
     """
     needed = bagged.select("shard", "bag", "label", *FEATURES)
-    bags = materialize(needed, "bags", partition_by=("shard", "bag"))
-    found = bags.groupBy("shard", "bag").count().orderBy("shard", "bag").collect()
+    bags = materialize(
+        needed.hint("rebalance", "shard", "bag"), "bags", partition_by=("shard", "bag")
+    )
+    sizes = bags.groupBy("shard", "bag").agg(
+        F.count("*").alias("n_rows"), F.count_if("label").alias("n_fraud")
+    )
+    found = sizes.orderBy("shard", "bag").collect()
 
     def fit(row) -> RandomForestClassificationModel | None:
         rows = bags.where((F.col("shard") == row["shard"]) & (F.col("bag") == row["bag"]))
-        return _fitted(_classifier(1, row["bag"] + 1, False, cfg), _training_rows(rows, row["count"]))
+        return _fitted(rows, row["n_rows"], 1, row["bag"] + 1, False, cfg)
 
     if not found:
         return None
     with ThreadPool(min(cfg.fit_parallelism, len(found))) as pool:
         trees = pool.map(inheritable_thread_target(bagged.sparkSession)(fit), found)
-    grown = tuple(t for t in trees if t is not None)
-    return TreeBag(model_id, day, grown) if grown else None
+    grown = [(t, r) for t, r in zip(trees, found) if t is not None]
+    facts = [
+        (r["shard"], r["bag"], r["bag"] + 1, r["n_rows"] - r["n_fraud"], r["n_fraud"]) for _, r in grown
+    ]
+    return TreeBag(model_id, day, tuple(t for t, _ in grown), tuple(facts)) if grown else None
 
 
 def train_feedback(alerts: DataFrame, cfg: EngineConfig) -> RandomForestClassificationModel | None:
@@ -91,7 +107,7 @@ def train_feedback(alerts: DataFrame, cfg: EngineConfig) -> RandomForestClassifi
     n_rows = alerts.count()
     if n_rows == 0:
         return None
-    return _fitted(_classifier(cfg.feedback_trees, 1, True, cfg), _training_rows(alerts, n_rows))
+    return _fitted(alerts, n_rows, cfg.feedback_trees, 1, True, cfg)
 
 
 def _with_vote(df: DataFrame, model: RandomForestClassificationModel, name: str) -> DataFrame:
@@ -141,6 +157,6 @@ def score(
     """Add the ensemble score and its two parts."""
     if not models:
         return unscored(df, cfg)
-    parts = score_feedback(score_delayed(with_vector(df), models), forest)
+    parts = score_feedback(score_delayed(with_vector(df, arity=cfg.arity), models), forest)
     total = ensemble(F.col("zfraud_pr_d"), F.col("zfraud_pr_f"))
     return parts.withColumn("zfraud_pr", total).drop("features")

@@ -2,19 +2,24 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cardwarden.schema import FEATURES, feature_column, class_column
+from cardwarden.schema import FEATURES, NOMINAL_ARITY, class_column, feature_column
 
 _PREFIX = "_x_"
 
 
-def with_vector(df: DataFrame, label: bool = False) -> DataFrame:
+def with_vector(
+    df: DataFrame, label: bool = False, arity: Mapping[str, int] = NOMINAL_ARITY
+) -> DataFrame:
     """Add ``features`` (and ``class``); nominal features keep their domain as metadata."""
-    parts = {f"{_PREFIX}{name}": feature_column(name, f"{_PREFIX}{name}") for name in FEATURES}
+    names = {name: f"{_PREFIX}{name}" for name in FEATURES}
+    parts = {alias: feature_column(name, alias, arity) for name, alias in names.items()}
     wide = df.select("*", *parts.values())
     out = (
         VectorAssembler(inputCols=list(parts), outputCol="features", handleInvalid="keep")

@@ -166,6 +166,33 @@ _VECTOR = ", ".join(
 
 _TRAIN_DAYS = "days AS (SELECT DISTINCT CAST(floor(tx_dhour / 24) AS INT) AS d FROM tx)"
 
+# The riskiest rows of the four days before the last one, by amount and risk of the category.
+_RISKIEST = """, last AS (SELECT max(tx_dhour) // 24 AS d FROM enc), riskiest AS (
+  SELECT d, label FROM (
+    SELECT tx_dhour // 24 AS td, label, row_number() OVER (
+      PARTITION BY tx_dhour // 24 ORDER BY tx_amount * cat1 DESC, tx_id) AS place FROM enc
+  ) JOIN last ON td BETWEEN d - 4 AND d - 1 WHERE place <= 20
+)"""
+
+
+def _bags(source: str) -> str:
+    """The balanced bags of the rows of ``source``, as ``bagged``."""
+    return f""", n AS (
+  SELECT count(*) FILTER (NOT label) AS n0, count(*) FILTER (label) AS n1 FROM {source}
+), plan AS (
+  SELECT CAST(greatest(2, coalesce(n0 // nullif(n1, 0), 0)) AS INT) AS n_groups FROM n WHERE n0 > 10
+), drawn AS (
+  SELECT tx_id, label, 0 AS shard, n_groups,
+    CAST(CAST('0x' || substr(md5(CAST(tx_id AS VARCHAR)), 1, 7) AS BIGINT) % n_groups AS INT) AS bag
+  FROM {source}, plan WHERE NOT label
+), bagged AS (
+  SELECT tx_id, label, shard, bag FROM drawn WHERE bag < least(10, n_groups)
+  UNION ALL
+  SELECT tx_id, label, 0, CAST(b AS INT) FROM {source}, plan, range(0, 10) r(b)
+  WHERE label AND b < least(10, n_groups)
+)"""
+
+
 ORACLE: dict[str, str] = {
     "parse_tx": _TX
     + f"""
@@ -282,20 +309,26 @@ WHERE tx_dhour > 72 AND tx_dhour < 96 AND (SELECT max(tx_dhour) FROM tx) >= 96""
     + f""", {_TRAIN_DAYS}
 SELECT tx_id, tx_dhour, label, d AS train_day FROM tx JOIN days
   ON d > 7 AND tx_dhour < 24 * (d - 2) AND tx_dhour > 24 * d - 120""",
-    "train_bags": _TX
-    + """, n AS (
-  SELECT count(*) FILTER (NOT label) AS n0, count(*) FILTER (label) AS n1 FROM tx
-), plan AS (
-  SELECT CAST(greatest(2, coalesce(n0 // nullif(n1, 0), 0)) AS INT) AS n_groups FROM n WHERE n0 > 10
-), drawn AS (
-  SELECT tx_id, label, 0 AS shard, n_groups,
-    CAST(CAST('0x' || substr(md5(CAST(tx_id AS VARCHAR)), 1, 7) AS BIGINT) % n_groups AS INT) AS bag
-  FROM tx, plan WHERE NOT label
-)
-SELECT tx_id, label, shard, bag FROM drawn WHERE bag < least(10, n_groups)
-UNION ALL
-SELECT tx_id, label, 0, CAST(b AS INT) FROM tx, plan, range(0, 10) r(b)
-WHERE label AND b < least(10, n_groups)""",
+    "train_bags": _TX + _bags("tx") + " SELECT * FROM bagged",
+    "train_delayed": _TX
+    + """, last AS (SELECT CAST(max(tx_dhour) // 24 AS INT) AS d FROM tx), win AS (
+  SELECT tx.* FROM tx, last WHERE d > 7 AND tx_dhour < 24 * (d - 2) AND tx_dhour > 24 * d - 120
+)"""
+    + _bags("win")
+    + """
+SELECT shard, bag, bag + 1 AS seed, count(*) FILTER (NOT label) AS n_genuine,
+  count(*) FILTER (label) AS n_fraud FROM bagged GROUP BY shard, bag""",
+    "score_delayed": _TX + " SELECT tx_id, true AS in_unit FROM tx",
+    "train_feedback": _ENCODED
+    + _RISKIEST
+    + """
+SELECT CAST(d AS INT) AS "day", count(*) AS n_rows, count(*) FILTER (label) AS n_fraud,
+  100 AS n_trees FROM riskiest GROUP BY d""",
+    "score_feedback": _ENCODED
+    + _RISKIEST
+    + """
+SELECT tx_id, (SELECT count(*) FROM riskiest) > 0 AS in_unit,
+  (SELECT count(*) FROM riskiest) = 0 AS no_forest FROM enc""",
     "model_schedule": _TX
     + f""", {_TRAIN_DAYS}
 SELECT d AS day_no, d > 3 AND d < 5 AS train_recent, d > 7 AS train_delayed, d > 4 AS close_alerts,

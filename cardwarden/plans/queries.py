@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cardwarden.functions.clock import with_time_fields
@@ -18,6 +18,7 @@ from cardwarden.operators.history import (
     batch_cards,
     latest_per_key,
     of_batch_cards,
+    stored_counts,
 )
 from cardwarden.operators.joins import fits_broadcast, hot_keys, spread_join
 from cardwarden.operators.models import (
@@ -170,7 +171,10 @@ def history_semi(spark: SparkSession, sf_dir: str) -> DataFrame:
     cards = materialize(batch_cards(by_day, by=("batch_seq",)), "cards")
     few = fits_broadcast(cards, CFG.broadcast_rows)
     keys = ["batch_seq", "cardid"]
-    hot = None if few else hot_keys(cards, keys, "batch_rows", CFG.hot_rows, CFG.broadcast_rows)
+    hot = None
+    if not few:
+        held = materialize(stored_counts(seen, cards, by=("batch_seq",)), "stored-cards")
+        hot = hot_keys(held, keys, "stored_rows", CFG.hot_rows, CFG.broadcast_rows)
     return of_batch_cards(seen, cards, few, hot, by=("batch_seq",))
 
 @query("amount_stats")
@@ -369,52 +373,74 @@ def feedback_window(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- models --------------------------------------------------------------------------------
 
 
-def _trained(spark: SparkSession, sf_dir: str):
-    """All feature rows, the last day, and the delayed model of that day."""
-    rows = materialize(asof_hourly(fx.encoded(spark, sf_dir), CFG), "features")
-    day = rows.agg(F.max(F.call_function("div", F.col("tx_dhour"), F.lit(24)))).first()[0]
-    window = training_days(rows, "delayed", day, CFG).where(F.col("train_day") == day)
-    return rows, day, train_delayed(balanced_bags(window, CFG), CFG, f"delayed-{day}-0", day)
+def _day() -> Column:
+    return F.call_function("div", F.col("tx_dhour"), F.lit(24)).cast("int")
 
 
-def _forest(rows: DataFrame, day: int):
-    """The feedback forest of the last day, on the riskiest rows of the days before."""
-    amount_risk = F.col("tx_amount") * F.col("cat1")
-    scored = rows.withColumns(
-        {"risk": amount_risk, "day": F.call_function("div", F.col("tx_dhour"), F.lit(24))}
-    )
-    ranked = al.daily_ranks(scored, "day", "risk", CFG)
-    return train_feedback(ranked.where(al.in_feedback_window(F.col("day"), day, CFG)), CFG)
+def _delayed_model(rows: DataFrame, day: int):
+    """The delayed model of the last day, from feature rows."""
+    window = training_days(rows, "delayed", day, CFG).where(F.col("train_day") == day)
+    return train_delayed(balanced_bags(window, CFG), CFG, f"delayed-{day}-0", day)
+
 
+def _feedback_alerts(rows: DataFrame, day: int) -> DataFrame:
+    """The riskiest rows of the days before the last one, with features.
 
-def _describe(model_rows: list[tuple], spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(model_rows, "tree int, n_nodes int, depth int")
+    The risk needs no history, so the rows are ranked first, and features are built for the cards
+    of the alerts alone: ``alerts_per_day`` rows a day at most, few enough to broadcast.
+    """
+    scored = rows.withColumns({"risk": F.col("tx_amount") * F.col("cat1"), "day": _day()})
+    ranked = al.daily_ranks(scored, "day", "risk", CFG)
+    alerts = materialize(
+        ranked.where(al.in_feedback_window(F.col("day"), day, CFG)).select("tx_id", "cardid"), "alerts"
+    )
+    of_cards = rows.join(F.broadcast(alerts.select("cardid").distinct()), "cardid", "left_semi")
+    picked = F.broadcast(alerts.select("tx_id"))
+    return materialize(asof_hourly(of_cards, CFG).join(picked, "tx_id", "left_semi"), "feedback")
 
 @query("train_delayed")
 def train_delayed_model(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, _, model = _trained(spark, sf_dir)
-    trees = [t.trees[0] for t in model.trees] if model else []
-    return _describe([(i, t.numNodes, t.depth) for i, t in enumerate(trees)], spark)
+    """Per fitted tree its shard, bag, seed, genuine and fraud rows.
+
+    Features are built from the hours that the window's rows can see.
+    """
+    rows = fx.encoded(spark, sf_dir)
+    day = rows.agg(F.max(_day())).first()[0]
+    seen = rows.where(F.col("tx_dhour") > day * 24 - 2 * CFG.history_hours)
+    model = _delayed_model(asof_hourly(seen, CFG), day)
+    kinds = "shard int, bag int, seed int, n_genuine bigint, n_fraud bigint"
+    return spark.createDataFrame(list(model.bags) if model else [], kinds)
 
 @query("score_delayed")
 def score_delayed_model(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows, _, model = _trained(spark, sf_dir)
+    """Every row scored by the delayed model; whether the score is a probability."""
+    rows = materialize(asof_hourly(fx.encoded(spark, sf_dir), CFG), "features")
+    model = _delayed_model(rows, rows.agg(F.max(_day())).first()[0])
     if model is None:
-        return unscored(rows, CFG).select("tx_id", "zfraud_pr_d")
-    return score_delayed(with_vector(rows), [model]).select("tx_id", "zfraud_pr_d")
+        scored = unscored(rows, CFG)
+    else:
+        scored = score_delayed(with_vector(rows), [model])
+    return scored.select("tx_id", F.col("zfraud_pr_d").between(0, 1).alias("in_unit"))
 
 @query("train_feedback")
 def train_feedback_model(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = materialize(asof_hourly(fx.encoded(spark, sf_dir), CFG), "features")
-    forest = _forest(rows, rows.agg(F.max("tx_dhour")).first()[0] // 24)
-    trees = forest.trees if forest else []
-    return _describe([(i, t.numNodes, t.depth) for i, t in enumerate(trees)], spark)
+    """The day of the forest, its training rows, the frauds among them, and its trees."""
+    rows = fx.encoded(spark, sf_dir)
+    day = rows.agg(F.max(_day())).first()[0]
+    alerts = _feedback_alerts(rows, day)
+    forest = train_feedback(alerts, CFG)
+    facts = alerts.agg(F.count("*").alias("n"), F.count_if("label").alias("f")).first()
+    found = [(day, facts["n"], facts["f"], forest.getNumTrees)] if forest else []
+    return spark.createDataFrame(found, "day int, n_rows bigint, n_fraud bigint, n_trees int")
 
 @query("score_feedback")
 def score_feedback_model(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = materialize(asof_hourly(fx.encoded(spark, sf_dir), CFG), "features")
-    forest = _forest(rows, rows.agg(F.max("tx_dhour")).first()[0] // 24)
-    return score_feedback(with_vector(rows), forest).select("tx_id", "zfraud_pr_f")
+    """Every row scored by the forest; whether the score is a probability, or -1 for want of one."""
+    rows = fx.encoded(spark, sf_dir)
+    alerts = _feedback_alerts(rows, rows.agg(F.max(_day())).first()[0])
+    scored = score_feedback(with_vector(asof_hourly(rows, CFG)), train_feedback(alerts, CFG))
+    score = F.col("zfraud_pr_f")
+    return scored.select("tx_id", score.between(0, 1).alias("in_unit"), (score == -1).alias("no_forest"))
 
 
 # --- the stream ----------------------------------------------------------------------------

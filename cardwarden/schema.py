@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -20,12 +22,13 @@ FEATURES = [
     "w1_sum_amount", "w1_sum_merchantarea",
 ]
 
-# Number of codes of each nominal feature; codes run from 0.
+# Least number of codes of each nominal feature; codes run from 0.
 NOMINAL_ARITY = {"cat3": 7, "cat4": 7, "gender": 3, "nationality": 20, "boo1": 2, "boo2": 2}
 
 # Class names in code order.
 LABELS = ["genuine", "fraud"]
 
+# Names of the card statistics and scores.
 AMOUNT_STATS = [
     "w1_min_amount", "w1_max_amount", "w1_mmdif_amount", "w1_sum_amount",
     "w1_count_amount", "w1_avg_amount", "w1_countboo1false",
@@ -74,21 +77,21 @@ def nominal_metadata(values: list[str]) -> dict:
     return {"ml_attr": {"type": "nominal", "vals": values}}
 
 
-def feature_column(name: str, alias: str) -> Column:
+def feature_column(name: str, alias: str, arity: Mapping[str, int] = NOMINAL_ARITY) -> Column:
     """A feature as double; nominal ones carry their domain, and codes outside it become 0.
 
     Fits refuse numbers that are not finite, so NaN enters as 0 and infinities, like anything
     beyond ``LARGEST_FEATURE``, as that bound; the stored row keeps the number it came with.
     """
     col = F.col(name)
-    arity = NOMINAL_ARITY.get(name)
-    if arity is None:
+    codes = arity.get(name)
+    if codes is None:
         number = col.cast("double")
         bounded = F.greatest(F.lit(-LARGEST_FEATURE), F.least(F.lit(LARGEST_FEATURE), number))
         return F.when(F.isnan(number), F.lit(0.0)).when(number.isNotNull(), bounded).alias(alias)
     code = col.cast("int")
-    inside = F.when((code >= 0) & (code < arity), code).otherwise(F.lit(0))
-    vals = [str(i) for i in range(arity)]
+    inside = F.when((code >= 0) & (code < codes), code).otherwise(F.lit(0))
+    vals = [str(i) for i in range(codes)]
     return inside.cast("double").alias(alias, metadata=nominal_metadata(vals))
 
 

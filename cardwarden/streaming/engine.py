@@ -18,6 +18,7 @@ from cardwarden.operators.history import (
     finished,
     history_stats,
     of_batch_cards,
+    stored_counts,
 )
 from cardwarden.operators.joins import fits_broadcast, hot_keys, spread_join
 from cardwarden.operators.models import score, train_delayed, train_feedback
@@ -49,7 +50,7 @@ class Engine:
         self.spark = tables.spark
         self.tables = tables
         self.dictionary = dictionary
-        self.cfg = cfg
+        self.cfg = cfg = dictionary.widened(cfg)
         self.models = ModelRegistry(tables, cfg.fit_parallelism)
 
     def process_batch(self, lines: DataFrame, batch_id: int) -> None:
@@ -154,13 +155,15 @@ class Engine:
         else:
             cards = materialize(cards, "cards")
             few = fits_broadcast(cards, self.cfg.broadcast_rows)
-            hot = None if few else hot_keys(
-                cards, ["cardid"], "batch_rows", self.cfg.hot_rows, self.cfg.broadcast_rows
-            )
-            stats = history_stats(of_batch_cards(stored, cards, few, hot))
             if few:
+                stats = history_stats(of_batch_cards(stored, cards, True))
                 joined = rows.join(F.broadcast(stats), "cardid", "left")
             else:
+                limits = self.cfg.hot_rows, self.cfg.broadcast_rows
+                held = materialize(stored_counts(stored, cards), "stored-cards")
+                hot = hot_keys(held, ["cardid"], "stored_rows", *limits)
+                stats = history_stats(of_batch_cards(stored, cards, False, hot))
+                hot = hot_keys(cards, ["cardid"], "batch_rows", *limits)
                 joined = spread_join(rows, stats, ["cardid"], "tx_id", hot)
         return joined.selectExpr(*rows.columns, *finished())
 

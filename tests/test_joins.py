@@ -64,9 +64,9 @@ def test_large_dictionary_is_joined_without_broadcast(spark):
     )
     cfg = EngineConfig(broadcast_rows=5, hot_rows=50)
     big = Dictionary.of(entries, cfg)
-    assert not big.small
+    assert not big.small & {"cat1", "merchant", "TERM_COUNTRY"}
     got = encode_risk(rows, big, cfg)
-    want = encode_risk(rows, Dictionary(entries, True), cfg).select(got.columns)
+    want = encode_risk(rows, Dictionary(entries), cfg).select(got.columns)
     assert got.exceptAll(want).isEmpty() and got.count() == 500
 
 
@@ -81,3 +81,35 @@ def test_history_of_many_cards_is_salted(spark):
     want = of_batch_cards(history, cards, True)
     assert got.columns == want.columns
     assert got.exceptAll(want).isEmpty() and got.count() == want.count() > 0
+
+
+def test_one_long_list_leaves_the_other_lookups_broadcast(spark):
+    from cardwarden.operators.encode import VARIABLES, encode_id
+
+    entries = spark.createDataFrame(
+        [("nationality", f"n{i}", i, 0.0) for i in range(30)] + [("GENDER", "g1", 1, 0.0)],
+        "variable string, level string, id int, risk double",
+    )
+    cfg = EngineConfig(broadcast_rows=5)
+    d = Dictionary.of(entries, cfg)
+    assert d.small == VARIABLES - {"nationality"}
+    wide = d.widened(cfg)
+    assert wide.arity["nationality"] == 30 and wide.arity["gender"] == 3 and wide.max_bins == 32
+    rows = spark.createDataFrame([(1, "n29", "g1", "t", "u"), (2, None, "g9", "t", "u")],
+                                 "tx_id long, nationality_level string, gender_level string, "
+                                 "cat3_level string, cat4_level string")
+    got = {r.tx_id: (r.nationality, r.gender) for r in encode_id(rows, d, cfg).collect()}
+    assert got == {1: (29, 1), 2: (0, 0)}
+
+
+def test_card_rare_in_the_batch_and_hot_in_the_history(spark):
+    from cardwarden.operators.history import batch_cards, of_batch_cards, stored_counts
+
+    rows, _ = sides(spark)
+    history = rows.withColumnRenamed("key", "cardid")
+    cards = batch_cards(history.where("tx_id IN (0, 4, 5)"))
+    assert cards.where("cardid = 'hot'").first()["batch_rows"] == 1
+    hot = hot_keys(stored_counts(history, cards), ["cardid"], "stored_rows", 100, 10)
+    assert {r["cardid"]: r["_salts"] for r in hot.collect()} == {"hot": 10}
+    got, want = (of_batch_cards(history, cards, small, hot) for small in (False, True))
+    assert got.exceptAll(want).isEmpty() and got.count() == want.count() > 1000

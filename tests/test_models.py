@@ -109,3 +109,25 @@ def test_features_that_are_not_finite_enter_bounded(spark):
     df = spark.createDataFrame([(v,) for v in values], "tx_amount double")
     got = [r[0] for r in df.select(feature_column("tx_amount", "x")).collect()]
     assert got == [LARGEST_FEATURE, -LARGEST_FEATURE, 0.0, LARGEST_FEATURE, 2.5, None]
+
+
+def test_small_sets_keep_the_draws_of_a_bootstrap(spark):
+    """Trees on 4 rows weigh what a bootstrap of 4 weighs, though MLlib is given 20 rows."""
+    cfg = EngineConfig(feedback_trees=200, tree_depth=8)
+    forest = train_feedback(rows(spark, 2, 2), cfg)
+    copies = max(NOMINAL_ARITY.values()) // 4
+    weights = [t._java_obj.rootNode().impurityStats().count() for t in forest.trees]
+    mean = sum(weights) / len(weights)
+    spread = sum((w - mean) ** 2 for w in weights) / len(weights)
+    assert copies == 5 and abs(mean - 4) < 0.5 and 2.5 < spread < 6
+
+
+def test_codes_of_a_wider_dictionary_stay_apart(spark, data):
+    wide = {**NOMINAL_ARITY, "nationality": 80}
+    odd = data.limit(1).withColumn("nationality", F.lit(77))
+    vector = with_vector(odd, arity=wide).first()["features"].toArray()
+    assert vector[FEATURES.index("nationality")] == 77
+    with pytest.raises(ValueError):
+        EngineConfig(arity=wide)
+    cfg = EngineConfig(arity=wide, max_bins=80, n_tree=2, tree_depth=4)
+    assert len(train_delayed(data, cfg, "m-8-0", 8).trees) == 2
