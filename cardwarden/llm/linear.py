@@ -12,6 +12,7 @@ from collections import Counter
 from dataclasses import dataclass, field
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -84,32 +85,59 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, allowed: Column, sample:
     return docs.join(F.broadcast(few), "doc_id").select("doc_id", "text", "quality", "toxic")
 
 
-def choose_features(rows: DataFrame, target: str, chosen: int = CHOSEN, least: int = LEAST_DOCS) -> list[int]:
-    """The features whose share of documents differs most between the two values of ``target``."""
-    out = T.StructType.fromDDL("key long, pos long, neg long, n_pos long, n_neg long")
+def choose_features(rows: DataFrame, chosen: dict[str, int], least: int = LEAST_DOCS) -> list[int]:
+    """The features whose share of documents differs most between the values of each column.
+
+    ``chosen`` names 0/1 columns and how many features each may bring. All are counted in one pass
+    over ``rows``: per feature its documents, and those among them with a 1 in each column.
+    """
+    columns = list(chosen)
+    names = ["n", *(f"pos{i}" for i in range(len(columns)))]
+    out = T.StructType.fromDDL(", ".join(["key long", *(f"{c} long" for c in names)]))
     arrow = to_arrow_schema(out)
 
     def run(batches):
+        seen: dict[bytes, list[int]] = {}
+
+        def keys(text: bytes) -> set[int]:
+            if len(seen) > 200_000:
+                seen.clear()
+            out: set[int] = set()
+            for word in set(alnum_words(text)):
+                of_word = seen.get(word)
+                if of_word is None:
+                    of_word = seen[word] = keys_of(word)
+                out.update(of_word)
+            return out
+
         for batch in batches:
-            pos, neg, n = Counter(), Counter(), [0, 0]
-            for label, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                keys = {k for w in set(alnum_words(text or b"")) for k in keys_of(w)}
-                (pos if label else neg).update(keys)
-                n[not label] += 1
-            made = [(k, c, neg.pop(k, 0), 0, 0) for k, c in pos.items()] + [(k, 0, c, 0, 0) for k, c in neg.items()]
-            yield record_batch([*made, (-1, 0, 0, n[0], n[1])], arrow)
-
-    counted = rows.select(target, "text").mapInArrow(run, out).groupBy("key").agg(*(F.sum(c).alias(c) for c in ("pos", "neg", "n_pos", "n_neg")))
-    counted = materialize(counted.where((F.col("pos") + F.col("neg") >= least) | (F.col("key") == -1)), "features")
-    size = counted.where("key = -1").select("n_pos", "n_neg").first()
-    n_pos, n_neg = (size or (0, 0))[:2]
-    if not n_pos or not n_neg:
-        return []
-    p, q = (F.col("pos") + 0.5) / (n_pos + 1.0), (F.col("neg") + 0.5) / (n_neg + 1.0)
-    spread = F.sqrt(p * (1 - p) / n_pos + q * (1 - q) / n_neg)
-    z = F.abs(p - q) / spread
-    best = counted.where("key <> -1").select("key", z.alias("z")).where("z > 3").orderBy(F.desc("z"), "key").limit(chosen)
-    return [r["key"] for r in best.collect()]
+            # One counter per combination of labels; -1 counts the documents themselves.
+            found: dict[tuple, Counter] = {}
+            *flags, texts = (batch.column(i).to_pylist() for i in range(len(columns) + 1))
+            for text, *marks in zip(texts, *flags):
+                into = found.setdefault(tuple(map(bool, marks)), Counter())
+                into.update(keys(text or b""))
+                into[-1] += 1
+            for marks, counts in found.items():
+                n = np.fromiter(counts.values(), np.int64, len(counts))
+                made = [np.fromiter(counts, np.int64, len(counts)), n, *(n * m for m in marks)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in made], schema=arrow)
+
+    counted = rows.select(*columns, "text").mapInArrow(run, out).groupBy("key").agg(*(F.sum(c).alias(c) for c in names))
+    counted = materialize(counted.where((F.col("n") >= least) | (F.col("key") == -1)), "features")
+    size = counted.where("key = -1").first()
+    best: list[int] = []
+    for i, column in enumerate(columns):
+        n_pos, n_all = (size[f"pos{i}"], size["n"]) if size else (0, 0)
+        n_neg = n_all - n_pos
+        if not n_pos or not n_neg:
+            continue
+        p = (F.col(f"pos{i}") + 0.5) / (n_pos + 1.0)
+        q = (F.col("n") - F.col(f"pos{i}") + 0.5) / (n_neg + 1.0)
+        z = F.abs(p - q) / F.sqrt(p * (1 - p) / n_pos + q * (1 - q) / n_neg)
+        ranked = counted.where("key <> -1").select("key", z.alias("z")).where("z > 3")
+        best += [r["key"] for r in ranked.orderBy(F.desc("z"), "key").limit(chosen[column]).collect()]
+    return list(dict.fromkeys(best))
 
 
 def collect_rows(rows: DataFrame, chosen: dict[int, int]) -> list:

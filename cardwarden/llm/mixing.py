@@ -50,7 +50,7 @@ def fit_posterior(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> P
     Without labelled rows all domains are equally likely.
     """
     rows = materialize(labelled_sample(docs, labels, F.lit(True), sample).where("text is not null"), "labelled")
-    keys = list(dict.fromkeys([*choose_features(rows, "toxic", CHOSEN), *choose_features(rows, "quality", CHOSEN // 3)]))
+    keys = choose_features(rows, {"toxic": CHOSEN, "quality": CHOSEN // 3})
     index = {k: i for i, k in enumerate(keys)}
     found = collect_rows(rows, index)
     if not found:

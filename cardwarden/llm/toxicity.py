@@ -81,7 +81,8 @@ def fit_chain(docs: DataFrame, labels: DataFrame, allowed=None, sample: int = SA
     """
     rows = labelled_sample(docs, labels, F.lit(True) if allowed is None else allowed, sample)
     rows = materialize(rows.where("text is not null"), "labelled")
-    keys = list(dict.fromkeys([*choose_features(rows, "toxic", chosen), *choose_features(rows.withColumn("poor", 1 - F.col("quality")), "poor", chosen // 3)]))
+    # Poor is the other value of quality, which the choice treats alike.
+    keys = choose_features(rows, {"toxic": chosen, "quality": chosen // 3})
     index = {k: i for i, k in enumerate(keys)}
     found = collect_rows(rows, index)
     if not found:

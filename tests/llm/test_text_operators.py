@@ -317,3 +317,33 @@ def test_rates_meet_targets(spark):
     assert np.abs(reached - goal).max() < 1e-5 * goal.sum()
     rates = [r[0] for r in members.select(mixing.rate_of(found)).collect()]
     assert min(rates) >= 0 and np.allclose([sum(r * x[0] * x[k + 1] for r, x in zip(rates, rows)) for k in range(3)], goal, rtol=1e-4)
+
+
+def test_features_are_chosen_as_by_hand(spark):
+    """One pass over two columns picks what counting each column alone picks, ties by key."""
+    from cardwarden.llm.linear import choose_features, keys_of
+
+    rng = random.Random(8)
+    rows = []
+    for i in range(400):
+        toxic, quality = rng.random() < 0.3, rng.random() < 0.6
+        words = [rng.choice(WORDS[:40]) for _ in range(12)] + ["vile"] * toxic + ["neat"] * quality
+        rows.append((" ".join(words), int(toxic), int(quality)))
+    rows += [("", 1, 0), (None, 0, 1)]
+    want = []
+    for column, most in ((1, 5), (2, 3)):
+        n = [sum(not r[column] for r in rows), sum(r[column] for r in rows)]
+        counts = {}
+        for r in rows:
+            for k in {k for w in set((r[0] or "").split()) for k in keys_of(w.encode())}:
+                counts.setdefault(k, [0, 0])[r[column]] += 1
+        z = {}
+        for k, (a, b) in counts.items():
+            p, q = (b + 0.5) / (n[1] + 1), (a + 0.5) / (n[0] + 1)
+            z[k] = abs(p - q) / math.sqrt(p * (1 - p) / n[1] + q * (1 - q) / n[0]) if a + b >= 4 else 0
+        want += sorted((k for k in z if z[k] > 3), key=lambda k: (-z[k], k))[:most]
+    table = spark.createDataFrame(rows, "text string, toxic int, quality int").repartition(3)
+    table = table.withColumn("text", table["text"].cast("binary"))
+    got = choose_features(table, {"toxic": 5, "quality": 3})
+    assert got == list(dict.fromkeys(want)) and keys_of(b"vile")[0] in got and keys_of(b"neat")[0] in got
+    assert choose_features(table.where("toxic = 2"), {"toxic": 5, "quality": 3}) == []
