@@ -329,6 +329,19 @@ SELECT CAST(d AS INT) AS "day", count(*) AS n_rows, count(*) FILTER (label) AS n
     + """
 SELECT tx_id, (SELECT count(*) FROM riskiest) > 0 AS in_unit,
   (SELECT count(*) FROM riskiest) = 0 AS no_forest FROM enc""",
+    # Half-day batches; the clock is the first good time so far, counted from the first good line.
+    "stream_replay": _TX
+    + f""", parts AS (
+  SELECT tx_dhour // 12 AS batch_id, count(*) AS n_in, count(*) FILTER ({_GOOD}) AS n_good,
+    min(tx_ms) FILTER ({_GOOD}) AS first_ms FROM tx GROUP BY 1
+), clocked AS (
+  SELECT *, CAST((max(first_ms) OVER (ORDER BY batch_id) - first_value(first_ms) OVER (ORDER BY batch_id))
+    // 86400000 AS INT) AS "day" FROM parts
+)
+SELECT CAST(batch_id AS BIGINT) AS batch_id, "day", n_in, n_in - n_good AS n_dropped,
+  CASE WHEN "day" > 3 THEN CAST(least(20, sum(n_good) OVER (PARTITION BY "day" ORDER BY batch_id)) AS BIGINT)
+    ELSE 0 END AS n_alerts
+FROM clocked""",
     "model_schedule": _TX
     + f""", {_TRAIN_DAYS}
 SELECT d AS day_no, d > 3 AND d < 5 AS train_recent, d > 7 AS train_delayed, d > 4 AS close_alerts,

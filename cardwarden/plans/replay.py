@@ -8,39 +8,33 @@ from pyspark.sql import functions as F
 from cardwarden.config import EngineConfig
 from cardwarden.plans import fixtures as fx
 from cardwarden.session import scratch_path
-from cardwarden.sources.readers import read_transactions
 from cardwarden.sources.tables import Tables
-from cardwarden.streaming.engine import Engine, run_stream
+from cardwarden.streaming.engine import Engine
 
+#: Hours of a replayed batch: two batches a day, so lists of a day's alerts are merged.
+BATCH_HOURS = 12
 
-def write_batches(lines: DataFrame, batch: str, path: str) -> int:
-    """Write lines as text, one folder per batch, in time order for a file stream.
 
-    A file stream takes files by their modification time, so each batch's files get a time of
-    their own. The files of one batch share it; ``maxFilesPerTrigger`` is their common number.
+def write_batches(lines: DataFrame, batch: str, path: str) -> list[int]:
+    """Write lines (``tx_id``, ``value``) once, one folder per batch; the batches in order.
+
+    A crowded batch is split over tasks and files, small ones share a task.
     """
     spark = lines.sparkSession
-    one = lines.select("value", F.col(batch).alias("part")).repartition("part")
-    one.write.partitionBy("part").text(path)
-    hadoop = spark._jvm.org.apache.hadoop.fs
-    fs = hadoop.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
-    folders = [s.getPath() for s in fs.listStatus(hadoop.Path(path))]
-    parts = {int(f.getName().split("=")[1]): f for f in folders if "=" in f.getName()}
-    start = 1_700_000_000_000
-    for at, number in enumerate(sorted(parts)):
-        for status in fs.listStatus(parts[number]):
-            fs.setTimes(status.getPath(), start + at * 1000, -1)
-    return len(parts)
-
-
-def replay(spark: SparkSession, sf_dir: str, cfg: EngineConfig, hours_per_batch: int = 24) -> Tables:
-    """Run the engine over all transactions and return its tables."""
+    parts = lines.select("tx_id", "value", F.col(batch).alias("part")).hint("rebalance", "part")
+    parts.write.partitionBy("part").parquet(path)
+    found = spark.read.parquet(path).select("part").distinct().orderBy("part").collect()
+    return [row["part"] for row in found]
+
+
+def replay(spark: SparkSession, sf_dir: str, cfg: EngineConfig, hours_per_batch: int = BATCH_HOURS) -> Tables:
+    """Run the engine over all transactions, one batch after the other, and return its tables."""
     rows = fx.tx(spark, sf_dir)
     part = F.call_function("div", F.col("tx_dhour"), F.lit(hours_per_batch)).alias("part")
-    lines = fx.raw_lines(rows).select("value", part)
     source, root = scratch_path(spark, "lines"), scratch_path(spark, "engine")
-    write_batches(lines, "part", source)
-    stream = read_transactions(spark, "text", {"maxFilesPerTrigger": "1"}, source)
+    batches = write_batches(fx.raw_lines(rows).withColumn("part", part), "part", source)
     engine = Engine(Tables(spark, root), fx.dictionary(rows), cfg)
-    run_stream(stream, engine, f"{root}/checkpoint", available_now=True).awaitTermination()
+    reader = spark.read.schema("tx_id long, value string")
+    for number in batches:
+        engine.process_batch(reader.parquet(f"{source}/part={number}"), number)
     return engine.tables

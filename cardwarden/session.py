@@ -4,10 +4,15 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_DIR = "spark.checkpoint.dir"
+# Tables written by this thread since its innermost ``scratch_scope`` began.
+_WRITTEN: ContextVar[list[str] | None] = ContextVar("written", default=None)
 
 
 def build_session(app: str = "cardwarden", master: str | None = None, **conf: str) -> SparkSession:
@@ -55,5 +60,24 @@ def materialize(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) ->
     """
     spark = df.sparkSession
     path = scratch_path(spark, name)
+    if (written := _WRITTEN.get()) is not None:
+        written.append(path)
     df.write.partitionBy(*partition_by).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def scratch_scope(spark: SparkSession) -> Iterator[None]:
+    """Delete, on leaving, what this thread's ``materialize`` calls wrote inside.
+
+    For work that ends inside the scope; nothing read later may depend on its tables.
+    """
+    written: list[str] = []
+    token = _WRITTEN.set(written)
+    try:
+        yield
+    finally:
+        _WRITTEN.reset(token)
+        for name in written:
+            path = spark._jvm.org.apache.hadoop.fs.Path(name)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

@@ -37,6 +37,7 @@ REJECT = T.StructType(
         T.StructField("batch_id", T.LongType()),
     ]
 )
+METRIC = T.StructType([f for f in STATE.fields if f.name in ("batch_id", "day", "n_in", "n_dropped", "n_alerts")])
 ALERT_DAY = T.StructType([*ALERT.fields, T.StructField("day", T.IntegerType())])
 
 
@@ -48,7 +49,7 @@ class Tables:
         self.root = root.rstrip("/")
         self._path = spark._jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(self.root).getFileSystem(spark._jsc.hadoopConfiguration())
-        for name in ("history", "alerts", "alerts_current", "rejects", "state"):
+        for name in ("history", "alerts", "alerts_current", "rejects", "state", "metrics", "models"):
             self._fs.mkdirs(self._path(self.path(name)))
 
     def path(self, *parts: str) -> str:
@@ -62,6 +63,9 @@ class Tables:
         names = [s.getPath().getName() for s in self._fs.listStatus(self._path(folder))]
         return sorted(int(n[len(mark) :]) for n in names if n.startswith(mark))
 
+    def folders(self, name: str) -> list[str]:
+        return [s.getPath().getName() for s in self._fs.listStatus(self._path(self.path(name)))]
+
     def _drop(self, folder: str) -> None:
         self._fs.delete(self._path(folder), True)
 
@@ -171,15 +175,16 @@ class Tables:
     # --- state -------------------------------------------------------------------------
 
     def last_state(self, before_batch: int):
-        """The committed state that a batch starts from, or None for the first batch."""
-        known = self._values(self.path("state"), "day")
-        for day in reversed(known):
-            rows = self._read("state", STATE).where(
-                (F.col("day") == day) & (F.col("batch_id") < before_batch)
-            )
-            found = rows.orderBy(F.desc("batch_id")).limit(1).collect()
-            if found:
-                return found[0]
+        """The committed state that a batch starts from, or None for the first batch.
+
+        Reads one batch's folder of the newest day that has an earlier batch.
+        """
+        for day in reversed(self._values(self.path("state"), "day")):
+            folder = self.path("state", f"day={day}")
+            earlier = [b for b in self._values(folder, "batch_id") if b < before_batch]
+            if earlier:
+                reader = self.spark.read.schema(STATE).option("basePath", self.path("state"))
+                return reader.parquet(f"{folder}/batch_id={earlier[-1]}").first()
         return None
 
     def commit_state(self, **values) -> None:
@@ -195,7 +200,17 @@ class Tables:
 
     def batch_metrics(self) -> DataFrame:
         """One row per committed batch: lines in, lines dropped, alerts of the day so far."""
-        return self._read("state", STATE).select("batch_id", "day", "n_in", "n_dropped", "n_alerts")
+        states = self._read("state", STATE).select(*METRIC.names)
+        # While a day is folded its batches are in both tables.
+        return states.unionByName(self._read("metrics", METRIC)).dropDuplicates(["batch_id"])
+
+    def fold_state(self, before_day: int) -> None:
+        """Fold the states of days before ``before_day`` into one file of metrics a day."""
+        days = [d for d in self._values(self.path("state"), "day") if d < before_day]
+        for day in days:
+            rows = self._read("state", STATE).where(F.col("day") == day).select(*METRIC.names)
+            self._replace(rows.coalesce(1), "metrics", "day")
+            self._drop(self.path("state", f"day={day}"))
 
     def prune(self, before_batch: int, keep: int = 10) -> None:
         """Drop alert lists that no batch can start from any more.

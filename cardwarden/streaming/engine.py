@@ -24,7 +24,7 @@ from cardwarden.operators.joins import fits_broadcast, hot_keys, spread_join
 from cardwarden.operators.models import score, train_delayed, train_feedback
 from cardwarden.operators.parse import accepted, parse_lines, rejects
 from cardwarden.plans.schedule import day_plan, live_after
-from cardwarden.session import materialize
+from cardwarden.session import materialize, scratch_scope
 from cardwarden.sources.tables import Tables, current_tables
 from cardwarden.streaming.registry import ModelRegistry
 
@@ -54,7 +54,14 @@ class Engine:
         self.models = ModelRegistry(tables, cfg.fit_parallelism)
 
     def process_batch(self, lines: DataFrame, batch_id: int) -> None:
-        """Run one batch of lines (``tx_id``, ``value``); safe to run again with the same id."""
+        """Run one batch of lines (``tx_id``, ``value``); safe to run again with the same id.
+
+        Intermediate tables are dropped when the batch ends.
+        """
+        with scratch_scope(self.spark):
+            self._process(lines, batch_id)
+
+    def _process(self, lines: DataFrame, batch_id: int) -> None:
         last = self.tables.last_state(batch_id)
         parsed = parse_lines(lines, self.cfg).persist(StorageLevel.MEMORY_AND_DISK)
         try:
@@ -83,7 +90,7 @@ class Engine:
                 models=now.models, forest=now.forest, alerts_batch=now.alerts_batch,
                 n_in=n_in, n_dropped=n_in - n_good, n_alerts=n_alerts,
             )
-            self._maintain(now, batch_id, rolled=last is not None and now.day > last["day"])
+            self._maintain(last, now, batch_id)
         finally:
             parsed.unpersist()
 
@@ -183,11 +190,16 @@ class Engine:
         now.alerts_batch = batch_id
         return self.tables.current_alerts(batch_id).count()
 
-    def _maintain(self, now: Progress, batch_id: int, rolled: bool) -> None:
+    def _maintain(self, last, now: Progress, batch_id: int) -> None:
+        """Drop what neither the next batch nor a second run of this one can need."""
         self.tables.expire_history(now.clock_hour, self.cfg)
         self.tables.prune(batch_id)
-        self.models.forget({*now.models, *([now.forest] if now.forest else [])})
-        if rolled:
+        live = {*now.models, now.forest}
+        if last is not None and now.day > last["day"]:
+            self.models.drop(live | {*last["models"], last["forest"]})
+            self.tables.fold_state(last["day"])
+        self.models.forget(live)
+        if last is not None and now.day > last["day"]:
             self.tables.compact_history(now.clock_hour, batch_id, self.cfg.spare_folders)
 
 

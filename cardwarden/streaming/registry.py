@@ -54,7 +54,13 @@ class ModelRegistry:
             self._loaded[model_id] = RandomForestClassificationModel.load(self._folder(model_id))
         return self._loaded[model_id]
 
-    def forget(self, live: set[str]) -> None:
+    def drop(self, live: set[str | None]) -> None:
+        """Delete the folders of all models but those of ``live``."""
+        for model_id in self._tables.folders("models"):
+            if model_id not in live:
+                self._tables._drop(self._folder(model_id))
+
+    def forget(self, live: set[str | None]) -> None:
         """Release the models that no longer score."""
         for model_id in [m for m in self._loaded if m not in live]:
             del self._loaded[model_id]

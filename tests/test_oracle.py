@@ -11,7 +11,8 @@ def con(sf_dir):
     return connect(sf_dir)
 
 
-@pytest.mark.parametrize("name", sorted(entry.oracle_sql()))
+# The stream takes minutes; tests/test_stream.py compares it over nine days.
+@pytest.mark.parametrize("name", sorted(set(entry.oracle_sql()) - {"stream_replay"}))
 def test_matches_sql(spark, con, sf_dir, name):
     result = entry.queries()[name](spark, sf_dir)
     assert difference(result, con, entry.oracle_sql()[name]) is None

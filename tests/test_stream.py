@@ -1,6 +1,9 @@
 """The engine: replay against batch, reruns, restart, late rows, retention, alerts, tables."""
 
+import os
+
 import pytest
+from oracle_check import connect, difference
 from pyspark.sql import functions as F
 
 from cardwarden.config import EngineConfig
@@ -10,9 +13,10 @@ from cardwarden.operators.encode import encode_id, encode_risk
 from cardwarden.operators.history import latest_per_key
 from cardwarden.operators.parse import accepted, parse_lines
 from cardwarden.plans import fixtures as fx
-from cardwarden.plans.replay import write_batches
+from cardwarden.plans.oracle import ORACLE
+from cardwarden.plans.queries import REGISTRY
 from cardwarden.schema import AMOUNT_STATS, AREA_STATS, LAST_TX
-from cardwarden.session import materialize
+from cardwarden.session import materialize, scratch_scope
 from cardwarden.sources.readers import read_dictionary, read_transactions
 from cardwarden.sources.tables import Tables, current_tables, new_tables
 from cardwarden.streaming.engine import Engine, run_stream
@@ -28,6 +32,26 @@ def source(spark, sf_dir):
     return materialize(lines.select("tx_id", "value", "day"), "test-lines"), fx.dictionary(rows)
 
 
+def write_text_batches(lines, batch, path):
+    """Write lines as text, one folder per batch, in time order for a file stream.
+
+    A file stream takes files by their modification time, so each batch's files get a time of
+    their own. The files of one batch share it; ``maxFilesPerTrigger`` is their common number.
+    """
+    spark = lines.sparkSession
+    one = lines.select("value", F.col(batch).alias("part")).repartition("part")
+    one.write.partitionBy("part").text(path)
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    fs = hadoop.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    folders = [s.getPath() for s in fs.listStatus(hadoop.Path(path))]
+    parts = {int(f.getName().split("=")[1]): f for f in folders if "=" in f.getName()}
+    start = 1_700_000_000_000
+    for at, number in enumerate(sorted(parts)):
+        for status in fs.listStatus(parts[number]):
+            fs.setTimes(status.getPath(), start + at * 1000, -1)
+    return len(parts)
+
+
 def day_lines(lines, day):
     return lines.where(F.col("day") == day).select("tx_id", "value")
 
@@ -148,7 +172,7 @@ def test_stream_restart_late_rows_and_retention(spark, source, tmp_path):
     late = wanted.where("day = 0").limit(7).withColumn("day", F.lit(9)).withColumn(
         "value", F.concat(F.lit("late"), "value")  # new cards, old times
     )
-    assert write_batches(wanted.select("value", "day").unionByName(late.select("value", "day")), "day", first) == 4
+    assert write_text_batches(wanted.select("value", "day").unionByName(late.select("value", "day")), "day", first) == 4
 
     def go(options):
         engine = Engine(Tables(spark, second), dictionary, cfg)
@@ -213,3 +237,55 @@ def test_reset_is_remembered_by_later_starts(spark, tmp_path):
     assert current_tables(spark, root).root == f"{root}-0"
     assert current_tables(spark, root, reset=True).root == f"{root}-1"
     assert current_tables(spark, root).root == f"{root}-1"
+
+
+def test_replay_matches_its_sql(spark, sf_dir, tmp_path):
+    """Nine days of half-day batches cross every branch of the schedule."""
+    for name in os.listdir(sf_dir):
+        os.symlink(f"{sf_dir}/{name}", tmp_path / name) if name != "events.parquet" else None
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    start = events.agg(F.min("ts")).scalar()
+    events.where(F.col("ts") < start + F.expr("INTERVAL 9 DAYS")).write.parquet(str(tmp_path / "events.parquet"))
+    con = connect(sf_dir)
+    con.execute(f"CREATE OR REPLACE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    result = REGISTRY["stream_replay"](spark, str(tmp_path))
+    assert difference(result, con, ORACLE["stream_replay"]) is None
+    assert result.where("n_alerts > 0").count() > 0
+
+
+def test_state_and_models_stay_few(spark, tmp_path):
+    """Folded days keep their metrics; a rerun's state and models stay."""
+    tables = Tables(spark, str(tmp_path / "tables"))
+    models = Engine(tables, read_dictionary_of_nothing(spark, tmp_path)).models
+    for batch in range(24):
+        day = batch // 2
+        spark.range(1).write.mode("overwrite").parquet(tables.path("models", f"recent-{day}-{batch}"))
+        tables.commit_state(
+            batch_id=batch, origin_ms=0, clock_ms=0, day=day, models=[f"recent-{day}-{batch}"],
+            forest=None, alerts_batch=None, n_in=batch, n_dropped=0, n_alerts=0,
+        )
+        if batch and batch % 2 == 0:
+            models.drop({f"recent-{day}-{batch}", f"recent-{day - 1}-{batch - 1}", None})
+            tables.fold_state(day - 1)
+            assert len(tables._values(tables.path("state"), "day")) == 2
+            assert len(tables.folders("models")) == 2
+        before = tables.last_state(batch)
+        assert (before["batch_id"] if before else None) == (batch - 1 if batch else None)
+    assert [r.n_in for r in tables.batch_metrics().orderBy("batch_id").collect()] == list(range(24))
+
+
+def read_dictionary_of_nothing(spark, folder):
+    path = folder / "dictionary.csv"
+    path.write_text("cat1,0,click,0.25\n")
+    return read_dictionary(spark, str(path), CFG)
+
+
+def test_scratch_scope_drops_its_own_tables_only(spark):
+    def folder(df):
+        return os.path.dirname(df.inputFiles()[0].removeprefix("file:"))
+
+    outside = folder(materialize(spark.range(3), "outside"))
+    with scratch_scope(spark):
+        inside = folder(materialize(spark.range(3), "inside"))
+        assert os.path.isdir(inside)
+    assert not os.path.exists(inside) and os.path.isdir(outside)
