@@ -1,4 +1,4 @@
-"""Quality rules by compression: zstandard ratios of whole documents and of fixed chunks.
+"""Quality rules by compression: zstandard ratios of whole documents and of overlapping chunks.
 
 Repetitive text compresses far better than prose of its length, random or encoded text far worse.
 The ratio of a short text is higher for reasons of format alone, so each length has its own band.
@@ -21,6 +21,8 @@ DOCUMENT_BANDS = (
 )
 #: (lowest, highest) ratio of a full chunk; ``BAD_CHUNKS`` is the share of chunks allowed outside.
 CHUNK_BYTES, CHUNK_BAND, BAD_CHUNKS = 4096, (0.22, 0.65), 0.25
+#: Every text also has chunks of this size, or is one; they are held to the document band of theirs.
+SHORT_CHUNK_BYTES = 1024
 LEVEL = 3
 
 MIN_WORDS, MAX_REPEATED_PERCENT = 50, 50
@@ -61,6 +63,15 @@ def band_of(n_bytes: int, bands=DOCUMENT_BANDS) -> tuple[float, float]:
     return [b[1:] for b in bands if n_bytes >= b[0]][-1]
 
 
+def chunk_places(n_bytes: int, size: int) -> list[tuple[int, int]]:
+    """(first, end) of equal chunks at even distances of half a chunk at most, which hold every byte
+    of a text of at least ``size`` bytes; the places are the same counted from either end."""
+    last = n_bytes - size
+    steps = -(-last // (size // 2)) | 1
+    half = [last * i // steps for i in range(steps // 2 + 1)]
+    return [(a, a + size) for a in sorted({*half, *(last - a for a in half)})]
+
+
 def judge(text: bytes, compressor: zstandard.ZstdCompressor, bands=DOCUMENT_BANDS) -> tuple:
     words = text.split()
     chars = len(b"".join(words).decode("utf-8", "replace"))
@@ -68,12 +79,16 @@ def judge(text: bytes, compressor: zstandard.ZstdCompressor, bands=DOCUMENT_BAND
     failed = len(words) < MIN_WORDS or 100 * repeated > MAX_REPEATED_PERCENT * len(words)
     ratio = len(compressor.compress(text)) / len(text) if text else 0.0
     low, high = band_of(len(text), bands)
-    full = range(0, len(text) - CHUNK_BYTES + 1, CHUNK_BYTES)
-    chunk_ratios = [len(compressor.compress(text[i : i + CHUNK_BYTES])) / CHUNK_BYTES for i in full]
-    bad = sum(not CHUNK_BAND[0] <= r <= CHUNK_BAND[1] for r in chunk_ratios)
-    kept = not failed and low <= ratio <= high and bad <= BAD_CHUNKS * len(chunk_ratios)
+    bad_of = []
+    for size, band in ((SHORT_CHUNK_BYTES, band_of(SHORT_CHUNK_BYTES, bands)), (CHUNK_BYTES, CHUNK_BAND)):
+        if len(text) >= size:
+            ratios = [len(compressor.compress(text[a:b])) / size for a, b in chunk_places(len(text), size)]
+            bad_of.append((sum(not band[0] <= r <= band[1] for r in ratios), len(ratios)))
+    if text and not bad_of:
+        bad_of.append((int(not low <= ratio <= high), 1))
+    kept = not failed and low <= ratio <= high and all(bad <= BAD_CHUNKS * n for bad, n in bad_of)
     symbols = sum(text.count(s) for s in _SYMBOLS)
-    return (len(words), chars, symbols, duplicate_lines(text), repeated, failed, kept, ratio, len(chunk_ratios), bad)
+    return (len(words), chars, symbols, duplicate_lines(text), repeated, failed, kept, ratio, sum(n for _, n in bad_of), sum(bad for bad, _ in bad_of))
 
 
 def compression_bands(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bands=DOCUMENT_BANDS) -> DataFrame:
@@ -81,7 +96,8 @@ def compression_bands(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
     A null or empty text has zero counts and fails the base rule; so does a text without words.
     Repeated rows and null ids get one row each; an empty table gives none; other columns of
-    ``docs`` are not read. Texts are judged whole, one at a time, in a scan without a shuffle.
+    ``docs`` are not read. The chunks of either size overlap and hold all of a text, so junk counts
+    wherever it lies; ``n_chunks`` and ``n_bad_chunks`` cover both sizes. Texts are judged whole, one at a time, in a scan without a shuffle.
     """
 
     def make():
