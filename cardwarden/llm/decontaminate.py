@@ -191,7 +191,9 @@ def _search_part(index, words, ids, places, size, threshold, question, answer, h
     if not len(known):
         return hits
     cuts = np.searchsorted(known, edges)
-    halves = np.add.reduceat(index.bounds[ids[known]], np.minimum(cuts[:-1], len(known) - 1), axis=0)
+    # The row of no item ends the bounds, so that an empty half after the last known word has a place.
+    rows = np.append(ids[known], len(index.rows))
+    halves = np.add.reduceat(index.bounds[rows], cuts[:-1], axis=0)
     halves[cuts[1:] == cuts[:-1]] = 0
     reach = (halves[:-1] + halves[1:]).max(1) >= threshold - 1e-3
     for start, stop in (p for p, r in zip(places, reach) if r):

@@ -29,3 +29,24 @@ def test_search_equals_plain_scoring_of_every_passage():
                 if x >= 0.5 - 1e-9:
                     want[item] = max(want.get(item, 0), round(x, 9))
         assert {index.items.index(next(i for i in index.items if i[0] == r[0])): round(r[2], 9) for r in found} == want
+
+
+def test_last_known_word_counts_in_short_documents():
+    rng = random.Random(4)
+    words = [f"w{i}" for i in range(400)]
+    items = [(i, " ".join(rng.sample(words, rng.randint(6, 20))).encode()) for i in range(40)]
+    df = Counter(w for _, t in items for w in set(t.split()))
+    index = d.Index(items, df, len(items), 13.0)
+    narrow = 0
+    for item, text in items:
+        held = text.split()
+        impact = {w: dict(zip(*index.postings[w][:2]))[item] for w in held}
+        for k in range(1, len(held) + 1):
+            score = sum(impact[w] for w in held[:k])
+            last = impact[held[k - 1]]
+            narrow += score - last < 0.5 <= score
+            # Alone, after words that no item has, and before a half passage of such words.
+            for doc in (held[:k], [b"zz"] * 20 + held[:k], held[:k] + [b"zz"] * 90):
+                found = {r[0] for r in d.search(index, b" ".join(doc), 128, 0.5, 0.0, 0.0)}
+                assert (item in found) == (score >= 0.5 - 1e-9)
+    assert narrow == len(items)
