@@ -42,7 +42,7 @@ def seeds(notice: str, edits: int) -> list[tuple[int, str]]:
 
 
 def pattern(notice: str, edits: int) -> regex.Pattern:
-    return regex.compile(f"(?b)(?:{regex.escape(notice, literal_spaces=True)}){{e<={edits}}}")
+    return regex.compile(f"(?e)(?:{regex.escape(notice, literal_spaces=True)}){{e<={edits}}}")
 
 
 @dataclass
