@@ -76,13 +76,16 @@ class Chooser:
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, allowed: Column, sample: int = SAMPLE) -> DataFrame:
     """Documents with labels (doc_id, text, quality, toxic): all, or a share chosen by the id's hash
-    that gives about ``sample`` rows. ``docs`` are slim; rows with null labels are left out."""
+    that gives about ``sample`` rows. ``docs`` are slim; rows with null labels are left out. Of the
+    rows that share an id one stands for all, so no id outweighs the others or breaks the bound."""
     known = labels.select("doc_id", "quality", "toxic").dropna().dropDuplicates(["doc_id"]).where(allowed)
     n = known.count()
     part = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int((1 << 20) * min(1.0, sample / max(1, n)))
     few = known.where(part)
     # At most about ``sample`` rows, so the broadcast has a proven bound.
-    return docs.join(F.broadcast(few), "doc_id").select("doc_id", "text", "quality", "toxic")
+    rows = docs.join(F.broadcast(few), "doc_id").withColumn("_h", F.xxhash64("text"))
+    one = rows.groupBy("doc_id").agg(F.min_by(F.struct("text", "quality", "toxic"), "_h").alias("_r"))
+    return one.select("doc_id", "_r.text", "_r.quality", "_r.toxic")
 
 
 def choose_features(rows: DataFrame, chosen: dict[str, int], least: int = LEAST_DOCS) -> list[int]:

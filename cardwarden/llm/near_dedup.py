@@ -26,7 +26,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from cardwarden.llm.components import connected_components
 from cardwarden.llm.substring_dedup import Hasher, mix
-from cardwarden.llm.words import record_batch, slim
+from cardwarden.llm.words import free_name, record_batch, slim
 from cardwarden.session import materialize
 
 #: Bins of a sketch; bands times rows of a band are the bins.
@@ -306,12 +306,15 @@ def near_duplicates(
         tested.append(pairs)
         links.append(finder.verified(pairs, texts))
         live = _merged(live, links[-1])
+    # Also where no turn proposed anything: a bucket's other members may still be linked.
+    rest, crowds = finder.remaining(live)
     if tested:
-        rest, crowds = finder.remaining(live)
         rest = rest.distinct().join(_both_ways(tested), ["a", "b"], "left_anti")
-        links.append(finder.verified(materialize(rest, "remaining"), texts))
-        if _some(crowds):
-            links.append(finder.crowded_links(crowds, texts))
+    rest = materialize(rest, "remaining")
+    if _some(rest):
+        links.append(finder.verified(rest, texts))
+    if _some(crowds):
+        links.append(finder.crowded_links(crowds, texts))
     return _result(marked, classes, links)
 
 
@@ -339,7 +342,9 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
 
     Of several rows with a kept id and one text, all stay.
     """
-    gone = near_duplicates(docs, id_col, text_col, size, percent).where("not kept").select(F.col("doc_id").alias("_gone")).distinct()
+    gone = near_duplicates(docs, id_col, text_col, size, percent).where("not kept")
+    name = free_name("_gone", docs)
+    gone = gone.select(F.col("doc_id").alias(name)).distinct()
     gone = materialize(gone, "near-duplicates")
     hinted = F.broadcast(gone) if _few(gone, BROADCAST_IDS) else gone
-    return docs.join(hinted, docs[id_col] == gone["_gone"], "left_anti")
+    return docs.join(hinted, docs[id_col] == gone[name], "left_anti")

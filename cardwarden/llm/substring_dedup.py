@@ -26,7 +26,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from cardwarden.llm.words import record_batch, slim
+from cardwarden.llm.words import free_name, record_batch, slim
+from cardwarden.operators.joins import fits_broadcast
 from cardwarden.session import materialize
 
 WINDOW, MINIMISER = 50, 6
@@ -39,6 +40,9 @@ MAX_PARTITIONS = 20_000
 #: in one document of ``HOT_SAMPLE``; the list only decides how windows travel, never the result.
 HOT_COUNT, HOT_SAMPLE, HOT_LIST = 512, 8, 1_000_000
 
+#: Repeated (id, text) pairs are broadcast up to this many.
+BROADCAST_ROWS = 500_000
+
 PACKED, SINGLE, COVERED = 0, 1, 2
 PARCEL = "bucket long, kind int, ids binary, tags binary, starts binary, lengths binary, load binary"
 _TOKEN = re.compile(rb"[^\x20\x09-\x0D]+[\x20\x09-\x0D]*")
@@ -367,16 +371,33 @@ def covered_words(n_words: int, runs: list[tuple[bytes, bytes]], window: int) ->
     return np.cumsum(step[:-1]) > 0
 
 
-def _with_runs(docs: DataFrame, id_col: str, text_col: str, window: int) -> DataFrame:
-    """``docs`` with the column ``_runs``. The tag keeps rows apart that share an id, not a text."""
-    tag = F.hash(docs[text_col])
+def _one_each(rows: DataFrame) -> DataFrame:
+    """One row per (doc_id, tag). Copies have the same windows in the same places, so one of them
+    finds the runs of all; an id that repeats without end sends one row.
+
+    Only ids and hashes are counted; texts move only for those that are repeated.
+    """
+    keys = ["doc_id", "tag"]
+    again = rows.where("doc_id is not null").groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1").select(*keys)
+    again = materialize(again, "repeated-rows")
+    if not again.limit(1).count():
+        return rows
+    hinted = F.broadcast(again) if fits_broadcast(again, BROADCAST_ROWS) else again
+    first = rows.join(hinted, keys, "left_semi").groupBy(*keys).agg(F.first("text").alias("text"))
+    return rows.join(hinted, keys, "left_anti").unionByName(first)
+
+
+def _with_runs(docs: DataFrame, id_col: str, text_col: str, window: int) -> tuple[DataFrame, str]:
+    """``docs`` with a column of runs, and its name. The tag keeps rows apart that share an id, not
+    a text; the added names are none of ``docs``."""
+    own = F.hash(docs[text_col].cast("binary"))
     rows = slim(docs, id_col, text_col).withColumn("tag", F.hash(F.col("text"))).select("doc_id", "tag", "text")
     rows = rows.withColumn("doc_id", F.col("doc_id").cast("long"))
-    runs = repeated_runs(rows, window).groupBy("doc_id", "tag").agg(F.collect_list(F.struct("starts", "lengths")).alias("_runs"))
-    runs = runs.select(F.col("doc_id").alias("_run_doc"), F.col("tag").alias("_run_tag"), "_runs")
-    # The same hash as above: of the text as bytes.
-    tag = F.hash(docs[text_col].cast("binary"))
-    return docs.join(runs, (docs[id_col].cast("long") == runs["_run_doc"]) & (tag == runs["_run_tag"]), "left").drop("_run_doc", "_run_tag")
+    name, doc, tag = (free_name(n, docs) for n in ("_runs", "_run_doc", "_run_tag"))
+    runs = repeated_runs(_one_each(rows), window).groupBy("doc_id", "tag").agg(F.collect_list(F.struct("starts", "lengths")).alias(name))
+    runs = runs.select(F.col("doc_id").alias(doc), F.col("tag").alias(tag), name)
+    joined = docs.join(runs, (docs[id_col].cast("long") == runs[doc]) & (own == runs[tag]), "left")
+    return joined.drop(doc, tag), name
 
 
 def _parts(runs) -> list[tuple[bytes, bytes]]:
@@ -392,7 +413,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     columns of ``docs`` are not read.
     """
     rows = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"))
-    joined = _with_runs(rows, "doc_id", "text", window).select("doc_id", F.col("text").cast("binary").alias("text"), "_runs")
+    joined, name = _with_runs(rows, "doc_id", "text", window)
+    joined = joined.select("doc_id", F.col("text").cast("binary").alias("text"), name)
     out = T.StructType([rows.schema["doc_id"], *T.StructType.fromDDL("n_words long, n_removed long, kept_sha256 string").fields])
     arrow = to_arrow_schema(out)
 
@@ -417,8 +439,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
     """``docs`` with the repeated words cut from the text, all columns and rows kept.
 
-    A cut word takes the white space after it along; texts that lose nothing stay as they are,
-    null included.
+    A cut word takes the white space after it along, and white space before the first word of such
+    a text goes too; texts that lose nothing stay as they are, null included.
     """
 
     @F.pandas_udf("string")
@@ -432,6 +454,6 @@ def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
         return pd.Series([one(*x) for x in zip(texts, starts, lengths)], dtype=object)
 
-    joined = _with_runs(docs, id_col, text_col, window)
-    cut_text = F.when(F.col("_runs").isNotNull(), cut(F.col(text_col), F.col("_runs.starts"), F.col("_runs.lengths")))
+    joined, name = _with_runs(docs, id_col, text_col, window)
+    cut_text = F.when(F.col(name).isNotNull(), cut(F.col(text_col), F.col(f"{name}.starts"), F.col(f"{name}.lengths")))
     return joined.withColumn(text_col, F.coalesce(cut_text, F.col(text_col))).select(*docs.columns)
