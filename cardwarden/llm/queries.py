@@ -16,6 +16,7 @@ from cardwarden.llm.near_dedup import near_duplicates
 from cardwarden.llm.substring_dedup import remove_repeats
 from cardwarden.llm.toxicity import score_toxicity
 from cardwarden.llm.url_filter import filter_urls
+from cardwarden.llm.whitening import whiten
 from cardwarden.llm.words import read_table
 
 #: (verdict, host, path) of the URL rules.
@@ -48,7 +49,7 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The documents that the chain rejects, with their probabilities."""
+    """Every document with the chain's probabilities and whether it rejects it."""
     docs, labels = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")
     return score_toxicity(docs, labels)
 
@@ -73,10 +74,15 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_leaks(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten(read_table(spark, sf_dir, "embeddings"))
+
+
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_compression, op2_url_filter, op3_near_dedup, op4_substring_dedup, op5_toxicity,
         op6_mixing, op7_lattice, op8_line_crf, op9_licenses, op10_decontaminate,
+        op11_whitening,
     )
 }
