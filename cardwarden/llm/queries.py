@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from cardwarden.llm.collocations import collocations
 from cardwarden.llm.compression import compression_bands
 from cardwarden.llm.decontaminate import find_leaks
 from cardwarden.llm.lattice import lattice_scores
@@ -78,11 +79,15 @@ def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whiten(read_table(spark, sf_dir, "embeddings"))
 
 
+def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(read_table(spark, sf_dir, "documents"))
+
+
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_compression, op2_url_filter, op3_near_dedup, op4_substring_dedup, op5_toxicity,
         op6_mixing, op7_lattice, op8_line_crf, op9_licenses, op10_decontaminate,
-        op11_whitening,
+        op11_whitening, op12_phrases,
     )
 }
