@@ -14,6 +14,7 @@ from cardwarden.llm.licenses import scan_licenses
 from cardwarden.llm.line_crf import line_quality
 from cardwarden.llm.mixing import mix_documents
 from cardwarden.llm.near_dedup import near_duplicates
+from cardwarden.llm.private_spans import find_private
 from cardwarden.llm.substring_dedup import remove_repeats
 from cardwarden.llm.toxicity import score_toxicity
 from cardwarden.llm.url_filter import filter_urls
@@ -83,11 +84,15 @@ def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations(read_table(spark, sf_dir, "documents"))
 
 
+def op13_private(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_private(read_table(spark, sf_dir, "documents"))
+
+
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_compression, op2_url_filter, op3_near_dedup, op4_substring_dedup, op5_toxicity,
         op6_mixing, op7_lattice, op8_line_crf, op9_licenses, op10_decontaminate,
-        op11_whitening, op12_phrases,
+        op11_whitening, op12_phrases, op13_private,
     )
 }
