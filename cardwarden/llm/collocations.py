@@ -41,7 +41,8 @@ CROWDED = BUCKET // 4
 #: Words that a task remembers, beside those of its current chunk.
 KNOWN = 200_000
 MAX_PARTITIONS = 20_000
-BITS = 25
+#: Bits of a map, counters of a task that looks for crowded prefixes, and blocks that they travel in.
+BITS, SLOTS, BLOCKS = 1 << 25, 1 << 22, 64
 #: Small tables are broadcast up to, join keys spread above, this many rows.
 BROADCAST_ROWS, HOT_ROWS = 100_000, 500_000
 
@@ -106,19 +107,20 @@ def word_counts(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, schema).groupBy("lang", "word").agg(F.sum("n").alias("n"))
 
 
-def bit_map(keys: DataFrame) -> np.ndarray | None:
-    """The bits ``key`` as one map, or None if there are none; the driver gets 2^(BITS-6) rows at most."""
-    word, bit = F.expr(f"shiftright(key & {(1 << BITS) - 1}L, 6)"), F.expr("shiftleft(1L, CAST(key & 63L AS INT))")
+def bit_map(keys: DataFrame, size: int = BITS) -> np.ndarray | None:
+    """The lowest bits of ``key`` as one map of ``size`` bits, a power of two, or None if there are
+    none; the driver gets size/64 rows at most."""
+    word, bit = F.expr(f"shiftright(key & {size - 1}L, 6)"), F.expr("shiftleft(1L, CAST(key & 63L AS INT))")
     words = keys.select(word.alias("w"), bit.alias("b")).groupBy("w").agg(F.bit_or("b").alias("b")).collect()
     if not words:
         return None
-    out = np.zeros(1 << (BITS - 6), np.uint64)
+    out = np.zeros(size // 64, np.uint64)
     out[[r["w"] for r in words]] = np.array([r["b"] for r in words], np.int64).view(np.uint64)
     return out
 
 
 def has_bit(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    k = keys.astype(np.uint64) & np.uint64((1 << BITS) - 1)
+    k = keys.astype(np.uint64) & np.uint64(64 * len(bits) - 1)
     return (bits[(k >> np.uint64(6)).astype(np.int64)] >> (k & np.uint64(63))) & np.uint64(1) != 0
 
 
@@ -198,24 +200,42 @@ def routes(rows: np.ndarray, hashes: np.ndarray, crowded: list[np.ndarray]) -> t
 
 def crowded_prefixes(rows: DataFrame, frequent, crowded: list, longest: int, limit: int) -> np.ndarray | None:
     """Bits of the prefixes, one word longer than those of the last map in ``crowded``, of more than
-    ``limit`` suffixes. Counted by hash: a chance collision only sends suffixes further apart."""
-    arrow = to_arrow_schema(T.StructType.fromDDL("key long, n long"))
-    depth = len(crowded) + 1
+    ``limit`` suffixes.
+
+    A task counts into ``SLOTS`` counters by hash, whatever it reads, and sends them in blocks that
+    are added up side by side. Prefixes in one slot are crowded together, which only sends their
+    suffixes further apart.
+    """
+    arrow = to_arrow_schema(T.StructType.fromDDL("block int, counts binary"))
+    depth, width = len(crowded) + 1, SLOTS // BLOCKS
 
     def run(batches):
         known: dict[str, Vocabulary] = {}
+        counters = np.zeros(SLOTS, np.uint32)
         for batch in batches:
             for lang, words in _chunks(batch):
                 vocabulary = _vocabulary(known, lang, frequent.value)
                 found = suffixes(vocabulary(words), longest)
-                if not len(found):
-                    continue
-                route, used = routes(found, vocabulary.hashes, crowded)
-                keys, n = np.unique(route[(used == depth) & (found[:, depth - 1] >= 0)], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n)], schema=arrow)
-
-    counted = rows.mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
-    return bit_map(counted.where(F.col("n") > limit))
+                if len(found):
+                    route, used = routes(found, vocabulary.hashes, crowded)
+                    keys = route[(used == depth) & (found[:, depth - 1] >= 0)] & np.uint64(SLOTS - 1)
+                    slots, n = np.unique(keys, return_counts=True)
+                    counters[slots.astype(np.int64)] += n.astype(np.uint32)
+        press = zstandard.ZstdCompressor(level=1, write_content_size=True)
+        blocks = [(i, press.compress(c.tobytes())) for i, c in enumerate(counters.reshape(BLOCKS, width)) if c.any()]
+        yield record_batch(blocks, arrow)
+
+    def add(batches):
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for block, counts in zip(batch.column(0).to_pylist(), batch.column(1)):
+                part = np.frombuffer(zstandard.ZstdDecompressor().decompress(counts.as_py()), np.uint32)
+                sums[block] = sums.get(block, 0) + part.astype(np.int64)
+        keys = [np.flatnonzero(n > limit) + block * width for block, n in sums.items()]
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int64), *keys]))], ["key"])
+
+    counted = rows.mapInArrow(run, "block int, counts binary").repartitionById(BLOCKS, F.col("block"))
+    return bit_map(counted.mapInArrow(add, "key long"), SLOTS)
 
 
 def _vocabulary(known: dict[str, Vocabulary], lang: str, frequent: np.ndarray) -> Vocabulary:
