@@ -29,7 +29,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from cardwarden.llm.substring_dedup import mix
-from cardwarden.llm.words import record_batch
+from cardwarden.llm.words import record_batch, tidy
 from cardwarden.operators.joins import fits_broadcast, hot_keys, spread_join
 from cardwarden.session import materialize
 
@@ -83,6 +83,7 @@ def word_counts(rows: DataFrame) -> DataFrame:
     schema = T.StructType.fromDDL("lang string, word binary, n long")
     arrow = to_arrow_schema(schema)
 
+    @tidy
     def run(batches):
         found: dict[str, Counter] = {}
 
@@ -209,6 +210,7 @@ def crowded_prefixes(rows: DataFrame, frequent, crowded: list, longest: int, lim
     arrow = to_arrow_schema(T.StructType.fromDDL("block int, counts binary"))
     depth, width = len(crowded) + 1, SLOTS // BLOCKS
 
+    @tidy
     def run(batches):
         known: dict[str, Vocabulary] = {}
         counters = np.zeros(SLOTS, np.uint32)
@@ -365,6 +367,7 @@ def frequent_phrases(rows: DataFrame, words: DataFrame, longest: int, least: int
     routed = spark.sparkContext.broadcast(crowded)
     parcel = to_arrow_schema(T.StructType.fromDDL(PARCEL))
 
+    @tidy
     def pack(batches):
         known: dict[str, Vocabulary] = {}
         for batch in batches:
@@ -374,6 +377,7 @@ def frequent_phrases(rows: DataFrame, words: DataFrame, longest: int, least: int
 
     out = to_arrow_schema(schema)
 
+    @tidy
     def count(batches):
         current, bucket = None, None
 

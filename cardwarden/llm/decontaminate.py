@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from cardwarden.llm.words import alnum_words, record_batch, slim
+from cardwarden.llm.words import alnum_words, record_batch, slim, tidy
 from cardwarden.session import materialize
 
 K1, B = 1.2, 0.75
@@ -275,6 +275,7 @@ def find_leaks(
     parts = []
     for index in sent:
 
+        @tidy
         def run(batches, index=index):
             for batch in batches:
                 hits = []

@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from cardwarden.llm.compression import duplicate_lines
-from cardwarden.llm.words import alnum_words, record_batch
+from cardwarden.llm.words import alnum_words, record_batch, tidy
 from cardwarden.session import materialize
 
 #: Labelled documents that a classifier is fitted on, at most about this many.
@@ -99,6 +99,7 @@ def choose_features(rows: DataFrame, chosen: dict[str, int], least: int = LEAST_
     out = T.StructType.fromDDL(", ".join(["key long", *(f"{c} long" for c in names)]))
     arrow = to_arrow_schema(out)
 
+    @tidy
     def run(batches):
         seen: dict[bytes, list[int]] = {}
 
@@ -149,6 +150,7 @@ def collect_rows(rows: DataFrame, chosen: dict[int, int]) -> list:
     out = T.StructType.fromDDL("doc_id long, quality long, toxic long, ids array<int>, shares array<float>")
     arrow = to_arrow_schema(out)
 
+    @tidy
     def run(batches):
         find = Chooser(sent.value)
         for batch in batches:

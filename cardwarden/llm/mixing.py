@@ -5,8 +5,9 @@ never negative; the expected tokens of a domain are the sum over documents of ra
 posterior. Of the rates that minimise the squares of what the domain totals miss, those closest to 1
 are sought. They are max(0, 1 - multipliers . posterior), the multipliers being one number a domain:
 where these are the token residuals over a small weight, no step along the projected gradient
-remains. Newton steps find them; each is one aggregation of a few numbers over all documents, and
-rates are computed in the scan, never stored between rounds.
+remains. The fit is projected-gradient least squares on the rates, begun near its end: Newton steps on
+the multipliers are the warm start. Each step or round is one aggregation of a few numbers over all
+documents, and rates are computed in the scan, never stored between rounds.
 """
 
 from __future__ import annotations
@@ -26,6 +27,8 @@ DOMAINS = ("good", "poor", "toxic")
 #: Shares of all tokens that the domains shall have.
 TARGETS = {"good": 0.85, "poor": 0.10, "toxic": 0.05}
 ROUNDS, TOLERANCE = 25, 1e-6
+#: Projected-gradient rounds after the warm start, at most.
+POLISH = 30
 #: Weight of the rates' distance from 1, as a share of all tokens, against the squared residuals.
 DISTANCE = 1e-8
 #: Shorter steps, tried in one aggregation where a full one does not help.
@@ -82,12 +85,13 @@ def rate_of(multipliers: list[np.ndarray]) -> Column:
     return F.aggregate(rounds, rate, step)
 
 
-def fit_rates(members: DataFrame, goal: np.ndarray, rounds: int = ROUNDS) -> tuple[list[np.ndarray], np.ndarray]:
+def fit_rates(members: DataFrame, goal: np.ndarray, rounds: int = ROUNDS, polish: int = POLISH) -> tuple[list[np.ndarray], np.ndarray]:
     """Multipliers whose rates bring sum(rate * n * p) to ``goal``, and the totals reached.
 
     ``members`` has n and p0..; the driver sees a few sums a round. A domain whose goal is NaN is
     free. With m multipliers and r rates, Newton steps minimise the convex dual
-    sum(n r^2) / 2 + goal . m + weight m^2 / 2, whose gradient is goal + weight m - totals.
+    sum(n r^2) / 2 + goal . m + weight m^2 / 2, whose gradient is goal + weight m - totals. They are
+    the warm start; projected-gradient rounds on the rates themselves follow.
     """
     k = len(DOMAINS)
     held = [i for i in range(k) if np.isfinite(goal[i])]
@@ -126,7 +130,29 @@ def fit_rates(members: DataFrame, goal: np.ndarray, rounds: int = ROUNDS) -> tup
             way = STEPS[best] * way
             found = measure(at + way)
         at, (value, reached, gram) = at + way, found
-    return [at], reached
+    return _descended(members, goal, held, [at], reached, total, polish)
+
+
+def _descended(members: DataFrame, goal: np.ndarray, held: list[int], found: list[np.ndarray], reached: np.ndarray, total: float, rounds: int) -> tuple[list[np.ndarray], np.ndarray]:
+    """Projected-gradient rounds of the least squares |totals - goal|^2 from the rates of ``found``.
+
+    In each every document's rate moves against its own gradient, the posterior times the tokens
+    that its domains have too many, and stops at zero. The sums run over all documents; the rates
+    themselves follow from the rounds' multipliers, so a round costs one pass and no new table. The
+    step is one over a bound of the curvature. The rounds end when the rates stand still.
+    """
+    n = F.col("n").cast("double")
+    curve = float(members.agg(F.sum(sum((n * F.col(f"p{i}") * F.col(f"p{i}") for i in held), F.lit(0.0)))).first()[0] or 0.0)
+    for _ in range(rounds if curve > 0 else 0):
+        step = np.zeros(len(DOMAINS))
+        step[held] = (reached[held] - goal[held]) / curve
+        both = members.withColumns({"r": rate_of(found), "s": rate_of([*found, step])})
+        totals = [F.sum(n * F.col(f"p{i}") * F.col("s")) for i in range(len(DOMAINS))]
+        moved, *sums = both.agg(F.sum(n * F.abs(F.col("s") - F.col("r"))), *totals).first()
+        if moved <= TOLERANCE / 100 * max(1.0, total):
+            break
+        found, reached = [*found, step], np.array(sums)
+    return found, reached
 
 
 def mix_documents(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, id_col: str = "doc_id", text_col: str = "text", budget: float | None = None, rounds: int = ROUNDS) -> DataFrame:

@@ -26,7 +26,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from cardwarden.llm.components import connected_components
 from cardwarden.llm.substring_dedup import Hasher, mix
-from cardwarden.llm.words import free_name, record_batch, slim
+from cardwarden.llm.words import free_name, record_batch, slim, tidy
 from cardwarden.session import materialize
 
 #: Bins of a sketch; bands times rows of a band are the bins.
@@ -119,6 +119,7 @@ class _Finder:
         out = T.StructType(fields)
         arrow = to_arrow_schema(out)
 
+        @tidy
         def run(batches):
             hasher = Hasher()
             for batch in batches:
@@ -144,6 +145,7 @@ class _Finder:
         schema, names, n = pairs.schema, pairs.columns, len(pairs.columns)
         arrow = to_arrow_schema(schema)
 
+        @tidy
         def run(batches):
             hasher = Hasher()
             recent: dict[bytes, np.ndarray] = {}

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from cardwarden.llm.words import free_name, record_batch, slim
+from cardwarden.llm.words import free_name, record_batch, slim, tidy
 from cardwarden.operators.joins import fits_broadcast
 from cardwarden.session import materialize
 
@@ -91,7 +91,7 @@ def run_min(values: np.ndarray, length: int) -> np.ndarray:
 class Hasher:
     """64-bit hashes of words, kept in a dictionary of bounded size."""
 
-    def __init__(self, limit: int = 300_000):
+    def __init__(self, limit: int = 150_000):
         self.known: dict[bytes, int] = {}
         self.limit = limit
 
@@ -298,6 +298,7 @@ def repeated_runs(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     n_buckets = max(least, int(total * OVERLAP) // BUCKET_BYTES + 1)
     hot = spark.sparkContext.broadcast(_hot_minimisers(docs, window))
 
+    @tidy
     def pack(batches):
         hasher = Hasher()
         for batch in batches:
@@ -313,6 +314,7 @@ def repeated_runs(docs: DataFrame, window: int = WINDOW) -> DataFrame:
         dealt = dealt.sortWithinPartitions("bucket")
     out = to_arrow_schema(T.StructType.fromDDL(RUN))
 
+    @tidy
     def find(batches):
         bucket, current = None, None
 
@@ -326,13 +328,13 @@ def repeated_runs(docs: DataFrame, window: int = WINDOW) -> DataFrame:
                 yield record_batch(rows, out)
 
         for batch in batches:
-            for row in batch.to_pylist():
-                number = row.pop("bucket")
+            for at in range(batch.num_rows):
+                number, *row = (c[at].as_py() for c in batch.columns)
                 if number != current:
                     if bucket:
                         yield from results(bucket)
                     bucket, current = Bucket(window), number
-                bucket.add(**row)
+                bucket.add(*row)
         if bucket:
             yield from results(bucket)
 
@@ -343,6 +345,7 @@ def _hot_minimisers(docs: DataFrame, window: int) -> np.ndarray:
     """Minimisers of many super-k-mers, from the documents whose id hashes into the sample."""
     arrow = to_arrow_schema(T.StructType.fromDDL("minimiser long, n long"))
 
+    @tidy
     def count(batches):
         hasher = Hasher()
         for batch in batches:
@@ -395,9 +398,16 @@ def _with_runs(docs: DataFrame, id_col: str, text_col: str, window: int) -> tupl
     rows = rows.withColumn("doc_id", F.col("doc_id").cast("long"))
     name, doc, tag = (free_name(n, docs) for n in ("_runs", "_run_doc", "_run_tag"))
     runs = repeated_runs(_one_each(rows), window).groupBy("doc_id", "tag").agg(F.collect_list(F.struct("starts", "lengths")).alias(name))
-    runs = runs.select(F.col("doc_id").alias(doc), F.col("tag").alias(tag), name)
-    joined = docs.join(runs, (docs[id_col].cast("long") == runs[doc]) & (own == runs[tag]), "left")
-    return joined.drop(doc, tag), name
+    runs = materialize(runs.select(F.col("doc_id").alias(doc), F.col("tag").alias(tag), name), "repeated-runs")
+    keys = runs.select(doc, tag)
+    on = (docs[id_col].cast("long") == runs[doc]) & (own == runs[tag])
+    if not fits_broadcast(keys, BROADCAST_ROWS):
+        return docs.join(runs, on, "left").drop(doc, tag), name
+    # Only the texts that lose words are shuffled to their runs; the rest stay in the scan.
+    hinted = F.broadcast(keys)
+    here = (docs[id_col].cast("long") == hinted[doc]) & (own == hinted[tag])
+    some = docs.join(hinted, here, "left_semi").join(runs, on).drop(doc, tag)
+    return docs.join(hinted, here, "left_anti").withColumn(name, F.lit(None).cast(runs.schema[name].dataType)).unionByName(some), name
 
 
 def _parts(runs) -> list[tuple[bytes, bytes]]:
@@ -418,6 +428,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     out = T.StructType([rows.schema["doc_id"], *T.StructType.fromDDL("n_words long, n_removed long, kept_sha256 string").fields])
     arrow = to_arrow_schema(out)
 
+    @tidy
     def cut(batches):
         for batch in batches:
             made = []
@@ -455,5 +466,6 @@ def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         return pd.Series([one(*x) for x in zip(texts, starts, lengths)], dtype=object)
 
     joined, name = _with_runs(docs, id_col, text_col, window)
-    cut_text = F.when(F.col(name).isNotNull(), cut(F.col(text_col), F.col(f"{name}.starts"), F.col(f"{name}.lengths")))
+    text = F.when(F.col(name).isNotNull(), F.col(text_col))  # other texts stay on the JVM side
+    cut_text = cut(text, F.col(f"{name}.starts"), F.col(f"{name}.lengths"))
     return joined.withColumn(text_col, F.coalesce(cut_text, F.col(text_col))).select(*docs.columns)

@@ -9,6 +9,7 @@ that score are fitted on the whole sample.
 from __future__ import annotations
 
 import zlib
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -17,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cardwarden.llm.linear import CHOSEN, SAMPLE, Chooser, Table, choose_features, collect_rows, labelled_sample, shares, sigmoid
-from cardwarden.llm.words import map_texts, slim
+from cardwarden.llm.words import give_back, map_texts, slim
 from cardwarden.session import materialize
 
 CATEGORIES = ("poor", "toxic", "poor_toxic")
@@ -117,8 +118,12 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
     sent = docs.sparkSession.sparkContext.broadcast(fit_chain(slim(docs, id_col, text_col), labels))
 
     @F.pandas_udf("boolean")
-    def rejected(texts: pd.Series) -> pd.Series:
+    def rejected(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         score = sent.value.scorer()
-        return pd.Series([score(t or b"")[1] >= reject_at for t in texts], dtype=bool)
+        try:
+            for texts in parts:
+                yield pd.Series([score(t or b"")[1] >= reject_at for t in texts], dtype=bool)
+        finally:
+            give_back()
 
     return docs.where(~rejected(docs[text_col].cast("binary")))

@@ -38,6 +38,21 @@ def test_goals_out_of_reach_end_at_the_least_squares(spark):
     assert np.abs(np.where(r[n > 0] > 0, push, np.minimum(push, 0))).max() < 1e-5
 
 
+@pytest.mark.parametrize("shares", [(0.5, 0.4, 0.1), (0.9, 0.1, 0.0)])
+def test_gradient_rounds_equal_numpy(spark, shares):
+    p, n, members = table(spark, 4, [3, 2, 1], n=60)
+    goal = np.array(shares) * n.sum()
+    found, reached = mixing.fit_rates(members, goal, rounds=0, polish=12)
+    r, curve = np.ones(60), float((n[:, None] * p * p).sum())
+    misses = []
+    for _ in range(12):
+        off = (r * n) @ p - goal
+        misses.append(off @ off)
+        r = np.maximum(0, r - p @ off / curve)
+    assert np.allclose(rates(members, found), r, atol=1e-9) and np.allclose(reached, (r * n) @ p)
+    assert len(found) == 13 and all(a > b for a, b in zip(misses, misses[1:]))
+
+
 def test_a_free_domain_and_unmet_targets_show(spark):
     p, n, members = table(spark, 3, [6, 3, 0.2])
     goal = np.array([0.9 * n.sum(), 0.1 * n.sum(), np.nan])
