@@ -10,7 +10,7 @@ from pyspark import inheritable_thread_target
 from pyspark.errors import IllegalArgumentException
 from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cardwarden.config import EngineConfig
@@ -22,16 +22,38 @@ from cardwarden.session import materialize
 
 @dataclass(frozen=True)
 class TreeBag:
-    """A delayed model: the trees of all bags. Their mean vote is the score.
+    """A delayed model: the trees of all bags as one forest. Their mean vote is the score.
 
     ``bags`` tells of each freshly trained tree its shard, bag, seed, genuine and fraud rows.
     """
 
     model_id: str
     trained_day: int
-    trees: tuple[RandomForestClassificationModel, ...]
+    forest: RandomForestClassificationModel
     bags: tuple[tuple[int, int, int, int, int], ...] = ()
 
+    @property
+    def trees(self) -> list:
+        return self.forest.trees
+
+
+def one_forest(spark: SparkSession, forests: list[RandomForestClassificationModel]) -> RandomForestClassificationModel:
+    """The trees of several forests as one, so that rows are scored in one pass with one broadcast.
+
+    A forest's vote is the mean of its trees' votes. Python has no constructor for it, so it is the
+    JVM's that is called.
+    """
+    first = forests[0]
+    found = [tree for forest in forests for tree in forest._java_obj.trees()]
+    kinds = spark._jvm.org.apache.spark.ml.classification
+    array = spark.sparkContext._gateway.new_array(kinds.DecisionTreeClassificationModel, len(found))
+    for i, tree in enumerate(found):
+        array[i] = tree
+    whole = kinds.RandomForestClassificationModel(first.uid, array, first.numFeatures, first.numClasses)
+    for name, value in (("numTrees", len(found)), ("featuresCol", first.getFeaturesCol())):
+        whole.set(whole.getParam(name), value)
+    return RandomForestClassificationModel._from_java(whole)
+
 
 def _classifier(trees: int, seed: int, bootstrap: bool, cfg: EngineConfig, copies: int):
     return RandomForestClassifier(
@@ -50,9 +72,9 @@ def _classifier(trees: int, seed: int, bootstrap: bool, cfg: EngineConfig, copie
 
 
 def _fitted(
-    df: DataFrame, n_rows: int, trees: int, seed: int, bootstrap: bool, cfg: EngineConfig
+    rows: DataFrame, n_rows: int, trees: int, seed: int, bootstrap: bool, cfg: EngineConfig
 ) -> RandomForestClassificationModel | None:
-    """The forest fitted on the ``n_rows`` rows of ``df``, or None where MLlib refuses the rows
+    """The forest fitted on the ``n_rows`` vectors of ``rows``, or None where MLlib refuses the rows
     themselves; the stream goes on with the other trees. Anything else, such as a lost executor,
     is raised.
 
@@ -60,7 +82,7 @@ def _fitted(
     every row equally often. That leaves all split gains the same, and the draws of a bootstrap
     are thinned by as much, so a row's total draws keep their distribution.
     """
-    rows = with_vector(df, label=True, arity=cfg.arity).select("features", "class")
+    rows = rows.select("features", "class")
     copies = -(-max(cfg.arity.values()) // n_rows)
     if copies > 1:
         again = F.explode(F.sequence(F.lit(1), F.lit(copies)))
@@ -75,10 +97,11 @@ def _fitted(
 def train_delayed(bagged: DataFrame, cfg: EngineConfig, model_id: str, day: int) -> TreeBag | None:
     """One random tree per bag of ``bagged`` (columns ``shard`` and ``bag``); None without rows.
 
-    The bags are written once, one folder per bag, so each fit scans only its own rows. The
+    The bags are written once as vectors, one folder per bag, so each fit scans only its own rows. The
     driver holds the list of bags (``n_shards * n_tree`` at most), never their rows.
     """
     needed = bagged.select("shard", "bag", "label", *FEATURES)
+    needed = with_vector(needed, label=True, arity=cfg.arity).select("shard", "bag", "label", "features", "class")
     bags = materialize(
         needed.hint("rebalance", "shard", "bag"), "bags", partition_by=("shard", "bag")
     )
@@ -99,7 +122,9 @@ def train_delayed(bagged: DataFrame, cfg: EngineConfig, model_id: str, day: int)
     facts = [
         (r["shard"], r["bag"], r["bag"] + 1, r["n_rows"] - r["n_fraud"], r["n_fraud"]) for _, r in grown
     ]
-    return TreeBag(model_id, day, tuple(t for t, _ in grown), tuple(facts)) if grown else None
+    if not grown:
+        return None
+    return TreeBag(model_id, day, one_forest(bagged.sparkSession, [t for t, _ in grown]), tuple(facts))
 
 
 def train_feedback(alerts: DataFrame, cfg: EngineConfig) -> RandomForestClassificationModel | None:
@@ -107,7 +132,7 @@ def train_feedback(alerts: DataFrame, cfg: EngineConfig) -> RandomForestClassifi
     n_rows = alerts.count()
     if n_rows == 0:
         return None
-    return _fitted(alerts, n_rows, cfg.feedback_trees, 1, True, cfg)
+    return _fitted(with_vector(alerts, label=True, arity=cfg.arity), n_rows, cfg.feedback_trees, 1, True, cfg)
 
 
 def _with_vote(df: DataFrame, model: RandomForestClassificationModel, name: str) -> DataFrame:
@@ -122,14 +147,10 @@ def _fraud(name: str) -> Column:
 
 def score_delayed(df: DataFrame, models: list[TreeBag], out: str = "zfraud_pr_d") -> DataFrame:
     """Mean over live models of the mean tree vote; needs ``features``."""
-    means, votes = [], []
-    for m, model in enumerate(models):
-        names = [f"_v{m}_{t}" for t in range(len(model.trees))]
-        for name, tree in zip(names, model.trees):
-            df = _with_vote(df, tree, name)
-        means.append(mean_of([_fraud(n) for n in names]))
-        votes += names
-    return df.withColumn(out, mean_of(means)).drop(*votes)
+    votes = [f"_v{m}" for m in range(len(models))]
+    for name, model in zip(votes, models):
+        df = _with_vote(df, model.forest, name)
+    return df.withColumn(out, mean_of([_fraud(n) for n in votes])).drop(*votes)
 
 
 def score_feedback(
@@ -141,6 +162,22 @@ def score_feedback(
     return _with_vote(df, forest, "_vf").withColumn(out, _fraud("_vf")).drop("_vf")
 
 
+def node_table(spark: SparkSession, folder: str) -> DataFrame:
+    """The nodes of a saved forest: tree, node, left and right (-1 in leaves), the feature's slot,
+    the threshold of a number or the codes that go left, and P(fraud) of the node's training rows.
+    """
+    node, split = F.col("nodeData"), F.col("nodeData.split")
+    stats, values = node["impurityStats"], split["leftCategoriesOrThreshold"]
+    nominal = split["numCategories"] >= 0
+    return spark.read.parquet(f"{folder}/data").select(
+        F.col("treeID").alias("tree"), node["id"].alias("node"), node["leftChild"].alias("left"), node["rightChild"].alias("right"),
+        split["featureIndex"].alias("feature"),
+        F.when(~nominal, F.get(values, F.lit(0))).alias("threshold"),
+        F.when(nominal, values).alias("left_codes"),
+        F.coalesce(F.try_divide(stats[1], stats[0] + stats[1]), F.lit(0.0)).alias("fraud"),
+    )
+
+
 def unscored(df: DataFrame, cfg: EngineConfig) -> DataFrame:
     """The three scores of rows that arrive before the first model."""
     return df.withColumns(

@@ -51,7 +51,7 @@ class Engine:
         self.tables = tables
         self.dictionary = dictionary
         self.cfg = cfg = dictionary.widened(cfg)
-        self.models = ModelRegistry(tables, cfg.fit_parallelism)
+        self.models = ModelRegistry(tables)
 
     def process_batch(self, lines: DataFrame, batch_id: int) -> None:
         """Run one batch of lines (``tx_id``, ``value``); safe to run again with the same id.

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from multiprocessing.pool import ThreadPool
-
-from pyspark import inheritable_thread_target
 from pyspark.ml.classification import RandomForestClassificationModel
 
 from cardwarden.operators.models import TreeBag
@@ -12,53 +9,39 @@ from cardwarden.sources.tables import Tables
 
 
 class ModelRegistry:
-    def __init__(self, tables: Tables, threads: int):
+    def __init__(self, tables: Tables):
         self._tables = tables
-        self._threads = threads
         self._loaded: dict[str, object] = {}
 
-    def _folder(self, model_id: str, tree: int | None = None) -> str:
-        parts = ["models", model_id] + ([] if tree is None else [f"tree={tree}"])
-        return self._tables.path(*parts)
-
-    def _each(self, work, items: list) -> list:
-        spark = self._tables.spark
-        with ThreadPool(max(1, min(self._threads, len(items)))) as pool:
-            return pool.map(inheritable_thread_target(spark)(work), items)
+    def folder(self, model_id: str) -> str:
+        return self._tables.path("models", model_id)
 
     def save_bag(self, bag: TreeBag) -> None:
-        self._each(
-            lambda i: bag.trees[i].write().overwrite().save(self._folder(bag.model_id, i)),
-            list(range(len(bag.trees))),
-        )
+        bag.forest.write().overwrite().save(self.folder(bag.model_id))
         self._loaded[bag.model_id] = bag
 
     def bag(self, model_id: str) -> TreeBag:
         if model_id not in self._loaded:
-            numbers = self._tables._values(self._folder(model_id), "tree")
-            trees = self._each(
-                lambda i: RandomForestClassificationModel.load(self._folder(model_id, i)), numbers
-            )
-            day = int(model_id.split("-")[1])
-            self._loaded[model_id] = TreeBag(model_id, day, tuple(trees))
+            forest = RandomForestClassificationModel.load(self.folder(model_id))
+            self._loaded[model_id] = TreeBag(model_id, int(model_id.split("-")[1]), forest)
         return self._loaded[model_id]
 
     def save_forest(self, model_id: str, forest: RandomForestClassificationModel) -> None:
-        forest.write().overwrite().save(self._folder(model_id))
+        forest.write().overwrite().save(self.folder(model_id))
         self._loaded[model_id] = forest
 
     def forest(self, model_id: str | None) -> RandomForestClassificationModel | None:
         if model_id is None:
             return None
         if model_id not in self._loaded:
-            self._loaded[model_id] = RandomForestClassificationModel.load(self._folder(model_id))
+            self._loaded[model_id] = RandomForestClassificationModel.load(self.folder(model_id))
         return self._loaded[model_id]
 
     def drop(self, live: set[str | None]) -> None:
         """Delete the folders of all models but those of ``live``."""
         for model_id in self._tables.folders("models"):
             if model_id not in live:
-                self._tables._drop(self._folder(model_id))
+                self._tables._drop(self.folder(model_id))
 
     def forget(self, live: set[str | None]) -> None:
         """Release the models that no longer score."""

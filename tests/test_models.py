@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 from cardwarden.config import EngineConfig
 from cardwarden.operators.bags import balanced_bags
 from cardwarden.operators.models import (
+    node_table,
+    one_forest,
     score,
     score_delayed,
     score_feedback,
@@ -131,3 +133,45 @@ def test_codes_of_a_wider_dictionary_stay_apart(spark, data):
         EngineConfig(arity=wide)
     cfg = EngineConfig(arity=wide, max_bins=80, n_tree=2, tree_depth=4)
     assert len(train_delayed(data, cfg, "m-8-0", 8).trees) == 2
+
+
+def test_node_table_walked_by_sql_gives_the_scores(spark, data, tmp_path):
+    """The saved nodes, walked by a recursive query, vote as MLlib does."""
+    import duckdb
+    from pyspark.ml.functions import vector_to_array
+
+    cfg = EngineConfig(n_tree=3, tree_depth=8)
+    # Labels that follow codes as well as a number, so that both kinds of splits are walked.
+    coded = data.withColumn("label", F.col("cat3").isin(1, 4, 6) & (F.col("age") > 300))
+    bag = train_delayed(coded, cfg, "m-8-0", 8)
+    bag.forest.write().save(f"{tmp_path}/m")
+    scored = score_delayed(with_vector(coded), [bag]).select("tx_id", vector_to_array("features").alias("x"), "zfraud_pr_d")
+    x, nodes = scored.toPandas(), node_table(spark, f"{tmp_path}/m").toPandas()
+    con = duckdb.connect()
+    con.register("x", x.assign(x=[list(v) for v in x.x])), con.register("nodes", nodes)
+    walked = con.execute("""
+      WITH RECURSIVE w AS (
+        SELECT tx_id, x, tree, 0 AS node FROM x, (SELECT DISTINCT tree FROM nodes)
+        UNION ALL
+        SELECT w.tx_id, w.x, w.tree, CASE WHEN coalesce(x[n.feature + 1] <= n.threshold, list_contains(n.left_codes, x[n.feature + 1]))
+          THEN n."left" ELSE n."right" END
+        FROM w JOIN nodes n ON n.tree = w.tree AND n.node = w.node WHERE n."left" >= 0
+      ) SELECT w.tx_id, avg(n.fraud) FROM w JOIN nodes n ON n.tree = w.tree AND n.node = w.node AND n."left" < 0 GROUP BY w.tx_id
+    """).fetchall()
+    want = dict(zip(x.tx_id, x.zfraud_pr_d))
+    assert len(walked) == len(want) and max(abs(v - want[k]) for k, v in walked) < 1e-12
+    assert nodes.left_codes.notna().any() and nodes.threshold.notna().any()
+
+
+def test_one_forest_votes_as_its_trees(spark, data):
+    from pyspark.ml.functions import vector_to_array
+
+    parts = [train_delayed(data.where(f"tx_id % 2 = {i} OR label"), CFG, f"m-{i}-0", i).forest for i in (0, 1)]
+    whole = one_forest(spark, parts)
+    rows = with_vector(data)
+    for i, forest in enumerate([*parts, whole]):
+        named = forest.copy({forest.rawPredictionCol: "", forest.predictionCol: "", forest.probabilityCol: f"p{i}"})
+        rows = named.transform(rows)
+    p = [vector_to_array(F.col(f"p{i}"))[1] for i in range(3)]
+    worst = rows.select(F.max(F.abs((p[0] + p[1]) / 2 - p[2]))).first()[0]
+    assert whole.getNumTrees == 6 and worst < 1e-12
