@@ -9,7 +9,7 @@ from cardwarden.config import EngineConfig
 from cardwarden.operators.joins import spread_join
 from cardwarden.schema import AMOUNT_STATS, AREA_STATS, HISTORY_KEY, LAST_TX
 
-# What the features need from a stored transaction.
+# What the features need from a stored transaction.
 HISTORY_COLUMNS = [
     "cardid", "tx_dhour", "tx_datetime", "tx_amount", "boo1",
     "merchantarea", "cat1", "cat2", "merchant",
@@ -165,6 +165,16 @@ def of_batch_cards(
     return spread_join(history, cards.select(*keys), keys, "tx_id", hot, "left_semi")
 
 
+def rolled_stats(rolled: DataFrame) -> DataFrame:
+    """One row per card from (card, hour) statistics in versions; the last version of an hour counts.
+
+    A card has a row per retained hour and version, however many transactions it made in them.
+    """
+    parts = [c for c in rolled.columns if c.startswith("p_")]
+    last = rolled.groupBy("cardid", "tx_dhour").agg(F.max_by(F.struct(*parts), "batch_id").alias("_v"))
+    return last.select("cardid", "_v.*").groupBy("cardid").agg(*merged())
+
+
 def history_stats(history: DataFrame) -> DataFrame:
     """One row per card: merged statistics of its stored transactions."""
     latest = latest_per_key(

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cardwarden.config import EngineConfig
-from cardwarden.operators.history import latest_per_key
+from cardwarden.operators.history import latest_per_key, partial_stats
 from cardwarden.schema import ALERT, TX_STORED, typed
 from cardwarden.session import materialize
 
@@ -49,7 +49,8 @@ class Tables:
         self.root = root.rstrip("/")
         self._path = spark._jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(self.root).getFileSystem(spark._jsc.hadoopConfiguration())
-        for name in ("history", "alerts", "alerts_current", "rejects", "state", "metrics", "models"):
+        self._rollup = self.rollup_schema()
+        for name in ("history", "rollup", "alerts", "alerts_current", "rejects", "state", "metrics", "models"):
             self._fs.mkdirs(self._path(self.path(name)))
 
     def path(self, *parts: str) -> str:
@@ -105,44 +106,84 @@ class Tables:
         rows = typed(scored.withColumn("batch_id", F.lit(batch_id)), TX_STORED)
         self._replace(rows.hint("rebalance", "tx_dhour"), "history", "tx_dhour", "batch_id")
 
+    def _hours_of(self, batch_id: int) -> list[int]:
+        """The hours that a batch stored rows of, from the folder names."""
+        found = self._fs.globStatus(self._path(self.path("history", "tx_dhour=*", f"batch_id={batch_id}")))
+        return sorted(int(s.getPath().getParent().getName().removeprefix("tx_dhour=")) for s in found)
+
+    def rollup_schema(self) -> T.StructType:
+        empty = self.spark.createDataFrame([], TX_STORED).groupBy("cardid", "tx_dhour").agg(*partial_stats())
+        return T.StructType([*empty.schema.fields, T.StructField("batch_id", T.LongType())])
+
+    def append_rollup(self, batch_id: int) -> None:
+        """Store the statistics of every (card, hour) that a batch wrote rows of.
+
+        Each row is whole: if earlier batches stored rows of the same hour, late or written again,
+        the rows of those cards in that hour are read once more, and the new version takes the place
+        of the old one for later batches. Other hours are not read.
+        """
+        mine, hours = self.stored_batch(batch_id), self._hours_of(batch_id)
+        earlier = [h for h in hours if any(b < batch_id for b in self._values(self.path("history", f"tx_dhour={h}"), "batch_id"))]
+        rows = mine
+        if earlier:
+            touched = mine.where(F.col("tx_dhour").isin(earlier)).select("cardid", "tx_dhour").distinct()
+            before = self.history(batch_id).where(F.col("tx_dhour").isin(earlier))
+            rows = mine.unionByName(before.join(touched, ["cardid", "tx_dhour"], "left_semi").select(*mine.columns))
+        rolled = latest_per_key(rows, ["batch_id", "tx_id"]).groupBy("cardid", "tx_dhour").agg(*partial_stats())
+        rolled = rolled.withColumn("batch_id", F.lit(batch_id).cast("bigint"))
+        self._replace(rolled.hint("rebalance", "tx_dhour"), "rollup", "tx_dhour", "batch_id")
+
+    def rollup(self, before_batch: int, clock_hour: int, hours: int) -> DataFrame:
+        """Statistics per card, retained hour and version, as of earlier batches."""
+        rows = self._read("rollup", self._rollup)
+        return rows.where((F.col("batch_id") < before_batch) & (F.col("tx_dhour") > clock_hour - hours))
+
     def expire_history(self, clock_hour: int, cfg: EngineConfig) -> list[int]:
         """Delete the folders of expired hours. Reads no longer see those hours by then."""
-        gone = [
-            h
-            for h in self._values(self.path("history"), "tx_dhour")
-            if h <= clock_hour - cfg.history_hours
-        ]
-        for hour in gone:
-            self._drop(self.path("history", f"tx_dhour={hour}"))
-        return gone
+        gone = set()
+        for name in ("history", "rollup"):
+            hours = self._values(self.path(name), "tx_dhour")
+            old = [h for h in hours if h <= clock_hour - cfg.history_hours]
+            for hour in old:
+                self._drop(self.path(name, f"tx_dhour={hour}"))
+            gone.update(old)
+        return sorted(gone)
 
     def compact_history(self, before_hour: int, before_batch: int, spare: int = 0) -> list[int]:
-        """Fold the batches of closed hours into one folder per hour, last write per key kept.
+        """Fold the batches of closed hours into one folder per hour, last write per key kept."""
+        self._fold_hours(
+            "rollup", self._rollup, before_hour, before_batch, spare,
+            lambda rows: rows.groupBy("cardid", "tx_dhour").agg(
+                *[F.max_by(c, "batch_id").alias(c) for c in rows.columns if c.startswith("p_")]
+            ),
+        )
+        return self._fold_hours(
+            "history", TX_STORED, before_hour, before_batch, spare,
+            lambda rows: latest_per_key(rows, ["batch_id", "tx_id"]),
+        )
+
+    def _fold_hours(self, name: str, schema: T.StructType, before_hour: int, before_batch: int, spare: int, last_of) -> list[int]:
+        """Does nothing while no more than ``spare`` folders would go.
 
-        Does nothing while no more than ``spare`` folders would go.
         The folded rows take the highest folded ``batch_id``. Until the old folders are dropped
         both copies are visible, and readers keep one row per key, so a crash loses nothing.
         """
         crowded = {}
-        for hour in self._values(self.path("history"), "tx_dhour"):
-            ids = self._values(self.path("history", f"tx_dhour={hour}"), "batch_id")
+        for hour in self._values(self.path(name), "tx_dhour"):
+            ids = self._values(self.path(name, f"tx_dhour={hour}"), "batch_id")
             ids = [b for b in ids if b < before_batch]
             if hour < before_hour and len(ids) > 1:
                 crowded[hour] = ids
         if sum(len(ids) - 1 for ids in crowded.values()) <= spare:
             return []
-        rows = self.history(before_batch).where(F.col("tx_dhour").isin(list(crowded)))
+        rows = self._read(name, schema).where((F.col("batch_id") < before_batch) & F.col("tx_dhour").isin(list(crowded)))
         target = F.create_map(*[F.lit(v) for h, ids in crowded.items() for v in (h, ids[-1])])
-        folded = latest_per_key(rows, ["batch_id", "tx_id"]).withColumn(
-            "batch_id", target[F.col("tx_dhour")].cast("bigint")
-        )
+        folded = last_of(rows).withColumn("batch_id", target[F.col("tx_dhour")].cast("bigint"))
         saved = materialize(folded, "compact")
-        self._replace(
-            typed(saved, TX_STORED).hint("rebalance", "tx_dhour"), "history", "tx_dhour", "batch_id"
-        )
+        self._replace(typed(saved, schema).hint("rebalance", "tx_dhour"), name, "tx_dhour", "batch_id")
         for hour, ids in crowded.items():
             for batch in ids[:-1]:
-                self._drop(self.path("history", f"tx_dhour={hour}", f"batch_id={batch}"))
+                self._drop(self.path(name, f"tx_dhour={hour}", f"batch_id={batch}"))
         return list(crowded)
 
     # --- alerts ------------------------------------------------------------------------

@@ -16,9 +16,7 @@ from cardwarden.operators.encode import Dictionary, encode_id, encode_risk
 from cardwarden.operators.history import (
     batch_cards,
     finished,
-    history_stats,
-    of_batch_cards,
-    stored_counts,
+    rolled_stats,
 )
 from cardwarden.operators.joins import fits_broadcast, hot_keys, spread_join
 from cardwarden.operators.models import score, train_delayed, train_feedback
@@ -84,6 +82,7 @@ class Engine:
                 self._roll(last["day"] if last else 0, now, batch_id)
                 scored = self._scored(accepted(parsed), now, batch_id, n_good)
                 self.tables.append_history(scored, batch_id)
+                self.tables.append_rollup(batch_id)
                 n_alerts = self._update_alerts(now, batch_id)
             self.tables.commit_state(
                 batch_id=batch_id, origin_ms=now.origin_ms, clock_ms=now.clock_ms, day=now.day,
@@ -154,24 +153,23 @@ class Engine:
     def _with_features(
         self, rows: DataFrame, cards: DataFrame, now: Progress, batch_id: int, n_good: int
     ) -> DataFrame:
-        """Join each card's history statistics; a batch of few rows has few cards to broadcast."""
-        stored = self._stored(now, batch_id)
-        if n_good <= self.cfg.broadcast_rows:
-            stats = history_stats(of_batch_cards(stored, cards, small=True))
+        """Join each card's history statistics, merged from its stored hours.
+
+        The rows of a card in the rollup are bounded by the retained hours, so no card of the
+        history is hot; a batch of few rows has few cards to broadcast.
+        """
+        rolled = self.tables.rollup(batch_id, now.clock_hour, self.cfg.history_hours)
+        hot = None
+        if n_good > self.cfg.broadcast_rows:
+            cards = materialize(cards, "cards")
+            hot = hot_keys(cards, ["cardid"], "batch_rows", self.cfg.hot_rows, self.cfg.broadcast_rows)
+        few = n_good <= self.cfg.broadcast_rows or fits_broadcast(cards, self.cfg.broadcast_rows)
+        keys = cards.select("cardid")
+        stats = rolled_stats(rolled.join(F.broadcast(keys) if few else keys, "cardid", "left_semi"))
+        if few:
             joined = rows.join(F.broadcast(stats), "cardid", "left")
         else:
-            cards = materialize(cards, "cards")
-            few = fits_broadcast(cards, self.cfg.broadcast_rows)
-            if few:
-                stats = history_stats(of_batch_cards(stored, cards, True))
-                joined = rows.join(F.broadcast(stats), "cardid", "left")
-            else:
-                limits = self.cfg.hot_rows, self.cfg.broadcast_rows
-                held = materialize(stored_counts(stored, cards), "stored-cards")
-                hot = hot_keys(held, ["cardid"], "stored_rows", *limits)
-                stats = history_stats(of_batch_cards(stored, cards, False, hot))
-                hot = hot_keys(cards, ["cardid"], "batch_rows", *limits)
-                joined = spread_join(rows, stats, ["cardid"], "tx_id", hot)
+            joined = spread_join(rows, stats, ["cardid"], "tx_id", hot)
         return joined.selectExpr(*rows.columns, *finished())
 
     def _update_alerts(self, now: Progress, batch_id: int) -> int:

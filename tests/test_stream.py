@@ -289,3 +289,22 @@ def test_scratch_scope_drops_its_own_tables_only(spark):
         inside = folder(materialize(spark.range(3), "inside"))
         assert os.path.isdir(inside)
     assert not os.path.exists(inside) and os.path.isdir(outside)
+
+
+def test_rollup_states_every_stored_hour_and_serves_the_features(run):
+    """The last version of each (card, hour) equals the statistics of its stored rows, and features
+    read the rollup alone."""
+    from cardwarden.operators.history import batch_cards, partial_stats
+
+    tables = run.tables
+    want = latest_per_key(tables.history(), ["batch_id", "tx_id"]).groupBy("cardid", "tx_dhour").agg(*partial_stats())
+    parts = [c for c in want.columns if c.startswith("p_")]
+    rolled = tables.rollup(10**9, 10**6, 2 * 10**6).groupBy("cardid", "tx_dhour")
+    got = rolled.agg(*[F.max_by(c, "batch_id").alias(c) for c in parts]).select(*want.columns)
+    assert got.count() == want.count() and got.exceptAll(want).isEmpty()
+    rows = tables.stored_batch(DAYS - 1).select("tx_id", "cardid")
+    now = run._advance(tables.last_state(DAYS), None)
+    joined = run._with_features(rows, batch_cards(rows), now, DAYS, 1)
+    files = joined.inputFiles()
+    assert any("/rollup/" in f for f in files)
+    assert not [f for f in files if "/history/" in f and f"batch_id={DAYS - 1}" not in f]
