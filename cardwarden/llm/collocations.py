@@ -199,7 +199,7 @@ def routes(rows: np.ndarray, hashes: np.ndarray, crowded: list[np.ndarray]) -> t
     return route, depth
 
 
-def crowded_prefixes(rows: DataFrame, frequent, crowded: list, longest: int, limit: int) -> np.ndarray | None:
+def crowded_prefixes(rows: DataFrame, frequent, crowded: list, limit: int) -> np.ndarray | None:
     """Bits of the prefixes, one word longer than those of the last map in ``crowded``, of more than
     ``limit`` suffixes.
 
@@ -217,7 +217,8 @@ def crowded_prefixes(rows: DataFrame, frequent, crowded: list, longest: int, lim
         for batch in batches:
             for lang, words in _chunks(batch):
                 vocabulary = _vocabulary(known, lang, frequent.value)
-                found = suffixes(vocabulary(words), longest)
+                found = suffixes(vocabulary(words), depth)
+                found = found[has_bit(crowded[0], vocabulary.hashes[found[:, 0]])]
                 if len(found):
                     route, used = routes(found, vocabulary.hashes, crowded)
                     keys = route[(used == depth) & (found[:, depth - 1] >= 0)] & np.uint64(SLOTS - 1)
@@ -361,7 +362,7 @@ def frequent_phrases(rows: DataFrame, words: DataFrame, longest: int, least: int
     more = bit_map(named.where(F.col("n") > CROWDED))
     while more is not None and len(crowded) + 1 < longest:
         crowded.append(more)
-        more = crowded_prefixes(rows, frequent, crowded, longest, CROWDED) if len(crowded) + 1 < longest else None
+        more = crowded_prefixes(rows, frequent, crowded, CROWDED) if len(crowded) + 1 < longest else None
     total = words.where("word is null").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     n_buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // BUCKET + 1)
     routed = spark.sparkContext.broadcast(crowded)
