@@ -30,6 +30,11 @@ class EngineConfig:
     unscored: float = 0.1
     trigger_interval: str = "180 seconds"
 
+    # What the source takes in for one batch at most: Kafka messages or, of a folder, files. None: all.
+    max_per_trigger: int | None = None
+    # A new stream starts with what arrived at or after this time (epoch milliseconds). None: all there is.
+    start_ms: int | None = None
+
     # Logical shards of the training set; each shard grows up to ``n_tree`` trees.
     n_shards: int = 1
     # Trees grow until pure; MLlib accepts at most 30 levels.
@@ -52,6 +57,8 @@ class EngineConfig:
     def __post_init__(self):
         if self.batch_candidates < self.alerts_per_day:
             raise ValueError("batch_candidates below alerts_per_day would lose alerts")
+        if self.max_per_trigger is not None and self.max_per_trigger < 1:
+            raise ValueError("max_per_trigger must be at least 1")
         if self.max_bins < max(self.arity.values()):
             raise ValueError("max_bins must not be below the largest nominal domain")
 

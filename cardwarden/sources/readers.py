@@ -10,14 +10,38 @@ from cardwarden.functions.text import split_quoted, without_quotes
 from cardwarden.operators.encode import Dictionary
 
 
-def read_transactions(spark: SparkSession, kind: str, options: dict[str, str], path=None):
+def source_options(kind: str, cfg: EngineConfig) -> dict[str, str]:
+    """Rate limit and start of ``cfg`` as options of a source.
+
+    Kafka starts each partition at its first message of ``start_ms`` or later, and at its end if it
+    has none; restarts go on from the stream's checkpoint. A folder's start is a condition on rows.
+    """
+    options = {}
+    if kind == "kafka":
+        options["startingOffsets"] = "earliest"
+        if cfg.start_ms is not None:
+            options["startingTimestamp"] = str(cfg.start_ms)
+            options["startingOffsetsByTimestampStrategy"] = "latest"
+    if cfg.max_per_trigger is not None:
+        limit = "maxOffsetsPerTrigger" if kind == "kafka" else "maxFilesPerTrigger"
+        options[limit] = str(cfg.max_per_trigger)
+    return options
+
+
+def read_transactions(
+    spark: SparkSession, kind: str, options: dict[str, str], path=None, cfg: EngineConfig = EngineConfig()
+):
     """A stream of lines in ``value``, with a stable ``tx_id``.
 
     ``kind`` is any line source: ``kafka`` (with its servers and ``subscribe`` topic in the
     options; the message key is not used) or ``text`` (a folder). Kafka needs Spark's Kafka
-    package on the class path.
+    package on the class path. The rate limit and start of ``cfg`` hold for both; ``options``
+    given here win.
     """
-    lines = spark.readStream.format(kind).options(**options).load(path)
+    lines = spark.readStream.format(kind).options(**{**source_options(kind, cfg), **options}).load(path)
+    if kind != "kafka" and cfg.start_ms is not None:
+        arrived = F.unix_millis(F.col("_metadata.file_modification_time"))
+        lines = lines.where(arrived >= cfg.start_ms)
     return lines.select(F.col("value").cast("string").alias("value")).withColumn(
         "tx_id", F.xxhash64("value")
     )

@@ -1,7 +1,11 @@
 """The engine's tables: history, alerts, rejects and committed state, as partitioned Parquet.
 
-Every batch writes under its own ``batch_id``, readers see earlier batches only, and the state
-row is written last. So a batch that is run again replaces its own rows and nothing else.
+Every batch writes below its own ``batch_id`` and commits one state row last. The state row is the
+commit log: it names every folder of stored rows that is part of the tables as of that batch. Readers
+open what the newest state names and nothing else, so what a batch wrote and did not commit is never
+seen, no folder has to be listed to find the stored rows, and a batch that is run again replaces its
+own rows only. Folders that a batch takes out of the log are deleted one commit later, when no batch
+that could be run again starts from a state that names them.
 """
 
 from __future__ import annotations
@@ -15,6 +19,15 @@ from cardwarden.operators.history import latest_per_key, partial_stats
 from cardwarden.schema import ALERT, TX_STORED, typed
 from cardwarden.session import materialize
 
+FOLDERS = T.ArrayType(
+    T.StructType(
+        [
+            T.StructField("table", T.StringType()),
+            T.StructField("batch_id", T.LongType()),
+            T.StructField("tx_dhour", T.IntegerType()),
+        ]
+    )
+)
 STATE = T.StructType(
     [
         T.StructField("batch_id", T.LongType()),
@@ -27,6 +40,9 @@ STATE = T.StructType(
         T.StructField("n_in", T.LongType()),
         T.StructField("n_dropped", T.LongType()),
         T.StructField("n_alerts", T.LongType()),
+        T.StructField("epoch", T.LongType()),
+        T.StructField("folders", FOLDERS),
+        T.StructField("retired", FOLDERS),
     ]
 )
 REJECT = T.StructType(
@@ -41,8 +57,20 @@ METRIC = T.StructType([f for f in STATE.fields if f.name in ("batch_id", "day",
 ALERT_DAY = T.StructType([*ALERT.fields, T.StructField("day", T.IntegerType())])
 
 
+#: (table, batch, hour) of one folder of stored rows.
+Folder = tuple[str, int, int]
+
+
+class Fenced(RuntimeError):
+    """Another engine was started on the same tables; this one must not write any more."""
+
+
 class Tables:
-    """All tables below one root folder that every executor can reach."""
+    """All tables below one root folder that every executor can reach.
+
+    An object that writes keeps the log of the batch it is in, and sees its own rows before they
+    are committed. One that only reads looks up the newest committed state at every read.
+    """
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark = spark
@@ -50,7 +78,9 @@ class Tables:
         self._path = spark._jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(self.root).getFileSystem(spark._jsc.hadoopConfiguration())
         self._rollup = self.rollup_schema()
-        for name in ("history", "rollup", "alerts", "alerts_current", "rejects", "state", "metrics", "models"):
+        self._log: set[Folder] | None = None
+        self._retired: set[Folder] = set()
+        for name in ("history", "rollup", "alerts", "alerts_current", "rejects", "state", "metrics", "models", "epochs"):
             self._fs.mkdirs(self._path(self.path(name)))
 
     def path(self, *parts: str) -> str:
@@ -73,6 +103,72 @@ class Tables:
     def _read(self, name: str, schema: T.StructType) -> DataFrame:
         return self.spark.read.schema(schema).parquet(self.path(name))
 
+    # --- commit log --------------------------------------------------------------------
+
+    def begin(self, batch_id: int):
+        """Start a batch from the last committed state before it, and return that state."""
+        state = self.last_state(batch_id)
+        self._log = {tuple(f) for f in state["folders"]} if state else set()
+        self._retired = set()
+        return state
+
+    def _folders(self, name: str) -> list[Folder]:
+        log = self._log
+        if log is None:
+            state = self.last_state()
+            log = {tuple(f) for f in state["folders"]} if state else set()
+        return sorted(f for f in log if f[0] == name)
+
+    def _stored_in(self, folder: Folder) -> str:
+        name, batch, hour = folder
+        return self.path(name, f"batch_id={batch}", f"tx_dhour={hour}")
+
+    def _open(self, schema: T.StructType, folders: list[Folder]) -> DataFrame:
+        """Read the given folders of one table; they are listed, no other folder is."""
+        if not folders:
+            return self.spark.createDataFrame([], schema)
+        reader = self.spark.read.schema(schema).option("basePath", self.path(folders[0][0]))
+        return reader.parquet(*[self._stored_in(f) for f in folders]).select(schema.names)
+
+    def _append(self, rows: DataFrame, name: str, batch_id: int) -> None:
+        """Write a batch's folder anew, with nothing left of an earlier try, and log its hours."""
+        if self._log is None:
+            self.begin(batch_id)
+        target = self.path(name, f"batch_id={batch_id}")
+        whole = rows.drop("batch_id").write.mode("overwrite").option("partitionOverwriteMode", "static")
+        whole.partitionBy("tx_dhour").parquet(target)
+        self._log = {f for f in self._log if f[:2] != (name, batch_id)}
+        self._log |= {(name, batch_id, h) for h in self._values(target, "tx_dhour")}
+
+    def _retire(self, folders: list[Folder]) -> None:
+        self._log -= set(folders)
+        self._retired |= set(folders)
+
+    def drop_retired(self, state) -> None:
+        """Delete the folders that ``state``, the one before the last commit, had taken out."""
+        for folder in {tuple(f) for f in (state["retired"] if state else ())} - self._log:
+            self._drop(self._stored_in(folder))
+
+    # --- epochs ------------------------------------------------------------------------
+
+    def _newest_epoch(self) -> int:
+        return max((int(n) for n in self.folders("epochs")), default=0)
+
+    def claim(self) -> int:
+        """Become the engine of these tables: the file of each number can be created once only."""
+        epoch = self._newest_epoch() + 1
+        while not self._fs.createNewFile(self._path(self.path("epochs", str(epoch)))):
+            epoch += 1
+        for older in self.folders("epochs"):
+            if int(older) < epoch:
+                self._drop(self.path("epochs", older))
+        return epoch
+
+    def check_epoch(self, epoch: int) -> None:
+        newest = self._newest_epoch()
+        if newest != epoch:
+            raise Fenced(f"engine {epoch} of {self.root} was replaced by engine {newest}")
+
     def _replace(self, df: DataFrame, name: str, *by: str) -> None:
         """Overwrite just the partitions that ``df`` has rows for."""
         (
@@ -89,27 +185,26 @@ class Tables:
 
         Both conditions are on partition columns, so they choose folders, not rows.
         """
-        rows = self._read("history", TX_STORED)
+        return self._hours_before("history", TX_STORED, before_batch, clock_hour, hours)
+
+    def _hours_before(self, name, schema, before_batch, clock_hour, hours) -> DataFrame:
+        folders, wanted = self._folders(name), F.lit(True)
         if before_batch is not None:
-            rows = rows.where(F.col("batch_id") < before_batch)
+            folders = [f for f in folders if f[1] < before_batch]
+            wanted = wanted & (F.col("batch_id") < before_batch)
         if clock_hour is not None:
-            rows = rows.where(F.col("tx_dhour") > clock_hour - hours)
-        return rows
+            folders = [f for f in folders if f[2] > clock_hour - hours]
+            wanted = wanted & (F.col("tx_dhour") > clock_hour - hours)
+        return self._open(schema, folders).where(wanted)
 
     def stored_batch(self, batch_id: int) -> DataFrame:
         """The rows that one batch stored; lists only that batch's folders."""
-        reader = self.spark.read.schema(TX_STORED).option("basePath", self.path("history"))
-        return reader.parquet(self.path("history", "tx_dhour=*", f"batch_id={batch_id}"))
+        return self._open(TX_STORED, [f for f in self._folders("history") if f[1] == batch_id])
 
     def append_history(self, scored: DataFrame, batch_id: int) -> None:
         """Store a scored batch; rebalancing joins small tasks and splits a crowded hour."""
         rows = typed(scored.withColumn("batch_id", F.lit(batch_id)), TX_STORED)
-        self._replace(rows.hint("rebalance", "tx_dhour"), "history", "tx_dhour", "batch_id")
-
-    def _hours_of(self, batch_id: int) -> list[int]:
-        """The hours that a batch stored rows of, from the folder names."""
-        found = self._fs.globStatus(self._path(self.path("history", "tx_dhour=*", f"batch_id={batch_id}")))
-        return sorted(int(s.getPath().getParent().getName().removeprefix("tx_dhour=")) for s in found)
+        self._append(rows.hint("rebalance", "tx_dhour"), "history", batch_id)
 
     def rollup_schema(self) -> T.StructType:
         empty = self.spark.createDataFrame([], TX_STORED).groupBy("cardid", "tx_dhour").agg(*partial_stats())
@@ -122,32 +217,26 @@ class Tables:
         the rows of those cards in that hour are read once more, and the new version takes the place
         of the old one for later batches. Other hours are not read.
         """
-        mine, hours = self.stored_batch(batch_id), self._hours_of(batch_id)
-        earlier = [h for h in hours if any(b < batch_id for b in self._values(self.path("history", f"tx_dhour={h}"), "batch_id"))]
+        mine, stored = self.stored_batch(batch_id), self._folders("history")
+        hours = {h for _, b, h in stored if b == batch_id}
+        earlier = sorted({h for _, b, h in stored if b < batch_id and h in hours})
         rows = mine
         if earlier:
             touched = mine.where(F.col("tx_dhour").isin(earlier)).select("cardid", "tx_dhour").distinct()
-            before = self.history(batch_id).where(F.col("tx_dhour").isin(earlier))
+            before = self._open(TX_STORED, [f for f in stored if f[1] < batch_id and f[2] in hours])
             rows = mine.unionByName(before.join(touched, ["cardid", "tx_dhour"], "left_semi").select(*mine.columns))
         rolled = latest_per_key(rows, ["batch_id", "tx_id"]).groupBy("cardid", "tx_dhour").agg(*partial_stats())
-        rolled = rolled.withColumn("batch_id", F.lit(batch_id).cast("bigint"))
-        self._replace(rolled.hint("rebalance", "tx_dhour"), "rollup", "tx_dhour", "batch_id")
+        self._append(rolled.hint("rebalance", "tx_dhour"), "rollup", batch_id)
 
     def rollup(self, before_batch: int, clock_hour: int, hours: int) -> DataFrame:
         """Statistics per card, retained hour and version, as of earlier batches."""
-        rows = self._read("rollup", self._rollup)
-        return rows.where((F.col("batch_id") < before_batch) & (F.col("tx_dhour") > clock_hour - hours))
+        return self._hours_before("rollup", self._rollup, before_batch, clock_hour, hours)
 
     def expire_history(self, clock_hour: int, cfg: EngineConfig) -> list[int]:
-        """Delete the folders of expired hours. Reads no longer see those hours by then."""
-        gone = set()
-        for name in ("history", "rollup"):
-            hours = self._values(self.path(name), "tx_dhour")
-            old = [h for h in hours if h <= clock_hour - cfg.history_hours]
-            for hour in old:
-                self._drop(self.path(name, f"tx_dhour={hour}"))
-            gone.update(old)
-        return sorted(gone)
+        """Take expired hours out of the log. Reads no longer see those hours by then."""
+        old = [f for n in ("history", "rollup") for f in self._folders(n) if f[2] <= clock_hour - cfg.history_hours]
+        self._retire(old)
+        return sorted({h for _, _, h in old})
 
     def compact_history(self, before_hour: int, before_batch: int, spare: int = 0) -> list[int]:
         """Fold the batches of closed hours into one folder per hour, last write per key kept."""
@@ -165,25 +254,22 @@ class Tables:
     def _fold_hours(self, name: str, schema: T.StructType, before_hour: int, before_batch: int, spare: int, last_of) -> list[int]:
         """Does nothing while no more than ``spare`` folders would go.
 
-        The folded rows take the highest folded ``batch_id``. Until the old folders are dropped
-        both copies are visible, and readers keep one row per key, so a crash loses nothing.
+        The folded rows take the highest folded ``batch_id``. A crash before the commit leaves them
+        beside the old folders, and readers keep one row per key, so it loses nothing.
         """
-        crowded = {}
-        for hour in self._values(self.path(name), "tx_dhour"):
-            ids = self._values(self.path(name, f"tx_dhour={hour}"), "batch_id")
-            ids = [b for b in ids if b < before_batch]
-            if hour < before_hour and len(ids) > 1:
-                crowded[hour] = ids
+        crowded: dict[int, list[int]] = {}
+        for _, batch, hour in self._folders(name):
+            if batch < before_batch and hour < before_hour:
+                crowded.setdefault(hour, []).append(batch)
+        crowded = {h: ids for h, ids in sorted(crowded.items()) if len(ids) > 1}
         if sum(len(ids) - 1 for ids in crowded.values()) <= spare:
             return []
-        rows = self._read(name, schema).where((F.col("batch_id") < before_batch) & F.col("tx_dhour").isin(list(crowded)))
+        rows = self._open(schema, [(name, b, h) for h, ids in crowded.items() for b in ids])
         target = F.create_map(*[F.lit(v) for h, ids in crowded.items() for v in (h, ids[-1])])
         folded = last_of(rows).withColumn("batch_id", target[F.col("tx_dhour")].cast("bigint"))
         saved = materialize(folded, "compact")
-        self._replace(typed(saved, schema).hint("rebalance", "tx_dhour"), name, "tx_dhour", "batch_id")
-        for hour, ids in crowded.items():
-            for batch in ids[:-1]:
-                self._drop(self.path(name, f"tx_dhour={hour}", f"batch_id={batch}"))
+        self._replace(typed(saved, schema).hint("rebalance", "tx_dhour"), name, "batch_id", "tx_dhour")
+        self._retire([(name, b, h) for h, ids in crowded.items() for b in ids[:-1]])
         return list(crowded)
 
     # --- alerts ------------------------------------------------------------------------
@@ -198,8 +284,12 @@ class Tables:
         rows = typed(alerts, T.StructType(ALERT.fields[1:]))
         rows.write.mode("overwrite").parquet(self.path("alerts_current", f"batch_id={batch_id}"))
 
-    def alerts(self) -> DataFrame:
-        return self._read("alerts", ALERT_DAY)
+    def alerts(self, before_day: int | None = None) -> DataFrame:
+        """The lists of closed days: those before ``before_day``, or before the newest committed day."""
+        if before_day is None:
+            state = self.last_state()
+            before_day = state["day"] if state else 0
+        return self._read("alerts", ALERT_DAY).where(F.col("day") < before_day)
 
     def save_alert_day(self, ranked: DataFrame, day: int) -> None:
         self._replace(typed(ranked.withColumn("day", F.lit(day)), ALERT_DAY), "alerts", "day")
@@ -211,33 +301,32 @@ class Tables:
         self._replace(rows, "rejects", "batch_id")
 
     def rejects(self) -> DataFrame:
-        return self._read("rejects", REJECT)
+        """Rejected lines of the batches up to the newest committed one."""
+        state = self.last_state()
+        return self._read("rejects", REJECT).where(F.col("batch_id") <= (state["batch_id"] if state else -1))
 
     # --- state -------------------------------------------------------------------------
 
-    def last_state(self, before_batch: int):
-        """The committed state that a batch starts from, or None for the first batch.
+    def last_state(self, before_batch: int | None = None):
+        """The committed state that a batch starts from, or None for the first batch; without a
+        batch the newest state.
 
         Reads one batch's folder of the newest day that has an earlier batch.
         """
         for day in reversed(self._values(self.path("state"), "day")):
             folder = self.path("state", f"day={day}")
-            earlier = [b for b in self._values(folder, "batch_id") if b < before_batch]
+            earlier = [b for b in self._values(folder, "batch_id") if before_batch is None or b < before_batch]
             if earlier:
                 reader = self.spark.read.schema(STATE).option("basePath", self.path("state"))
                 return reader.parquet(f"{folder}/batch_id={earlier[-1]}").first()
         return None
 
     def commit_state(self, **values) -> None:
-        kinds = {f.name: f.dataType for f in STATE.fields}
-        cols = [
-            (F.array(*[F.lit(v) for v in values[n]]) if n == "models" else F.lit(values[n]))
-            .cast(kind)
-            .alias(n)
-            for n, kind in kinds.items()
-        ]
-        row = self.spark.range(1, numPartitions=1).select(*cols)
-        self._replace(row, "state", "day", "batch_id")
+        """Write the state row of a batch, and with it the log of stored folders."""
+        log = {f.name: sorted(x) for f, x in zip(STATE.fields[-2:], (self._log or (), self._retired))}
+        row = {"epoch": None, **log, **values}
+        rows = self.spark.createDataFrame([tuple(row[n] for n in STATE.names)], STATE)
+        self._replace(rows.coalesce(1), "state", "day", "batch_id")
 
     def batch_metrics(self) -> DataFrame:
         """One row per committed batch: lines in, lines dropped, alerts of the day so far."""

@@ -50,17 +50,19 @@ class Engine:
         self.dictionary = dictionary
         self.cfg = cfg = dictionary.widened(cfg)
         self.models = ModelRegistry(tables)
+        self.epoch = tables.claim()
 
     def process_batch(self, lines: DataFrame, batch_id: int) -> None:
         """Run one batch of lines (``tx_id``, ``value``); safe to run again with the same id.
 
-        Intermediate tables are dropped when the batch ends.
+        The newest engine of a root is the one that writes: once another one was made, a batch
+        raises ``Fenced`` before it writes and again before it would commit. Intermediate tables are dropped when the batch ends.
         """
         with scratch_scope(self.spark):
             self._process(lines, batch_id)
 
     def _process(self, lines: DataFrame, batch_id: int) -> None:
-        last = self.tables.last_state(batch_id)
+        last = self.tables.begin(batch_id)
         parsed = parse_lines(lines, self.cfg).persist(StorageLevel.MEMORY_AND_DISK)
         try:
             good = F.col("reject_reason").isNull()
@@ -70,6 +72,8 @@ class Engine:
                 F.min(F.when(good, F.unix_millis("tx_datetime"))).alias("first_ms"),
             ).first()
             n_in, n_good = facts["n_in"], facts["n_good"]
+            if n_in:
+                self.tables.check_epoch(self.epoch)
             if n_in == 0 or (n_good == 0 and last is None):
                 if n_in:
                     self.tables.save_rejects(rejects(parsed), batch_id)
@@ -84,8 +88,10 @@ class Engine:
                 self.tables.append_history(scored, batch_id)
                 self.tables.append_rollup(batch_id)
                 n_alerts = self._update_alerts(now, batch_id)
+            self._tidy(last, now, batch_id)
+            self.tables.check_epoch(self.epoch)
             self.tables.commit_state(
-                batch_id=batch_id, origin_ms=now.origin_ms, clock_ms=now.clock_ms, day=now.day,
+                epoch=self.epoch, batch_id=batch_id, origin_ms=now.origin_ms, clock_ms=now.clock_ms, day=now.day,
                 models=now.models, forest=now.forest, alerts_batch=now.alerts_batch,
                 n_in=n_in, n_dropped=n_in - n_good, n_alerts=n_alerts,
             )
@@ -127,7 +133,7 @@ class Engine:
             now.alerts_batch = None
         if plan.train_feedback:
             window = al.in_feedback_window(F.col("day"), now.day, self.cfg)
-            forest = train_feedback(self.tables.alerts().where(window), self.cfg)
+            forest = train_feedback(self.tables.alerts(now.day).where(window), self.cfg)
             if forest is not None:
                 now.forest = f"feedback-{now.day}-{batch_id}"
                 self.models.save_forest(now.forest, forest)
@@ -188,17 +194,21 @@ class Engine:
         now.alerts_batch = batch_id
         return self.tables.current_alerts(batch_id).count()
 
+    def _tidy(self, last, now: Progress, batch_id: int) -> None:
+        """Take expired and folded folders out of the log that this batch commits."""
+        self.tables.expire_history(now.clock_hour, self.cfg)
+        if last is not None and now.day > last["day"]:
+            self.tables.compact_history(now.clock_hour, batch_id, self.cfg.spare_folders)
+
     def _maintain(self, last, now: Progress, batch_id: int) -> None:
         """Drop what neither the next batch nor a second run of this one can need."""
-        self.tables.expire_history(now.clock_hour, self.cfg)
+        self.tables.drop_retired(last)
         self.tables.prune(batch_id)
         live = {*now.models, now.forest}
         if last is not None and now.day > last["day"]:
             self.models.drop(live | {*last["models"], last["forest"]})
             self.tables.fold_state(last["day"])
         self.models.forget(live)
-        if last is not None and now.day > last["day"]:
-            self.tables.compact_history(now.clock_hour, batch_id, self.cfg.spare_folders)
 
 
 def run_stream(
