@@ -1,7 +1,9 @@
 """Licence scan: fuzzy search for short notices by exact seeds and bounded-error matching.
 
 A notice within k edits holds at least one of the k + 1 pieces of the wanted text unchanged. One
-Aho-Corasick pass finds the pieces; only around them does the regex library look for the notice.
+Aho-Corasick pass finds the pieces. A place around one is looked at if it also holds enough of the
+notice's three-letter parts: an edit spoils three of them at most, so no notice is lost, and
+fragments that can't be one never reach the regex library, which is slow on them.
 """
 
 from __future__ import annotations
@@ -10,6 +12,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 import ahocorasick
+import numpy as np
 import regex
 from pyspark.sql import DataFrame
 
@@ -41,6 +44,20 @@ def seeds(notice: str, edits: int) -> list[tuple[int, str]]:
     return [(a, notice[a:b]) for a, b in zip(cuts, cuts[1:])]
 
 
+GRAM = 3
+
+
+def grams(notice: str, edits: int) -> tuple[list[str], int]:
+    """The parts of ``GRAM`` letters at each place of the notice, and how many a match must hold."""
+    parts = [notice[i : i + GRAM] for i in range(len(notice) - GRAM + 1)]
+    return parts, len(parts) - GRAM * edits
+
+
+def blanks(codes: np.ndarray) -> np.ndarray:
+    """Where the blanks are; the number of those before a place is the number of its word."""
+    return np.flatnonzero(codes == ord(" "))
+
+
 def pattern(notice: str, edits: int) -> regex.Pattern:
     return regex.compile(f"(?e)(?:{regex.escape(notice, literal_spaces=True)}){{e<={edits}}}")
 
@@ -52,6 +69,7 @@ class Scanner:
 
     def __post_init__(self):
         self.patterns = [pattern(n, k) for _, n, k in self.notices]
+        self.grams = [grams(n, k) for _, n, k in self.notices]
         found: dict[str, list[tuple[int, int]]] = {}
         for i, (_, notice, k) in enumerate(self.notices):
             for offset, piece in seeds(notice, k):
@@ -64,17 +82,19 @@ class Scanner:
 
     def windows(self, text: str) -> list[tuple[int, int, int]]:
         """(notice, start, end): every place that a match can lie in, overlaps joined."""
-        out: list[list[int]] = []
         if not self.notices or not text:
             return []
+        places = set()
         for end, (length, uses) in self.automaton.iter(text):
-            for i, offset in uses:
-                _, notice, k = self.notices[i]
-                start = end + 1 - length - offset
-                out.append([i, max(0, start - k), min(len(text), start + len(notice) + k)])
-        out.sort()
+            places.update((i, end + 1 - length - offset) for i, offset in uses)
         joined: list[list[int]] = []
-        for i, a, b in out:
+        for i, start in sorted(places):
+            _, notice, k = self.notices[i]
+            parts, needed = self.grams[i]
+            a, b = max(0, start - k), min(len(text), start + len(notice) + k)
+            window = text[a:b]
+            if sum(p in window for p in parts) < needed:
+                continue
             if joined and joined[-1][0] == i and a <= joined[-1][2]:
                 joined[-1][2] = max(b, joined[-1][2])
             else:
@@ -83,12 +103,16 @@ class Scanner:
 
     def spans(self, text: str) -> list[tuple[str, int, int, int, float]]:
         """(label, first word, last word, edits, similarity) of each notice found."""
+        windows = self.windows(text)
+        if not windows:
+            return []
+        gaps = blanks(np.frombuffer(text.encode("utf-32-le"), dtype="<u4"))
         out = []
-        for i, a, b in self.windows(text):
+        for i, a, b in windows:
             label, notice, _ = self.notices[i]
             for m in self.patterns[i].finditer(text, a, b):
                 edits = sum(m.fuzzy_counts)
-                first = text.count(" ", 0, m.start())
+                first = int(np.searchsorted(gaps, m.start()))
                 last = first + m.group().strip(" ").count(" ")
                 out.append((label, first, last, edits, 1 - edits / len(notice)))
         return out
@@ -97,12 +121,14 @@ class Scanner:
         words = alnum_words(raw)
         joined = b" ".join(words)
         padded = b" " + joined + b" "
-        starts, base = [], set()
+        starts, base, gaps = [], set(), None
         for phrase, label in self.phrases:
             wanted = b" " + phrase.encode() + b" "
             at = padded.find(wanted)
             while at >= 0:
-                starts.append(padded.count(b" ", 0, at))
+                if gaps is None:
+                    gaps = blanks(np.frombuffer(padded, dtype=np.uint8))
+                starts.append(int(np.searchsorted(gaps, at)))
                 base.add(label)
                 at = padded.find(wanted, at + 1)
         spans = self.spans(joined.decode("utf-8", "replace"))

@@ -17,6 +17,8 @@ WORDS, WORD_BITS = 8, 64
 BITS_PER_KEY = 16
 #: The filter's blocks and the listed URLs are broadcast up to these sizes, else joined by shuffle.
 BROADCAST_BLOCKS, BROADCAST_BYTES = 200_000, 16 << 20
+#: Spread of rows that the Bloom filter rules out, where the exact join is shuffled.
+SALTS = 1024
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 Rule = tuple[str, str, str]  # verdict, host, path
@@ -109,12 +111,13 @@ def filter_urls(
     for h in held[1:]:
         maybe = maybe & h
     probed = probed.withColumn("maybe_listed", F.coalesce(F.col("canonical").isNotNull() & maybe, F.lit(False)))
-    names = ["page_id", "host", "path", "canonical", "maybe_listed"]
-    hits, rest = probed.where("maybe_listed").select(names), probed.where("not maybe_listed").select(names)
-    exact = canon.withColumn("listed", F.lit(True))
-    hits = hits.join(F.broadcast(exact) if size["b"] <= broadcast_bytes else exact, "canonical", "left")
-    hits = hits.select(*names, F.coalesce("listed", F.lit(False)).alias("listed"))
-    judged = hits.unionByName(rest.withColumn("listed", F.lit(False)))
+    # Possible hits look their URL up; all others carry a salt that no list entry has, so they match
+    # nothing, and rows of one common URL or of none don't meet in one task of a shuffled join.
+    salt = F.pmod(F.xxhash64("page_id", "canonical"), F.lit(SALTS)) + 1
+    probed = probed.withColumn("salt", F.when(F.col("maybe_listed"), F.lit(0).cast("long")).otherwise(salt))
+    exact = canon.select("canonical", F.lit(0).cast("long").alias("salt"), F.lit(True).alias("hit"))
+    exact = F.broadcast(exact) if size["b"] <= broadcast_bytes else exact
+    judged = probed.join(exact, ["canonical", "salt"], "left").withColumn("listed", F.coalesce("hit", F.lit(False)))
     host, path = F.col("host"), F.col("path")
     own = F.when(F.col("listed"), "block").otherwise("allow")
     return judged.select(
