@@ -193,6 +193,24 @@ def _bags(source: str) -> str:
 )"""
 
 
+# Rows as the engine reads them from their lines; hours count from the first good line.
+_STREAMED = (
+    _ENCODED
+    + f""", good AS (
+  SELECT * REPLACE (
+    CASE WHEN tx_id % 83 = 0 THEN CAST(88 AS DOUBLE) ELSE tx_amount END AS tx_amount,
+    tx_id % 73 = 0 OR boo1 AS boo1,
+    CASE WHEN tx_id % 71 = 0 THEN 0.002809 ELSE merchant END AS merchant,
+    CAST((tx_ms - (SELECT min(tx_ms) FROM tx WHERE {_GOOD})) // 3600000 AS INT) AS tx_dhour
+  ), tx_dhour // 120 AS batch_id FROM enc WHERE {_GOOD}
+), clocks AS (
+  SELECT batch_id, min(tx_dhour) AS clock_hour, count(*) AS n_good FROM good GROUP BY batch_id
+), stored AS (
+  SELECT * FROM good QUALIFY row_number() OVER (
+    PARTITION BY cardid, tx_dhour, tx_datetime ORDER BY tx_id DESC) = 1
+)"""
+)
+
 ORACLE: dict[str, str] = {
     "parse_tx": _TX
     + f"""
@@ -342,6 +360,31 @@ SELECT CAST(batch_id AS BIGINT) AS batch_id, "day", n_in, n_in - n_good AS n_dro
   CASE WHEN "day" > 3 THEN CAST(least(20, sum(n_good) OVER (PARTITION BY "day" ORDER BY batch_id)) AS BIGINT)
     ELSE 0 END AS n_alerts
 FROM clocked""",
+    "stream_history": _STREAMED
+    + ", feats AS ("
+    + _stats(
+        "FROM good b JOIN clocks c ON c.batch_id = b.batch_id LEFT JOIN stored h ON h.cardid = b.cardid "
+        "AND h.batch_id < c.batch_id AND h.tx_dhour > c.clock_hour - 120",
+        "b.tx_id",
+    )
+    + f""")
+SELECT tx_id, CAST(batch_id AS BIGINT) AS batch_id, cardid, tx_ms AS tx_datetime, tx_dhour, tx_amount, boo1, label,
+  cat1, cat2, merchant, merchantarea, {_FEATS}
+FROM good JOIN feats USING (tx_id)
+WHERE tx_dhour > (SELECT max(clock_hour) FROM clocks) - 120""",
+    # A batch's list is closed by the next batch of a later day; there are lists once a model is live.
+    "stream_alerts": _STREAMED
+    + """, days AS (
+  SELECT clock_hour // 24 AS d, lag(clock_hour // 24) OVER (ORDER BY batch_id) AS before,
+    lag(n_good) OVER (ORDER BY batch_id) AS n_good FROM clocks
+)
+SELECT CAST(d - 1 AS INT) AS "day", CAST(place AS INT) AS tx_rank, true AS falling
+FROM days, range(1, 21) r(place) WHERE before > 3 AND d > before AND place <= n_good""",
+    "stream_rejects": _TX
+    + f"""
+SELECT tx_id, CAST(tx_dhour // 120 AS BIGINT) AS batch_id,
+  CASE WHEN tx_id % 97 = 0 THEN 'arity' ELSE 'datetime' END AS reject_reason
+FROM tx WHERE NOT ({_GOOD})""",
     "model_schedule": _TX
     + f""", {_TRAIN_DAYS}
 SELECT d AS day_no, d > 3 AND d < 5 AS train_recent, d > 7 AS train_delayed, d > 4 AS close_alerts,

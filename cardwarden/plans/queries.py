@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cardwarden.functions.clock import with_time_fields
@@ -31,7 +31,7 @@ from cardwarden.operators.models import (
 from cardwarden.operators.parse import accepted, parse_lines, rejects
 from cardwarden.operators.vectors import vector_columns, with_vector
 from cardwarden.plans import fixtures as fx
-from cardwarden.plans.replay import replay
+from cardwarden.plans.replay import replay, stored_run
 from cardwarden.plans.schedule import schedule
 from cardwarden.schema import AMOUNT_STATS, AREA_STATS, LAST_TX, TX_FEATURES, typed
 from cardwarden.session import materialize
@@ -450,3 +450,27 @@ def score_feedback_model(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stream_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole stream through the engine, two batches a day; one row per committed batch."""
     return replay(spark, sf_dir, CFG).batch_metrics()
+
+
+@query("stream_history")
+def stream_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows that a whole run leaves in the history table, with the features they were scored with."""
+    rows = _ms(stored_run(spark, sf_dir, CFG).history())
+    return rows.select(
+        "tx_id", "batch_id", "cardid", "tx_datetime", "tx_dhour", "tx_amount", "boo1", "label",
+        "cat1", "cat2", "merchant", "merchantarea", *AMOUNT_STATS, *AREA_STATS, *LAST_TX,
+    )
+
+@query("stream_alerts")
+def stream_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The closed alert lists of a whole run: places, and whether no score is above that of the place before."""
+    alerts = stored_run(spark, sf_dir, CFG).alerts()
+    by_rank = Window.partitionBy("day").orderBy("tx_rank")
+    before = F.lag("zfraud_pr").over(by_rank)
+    falling = F.coalesce(F.col("zfraud_pr") <= before, F.lit(True))
+    return alerts.select("day", "tx_rank", falling.alias("falling"))
+
+@query("stream_rejects")
+def stream_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lines that a whole run rejected, by batch and reason."""
+    return stored_run(spark, sf_dir, CFG).rejects().select("tx_id", "batch_id", "reject_reason")

@@ -13,6 +13,10 @@ from cardwarden.streaming.engine import Engine
 
 #: Hours of a replayed batch: two batches a day, so lists of a day's alerts are merged.
 BATCH_HOURS = 12
+#: Hours of a batch of the run whose tables are read back: as long as history is kept.
+STORED_HOURS = 120
+
+_RUNS: dict[tuple[str, str], str] = {}
 
 
 def write_batches(lines: DataFrame, batch: str, path: str) -> list[int]:
@@ -38,3 +42,14 @@ def replay(spark: SparkSession, sf_dir: str, cfg: EngineConfig, hours_per_batch:
     for number in batches:
         engine.process_batch(reader.parquet(f"{source}/part={number}"), number)
     return engine.tables
+
+
+def stored_run(spark: SparkSession, sf_dir: str, cfg: EngineConfig) -> Tables:
+    """The tables of one run over all transactions, opened by a reader of their own.
+
+    A session replays each data set once; queries of the stored tables share the run.
+    """
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _RUNS:
+        _RUNS[key] = replay(spark, sf_dir, cfg, STORED_HOURS).root
+    return Tables(spark, _RUNS[key])
