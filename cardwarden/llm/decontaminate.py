@@ -8,13 +8,15 @@ all items at or above it are retrieved. Each is then verified on question and an
 from __future__ import annotations
 
 import math
+import pickle
 from bisect import bisect_left
 from collections import Counter, defaultdict
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -30,7 +32,8 @@ PASSAGE_WORDS, BLOCK, NGRAM = 128, 8, 3
 #: The items of an index are cut into at most this many ranges. A term has one upper bound for
 #: each range; most passages end at these bounds, summed for a whole document at once.
 RANGES = 128
-#: An index of items up to this many bytes of text is broadcast; more items make more indexes.
+#: An index holds items of about this many bytes of text; more items make more indexes, and the
+#: corpus meets them one after the other.
 INDEX_BYTES = 8 << 20
 
 
@@ -209,47 +212,76 @@ def _search_part(index, words, ids, places, size, threshold, question, answer, h
             have_a = overlap(a, two | one)
             if have_q >= question and have_a >= answer:
                 row = (item_id, start, score, score * total, have_q, have_a)
-                if item_id not in hits or (score, -start) > (hits[item_id][2], -hits[item_id][1]):
-                    hits[item_id] = row
+                if item not in hits or (score, -start) > (hits[item][2], -hits[item][1]):
+                    hits[item] = row
     return hits
 
 
 HIT = "item_id long, passage_start long, score double, bm25 double, question_overlap double, answer_overlap double"
 
 
-def build_indexes(benchmark: DataFrame, index_bytes: int = INDEX_BYTES) -> tuple[list, int]:
-    """Broadcast indexes, each of at most about ``index_bytes`` of item text, and the passage size.
+def build_indexes(benchmark: DataFrame, index_bytes: int = INDEX_BYTES) -> tuple[DataFrame, int, int]:
+    """Indexes of at most about ``index_bytes`` of item text each, their number and the passage size.
 
-    Term counts and lengths that weigh the items cover the whole benchmark. A passage is twice
-    the longest item at least, so every item lies whole in some passage that holds all of it.
+    A row of the table (``shard``, ``index``) is one index, built by the task that its items and the
+    weights of their words were shuffled to. Equal (id, text) items are one in the index, so that
+    copies don't crowd a shard; term counts and lengths that weigh the items cover every row of the
+    benchmark. A passage is twice the longest item at least, so every item lies whole in some
+    passage that holds all of it.
     """
-    spark = benchmark.sparkSession
     items = benchmark.select(benchmark["item_id"], benchmark["text"].cast("binary").alias("text")).dropna()
-    size = items.agg(F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("b"), F.count("*").alias("n")).first()
-    n_shards = max(1, -(-size["b"] // index_bytes))
-    items = items.withColumn("shard", F.pmod(F.xxhash64("item_id", "text"), F.lit(n_shards)))
-    term = T.StructType.fromDDL("shard long, word binary, tf long, n_words long")
+    held = materialize(items.groupBy("item_id", "text").agg(F.count("*").alias("copies")), "items")
+    size = held.agg(
+        F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("bytes"), F.coalesce(F.sum("copies"), F.lit(0)).alias("rows")
+    ).first()
+    n_shards = max(1, -(-size["bytes"] // index_bytes))
+    held = held.withColumn("shard", F.pmod(F.xxhash64("item_id", "text"), F.lit(n_shards)))
+    term = T.StructType.fromDDL("shard long, copies long, word binary, tf long, n_words long")
 
     def terms(batches):
         for batch in batches:
             rows = []
-            for shard, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for shard, copies, text in zip(*(c.to_pylist() for c in batch.columns)):
                 words = alnum_words(text)
-                rows += [(shard, w, n, len(words)) for w, n in Counter(words).items()]
+                rows += [(shard, copies, w, n, len(words)) for w, n in Counter(words).items()]
             yield record_batch(rows, to_arrow_schema(term))
 
-    counted = materialize(items.select("shard", "text").mapInArrow(terms, term), "item-terms")
-    df = counted.groupBy("word").agg(F.count("*").alias("df"))
-    total = counted.agg(F.sum("tf").alias("words"), F.max("n_words").alias("longest")).first()
-    mean_words = (total["words"] or 0) / max(1, size["n"])
-    sent = []
+    counted = materialize(held.select("shard", "copies", "text").mapInArrow(terms, term), "item-terms")
+    total = counted.agg(F.sum(F.expr("tf * copies")).alias("words"), F.max("n_words").alias("longest")).first()
+    n_items, mean_words = size["rows"], (total["words"] or 0) / max(1, size["rows"])
+    df = counted.groupBy("word").agg(F.sum("copies").alias("df"))
+    weights = counted.select("shard", "word").distinct().join(df, "word").select("shard", "word", "df")
+
+    def build(items: pa.Table, weights: pa.Table) -> pa.Table:
+        found = dict(zip(weights["word"].to_pylist(), weights["df"].to_pylist()))
+        pairs = zip(items["item_id"].to_pylist(), items["text"].to_pylist())
+        index = Index(pairs, found, n_items, mean_words)
+        return pa.table({"shard": items["shard"][:1], "index": pa.array([pickle.dumps(index)], pa.binary())})
+
+    grouped = held.select("shard", "item_id", "text").groupBy("shard").cogroup(weights.groupBy("shard"))
+    built = materialize(grouped.applyInArrow(build, "shard long, index binary"), "item-indexes")
+    return built, n_shards, max(PASSAGE_WORDS, 2 * (total["longest"] or 0))
+
+
+def per_index(
+    benchmark: DataFrame, index_bytes: int, search_with: Callable[[object, int, DataFrame | None], DataFrame]
+) -> list[DataFrame]:
+    """The frames ``search_with(index, passage size, last frame)``, an index at a time.
+
+    All but the last are written before the next index is loaded and the last one's copies in the
+    driver and the workers are dropped, so memory holds one index, however many there are.
+    """
+    built, n_shards, size = build_indexes(benchmark, index_bytes)
+    context, done = benchmark.sparkSession.sparkContext, []
     for shard in range(n_shards):
-        used = counted.where(F.col("shard") == shard).select("word").distinct()
-        weights = {bytes(r["word"]): r["df"] for r in df.join(used, "word", "left_semi").toLocalIterator()}
-        of_shard = items.where(F.col("shard") == shard).toLocalIterator()
-        held = [(r["item_id"], bytes(r["text"])) for r in of_shard]
-        sent.append(spark.sparkContext.broadcast(Index(held, weights, size["n"], mean_words)))
-    return sent, max(PASSAGE_WORDS, 2 * (total["longest"] or 0))
+        row = built.where(F.col("shard") == shard).first()
+        index = context.broadcast(pickle.loads(row["index"]) if row else Index([], {}, 0, 0.0))
+        frame = search_with(index, size, done[-1] if done else None)
+        if shard + 1 < n_shards:
+            frame = materialize(frame, "leaks")
+            index.unpersist(blocking=False)
+        done.append(frame)
+    return done
 
 
 def find_leaks(
@@ -264,19 +296,18 @@ def find_leaks(
 ) -> DataFrame:
     """One row per document row and benchmark item that it leaks, with the best passage's scores.
 
-    Null and empty texts, on either side, leak nothing; repeated documents and repeated items get
-    rows each; a null document id stays null; an empty benchmark gives no rows. Other columns are
-    not read. The corpus is scanned once per index and never shuffled.
+    Null and empty texts, on either side, leak nothing; repeated documents get rows each, and so do
+    items of one id with different texts, while rows of equal id and text are one item; a null
+    document id stays null; an empty benchmark gives no rows. Other columns are not read. The corpus
+    is scanned once per index and never shuffled.
     """
-    sent, size = build_indexes(benchmark, index_bytes)
     rows = slim(docs, id_col, text_col)
     out = T.StructType([rows.schema["doc_id"], *T.StructType.fromDDL(HIT).fields])
     arrow = to_arrow_schema(out)
-    parts = []
-    for index in sent:
 
+    def search_with(index, size, _):
         @tidy
-        def run(batches, index=index):
+        def run(batches):
             for batch in batches:
                 hits = []
                 for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
@@ -284,8 +315,9 @@ def find_leaks(
                     hits += [(doc_id, *hit) for hit in found]
                 yield record_batch(hits, arrow)
 
-        parts.append(rows.mapInArrow(run, out))
-    return reduce(DataFrame.union, parts)
+        return rows.mapInArrow(run, out)
+
+    return reduce(DataFrame.union, per_index(benchmark, index_bytes, search_with))
 
 
 def drop_leaks(
@@ -298,15 +330,13 @@ def drop_leaks(
     index_bytes: int = INDEX_BYTES,
 ) -> DataFrame:
     """The rows of ``docs``, all columns, whose text leaks no item; judged in the scan itself."""
-    sent, size = build_indexes(benchmark, index_bytes)
 
-    def leaks(index):
+    def keep_with(index, size, kept):
         def judge(texts: pd.Series) -> pd.Series:
             found = [bool(search(index.value, t or b"", size, threshold, question, answer)) for t in texts]
             return pd.Series(found, dtype=bool)
 
-        return F.pandas_udf(judge, "boolean")
+        kept = docs if kept is None else kept
+        return kept.where(~F.pandas_udf(judge, "boolean")(kept[text_col].cast("binary")))
 
-    for index in sent:
-        docs = docs.where(~leaks(index)(docs[text_col].cast("binary")))
-    return docs
+    return per_index(benchmark, index_bytes, keep_with)[-1]
