@@ -10,7 +10,7 @@ that could be run again starts from a state that names them.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -80,6 +80,7 @@ class Tables:
         self._rollup = self.rollup_schema()
         self._log: set[Folder] | None = None
         self._retired: set[Folder] = set()
+        self._committed: Row | None = None
         for name in ("history", "rollup", "alerts", "alerts_current", "rejects", "state", "metrics", "models", "epochs"):
             self._fs.mkdirs(self._path(self.path(name)))
 
@@ -106,8 +107,14 @@ class Tables:
     # --- commit log --------------------------------------------------------------------
 
     def begin(self, batch_id: int):
-        """Start a batch from the last committed state before it, and return that state."""
-        state = self.last_state(batch_id)
+        """Start a batch from the last committed state before it, and return that state.
+
+        A batch after the one that this object committed last starts from the state it holds: only
+        another writer could have committed since, and its epoch stops this one before it writes.
+        """
+        state = self._committed
+        if state is None or state["batch_id"] >= batch_id:
+            state = self.last_state(batch_id)
         self._log = {tuple(f) for f in state["folders"]} if state else set()
         self._retired = set()
         return state
@@ -327,6 +334,7 @@ class Tables:
         row = {"epoch": None, **log, **values}
         rows = self.spark.createDataFrame([tuple(row[n] for n in STATE.names)], STATE)
         self._replace(rows.coalesce(1), "state", "day", "batch_id")
+        self._committed = Row(**row)
 
     def batch_metrics(self) -> DataFrame:
         """One row per committed batch: lines in, lines dropped, alerts of the day so far."""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from cardwarden.config import EngineConfig
@@ -23,7 +23,7 @@ from cardwarden.operators.models import score, train_delayed, train_feedback
 from cardwarden.operators.parse import accepted, parse_lines, rejects
 from cardwarden.plans.schedule import day_plan, live_after
 from cardwarden.session import materialize, scratch_scope
-from cardwarden.sources.tables import Tables, current_tables
+from cardwarden.sources.tables import Fenced, Tables, current_tables
 from cardwarden.streaming.registry import ModelRegistry
 
 
@@ -65,22 +65,16 @@ class Engine:
         last = self.tables.begin(batch_id)
         parsed = parse_lines(lines, self.cfg).persist(StorageLevel.MEMORY_AND_DISK)
         try:
-            good = F.col("reject_reason").isNull()
-            facts = parsed.agg(
-                F.count("*").alias("n_in"),
-                F.count_if(good).alias("n_good"),
-                F.min(F.when(good, F.unix_millis("tx_datetime"))).alias("first_ms"),
-            ).first()
-            n_in, n_good = facts["n_in"], facts["n_good"]
-            if n_in:
+            try:
                 self.tables.check_epoch(self.epoch)
+            except Fenced:
+                if lines.isEmpty():
+                    return
+                raise
+            n_in, n_good, first_ms = self._split(parsed, batch_id)
             if n_in == 0 or (n_good == 0 and last is None):
-                if n_in:
-                    self.tables.save_rejects(rejects(parsed), batch_id)
                 return
-            if n_good < n_in:
-                self.tables.save_rejects(rejects(parsed), batch_id)
-            now = self._advance(last, facts["first_ms"])
+            now = self._advance(last, first_ms)
             n_alerts = last["n_alerts"] if last and now.alerts_batch is not None else 0
             if n_good:
                 self._roll(last["day"] if last else 0, now, batch_id)
@@ -99,6 +93,23 @@ class Engine:
         finally:
             parsed.unpersist()
 
+    def _split(self, parsed: DataFrame, batch_id: int) -> tuple[int, int, int | None]:
+        """Store the rejects: the one pass that fills the cache of parsed rows also counts them.
+
+        Returns all lines, good lines and the earliest good time. The pass has no shuffle, so a
+        task that runs again counts its rows once.
+        """
+        facts, good = Observation(), F.col("reject_reason").isNull()
+        seen = parsed.observe(
+            facts,
+            F.count(F.lit(1)).alias("n_in"),
+            F.count_if(good).alias("n_good"),
+            F.min(F.when(good, F.unix_millis("tx_datetime"))).alias("first_ms"),
+        )
+        self.tables.save_rejects(rejects(seen), batch_id)
+        found = facts.get
+        return found.get("n_in", 0), found.get("n_good", 0), found.get("first_ms")
+
     def _advance(self, last, first_ms: int | None) -> Progress:
         """The batch clock is the earliest good time of the batch and never moves back."""
         if last is None:
@@ -190,9 +201,10 @@ class Engine:
             before = self.tables.current_alerts(now.alerts_batch)
         top = al.batch_top(self.tables.stored_batch(batch_id), self.cfg).drop("batch_id")
         merged = al.merge_daily(before, top, self.cfg)
-        self.tables.save_current_alerts(merged, batch_id)
+        listed = Observation()
+        self.tables.save_current_alerts(merged.observe(listed, F.count(F.lit(1)).alias("n")), batch_id)
         now.alerts_batch = batch_id
-        return self.tables.current_alerts(batch_id).count()
+        return listed.get.get("n", 0)
 
     def _tidy(self, last, now: Progress, batch_id: int) -> None:
         """Take expired and folded folders out of the log that this batch commits."""

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cardwarden.config import EngineConfig
+from cardwarden.operators.parse import parse_lines
 from cardwarden.plans import fixtures as fx
 from cardwarden.session import materialize
 from cardwarden.sources.readers import read_transactions, source_options
@@ -102,6 +103,33 @@ def test_second_engine_stops_the_first(spark, source, tmp_path):
     assert second.tables.folders("epochs") == ["2"]
 
 
+def test_counts_come_from_the_passes_that_write(spark, source, tmp_path):
+    root, lines = str(tmp_path / "root"), "tx_id long, value string"
+    engine = Engine(Tables(spark, root), source[1], CFG)
+    none = spark.createDataFrame([], lines)
+    engine.process_batch(none, 0)
+    engine.process_batch(batch(source, 1).limit(0), 1)
+    assert engine.tables.last_state() is None
+    bad = spark.createDataFrame([(1, "no fields"), (2, ""), (3, None)], lines)
+    engine.process_batch(batch(source, 0), 2)
+    engine.process_batch(bad, 3)
+    engine.process_batch(batch(source, 1).unionByName(bad), 4)
+    engine.process_batch(none, 5)
+    found = {r["batch_id"]: (r["n_in"], r["n_dropped"]) for r in engine.tables.batch_metrics().collect()}
+    want = {}
+    for number, rows in ((2, batch(source, 0)), (3, bad), (4, batch(source, 1).unionByName(bad))):
+        reasons = [r["reject_reason"] for r in parse_lines(rows, CFG).collect()]
+        want[number] = (len(reasons), sum(r is not None for r in reasons))
+    assert found == want and want[3] == (3, 3) and want[2][0] > want[2][1] > 0
+    stored = Tables(spark, root).rejects().groupBy("batch_id").count().collect()
+    assert {r["batch_id"]: r["count"] for r in stored} == {n: dropped for n, (_, dropped) in want.items()}
+    # A replaced engine has nothing to write for an empty batch, and lets it pass.
+    Engine(Tables(spark, root), source[1], CFG)
+    engine.process_batch(none, 6)
+    with pytest.raises(Fenced):
+        engine.process_batch(bad, 7)
+
+
 def test_an_engine_replaced_in_mid_batch_does_not_commit(spark, source, tmp_path):
     root = str(tmp_path / "root")
     first = Engine(Tables(spark, root), source[1], CFG)
