@@ -27,6 +27,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from cardwarden.llm.components import connected_components
 from cardwarden.llm.substring_dedup import Hasher, mix
 from cardwarden.llm.words import free_name, record_batch, slim, tidy
+from cardwarden.operators.joins import hot_keys, spread_join
 from cardwarden.session import materialize
 
 #: Bins of a sketch; bands times rows of a band are the bins.
@@ -38,6 +39,8 @@ PROPOSALS = 2
 CROWDED, BLOCK = 64, 512
 #: Lists of ids up to this length are broadcast (16 bytes an entry), longer ones are shuffled.
 BROADCAST_IDS = 1_000_000
+#: A key with more rows than this, and than an even task of a shuffle, is salted.
+HOT_ROWS = 1000
 
 _SEEDS = mix(np.arange(1, 2 * BINS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _STEP = np.uint64(0x100000001B3)
@@ -104,10 +107,28 @@ def _some(df: DataFrame) -> bool:
     return bool(df.limit(1).count())
 
 
+def _hot(counts: DataFrame, key: str) -> DataFrame | None:
+    """Keys of the written table ``counts`` (key, k) with more rows than an even task would get.
+
+    Fewer keys than partitions can have so many rows, which bounds the list that is broadcast.
+    """
+    tasks = int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    total = counts.agg(F.sum("k").alias("rows")).first()["rows"] or 0
+    return hot_keys(counts, [key], "k", max(HOT_ROWS, total // tasks), tasks)
+
+
+def _spread(rows: DataFrame, groups: DataFrame, key: str, id_col: str, how: str = "inner") -> DataFrame:
+    """The written ``rows`` joined to ``groups``, one row a key, with the keys counted and hot ones salted."""
+    counts = materialize(rows.groupBy(key).agg(F.count("*").alias("k")), "key-counts")
+    return spread_join(rows, groups, [key], id_col, _hot(counts, key), how)
+
+
 class _Finder:
     def __init__(self, docs: DataFrame, size: int, percent: int, broadcast_ids: int = BROADCAST_IDS, crowded: int = CROWDED):
         self.docs, self.size, self.percent = docs, size, percent
         self.broadcast_ids, self.crowded = broadcast_ids, crowded
+        #: Hot band keys and their salts.
+        self.hot: DataFrame | None = None
 
     def _hint(self, ids: DataFrame) -> DataFrame:
         return F.broadcast(ids) if _few(ids, self.broadcast_ids) else ids
@@ -141,7 +162,10 @@ class _Finder:
         if hinted is not pairs:
             ends = F.broadcast(pairs.select(F.col("b").alias("doc_id")).distinct())
             texts = texts.join(ends, "doc_id", "left_semi")
-        both = left.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b").select(*pairs.columns, "ta", "tb")
+        # Many classes may propose one mate.
+        mates = materialize(pairs.groupBy("b").agg(F.count("*").alias("k")), "mates")
+        right = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb"))
+        both = spread_join(left, right, ["b"], "a", _hot(mates, "b"), "inner").select(*pairs.columns, "ta", "tb")
         schema, names, n = pairs.schema, pairs.columns, len(pairs.columns)
         arrow = to_arrow_schema(schema)
 
@@ -173,7 +197,8 @@ class _Finder:
         order = F.struct(-F.col("central"), F.col("doc")) if turn == 0 else F.xxhash64("doc", F.lit(turn))
         first = live.groupBy("key").agg(F.min(F.struct(order.alias("o"), F.col("doc").alias("mate"), F.col("n").alias("nb"), F.col("comp").alias("mc"))).alias("f"))
         first = first.select("key", "f.mate", "f.nb", "f.mc")
-        seen = live.withColumnRenamed("n", "na").join(first, "key").where((F.col("comp") != F.col("mc")) & self._ratio())
+        seen = spread_join(live.withColumnRenamed("n", "na"), first, ["key"], "doc", self.hot, "inner")
+        seen = seen.where((F.col("comp") != F.col("mc")) & self._ratio())
         shared = seen.groupBy("doc", "mate", "comp", "mc").agg(F.count("*").alias("k"))
         best = shared.groupBy("doc").agg(F.max(F.struct("k", (-F.col("mate")).alias("m"), "comp", "mc")).alias("x"))
         mate = -F.col("x.m")
@@ -181,10 +206,9 @@ class _Finder:
         return best.select(*ends)
 
     def with_centrality(self, live: DataFrame) -> DataFrame:
-        """``live`` with the members of all buckets that a class is in. The text that a group's
-        copies come from shares buckets with most of them, so it is the mate to try first."""
-        sizes = live.groupBy("key").agg(F.count("*").alias("k"))
-        central = live.join(sizes, "key").groupBy("doc").agg(F.sum("k").alias("central"))
+        """``live`` with the members ``k`` of all buckets that a class is in, added up. The text that a
+        group's copies come from shares buckets with most of them, so it is the mate to try first."""
+        central = live.groupBy("doc").agg(F.sum("k").alias("central"))
         return live.join(central, "doc").select("key", "doc", "n", "comp", "central")
 
     def remaining(self, live: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -193,7 +217,7 @@ class _Finder:
         per = live.groupBy("key", "comp").agg(F.count("*").alias("k"))
         kinds = per.groupBy("key").agg(F.max(F.struct("k", "comp")).alias("top"), F.count("*").alias("comps"), F.sum("k").alias("size"))
         kinds = kinds.where("comps > 1").select("key", F.col("top.comp").alias("top"), "size")
-        mixed = materialize(live.join(kinds, "key"), "mixed")
+        mixed = materialize(spread_join(live, kinds, ["key"], "doc", self.hot, "inner"), "mixed")
         crowds = mixed.where(F.col("size") > self.crowded).select("doc", "comp", "top").distinct()
         return self._across(mixed.where(F.col("size") <= self.crowded), ["key"]), materialize(crowds, "crowds")
 
@@ -260,8 +284,8 @@ def _merged(live: DataFrame, links: DataFrame) -> DataFrame:
     up = links.select(F.greatest("ca", "cb").alias("comp"), F.least("ca", "cb").alias("to"))
     up = materialize(up.groupBy("comp").agg(F.min("to").alias("to")), "merged")
     again = up.select(F.col("comp").alias("to"), F.col("to").alias("far"))
-    up = up.join(again, "to", "left").select("comp", F.coalesce("far", "to").alias("to"))
-    moved = live.join(up, "comp", "left")
+    up = _spread(up, again, "to", "comp", "left").select("comp", F.coalesce("far", "to").alias("to"))
+    moved = _spread(live, up, "comp", "doc", "left")
     return materialize(moved.select("key", "doc", "n", F.coalesce("to", "comp").alias("comp"), "central"), "buckets")
 
 
@@ -286,15 +310,20 @@ def near_duplicates(
     marked = materialize(finder.sketches(), "sketches")
     usable = marked.where("n_shingles > 0 and doc_id is not null")
     # Rows of a class have one set, so one sketch.
-    classes = usable.groupBy("print").agg(F.min("doc_id").alias("doc"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"))
+    facts = [F.min("doc_id").alias("doc"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.count("*").alias("k")]
+    classes = usable.groupBy("print").agg(*facts)
     classes = materialize(classes, "classes")
     keyed = classes.select(F.explode("bands").alias("key"), "doc", "n")
-    shared = keyed.groupBy("key").agg(F.count("*").alias("k")).where("k > 1").select("key")
-    live = materialize(keyed.join(shared, "key", "left_semi").withColumn("comp", F.col("doc")), "buckets")
+    shared = materialize(keyed.groupBy("key").agg(F.count("*").alias("k")).where("k > 1"), "shared-keys")
+    finder.hot = _hot(shared, "key")
+    live = materialize(spread_join(keyed, shared, ["key"], "doc", finder.hot, "inner").withColumn("comp", F.col("doc")), "buckets")
     live = materialize(finder.with_centrality(live), "central")
 
     ids = live.select(F.col("doc").alias("doc_id")).distinct()
     texts = rows.where("doc_id is not null").join(finder._hint(materialize(ids, "candidates")), "doc_id", "left_semi")
+    if _some(usable.groupBy("doc_id").count().where("count > 1")):
+        # Pairs join both ends' texts, so the copies of two ids would multiply.
+        texts = texts.dropDuplicates(["doc_id", "text"])
     texts = materialize(texts, "candidate-texts")
     links: list[DataFrame] = []
     tested: list[DataFrame] = []
@@ -333,7 +362,8 @@ def _result(marked: DataFrame, classes: DataFrame, links: list[DataFrame]) -> Da
     else:
         of_class = of_class.withColumn("component", F.col("doc"))
     of_class = of_class.select("print", F.coalesce("component", "doc").alias("component_id"))
-    linked_rows = marked.where("n_shingles > 0 and doc_id is not null").select("doc_id", "n_shingles", "print").join(of_class, "print")
+    linked_rows = marked.where("n_shingles > 0 and doc_id is not null").select("doc_id", "n_shingles", "print")
+    linked_rows = spread_join(linked_rows, of_class, ["print"], "doc_id", _hot(classes.select("print", "k"), "print"), "inner")
     linked_rows = linked_rows.select("doc_id", "n_shingles", "component_id")
     alone = marked.where("n_shingles = 0 or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return linked_rows.union(alone).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
