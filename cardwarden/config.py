@@ -49,6 +49,9 @@ class EngineConfig:
     # A join key with more rows than this is spread over several tasks.
     hot_rows: int = 2_000_000
 
+    # A batch of no more rows is stored by one task, without a shuffle.
+    one_task_rows: int = 20_000
+
     # Thresholds that a tree tries for each amount; must not be below the largest nominal domain.
     max_bins: int = 32
     # Number of codes of each nominal feature; a dictionary with more of them widens it.

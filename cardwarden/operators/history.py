@@ -168,10 +168,11 @@ def of_batch_cards(
 def rolled_stats(rolled: DataFrame) -> DataFrame:
     """One row per card from (card, hour) statistics in versions; the last version of an hour counts.
 
-    A card has a row per retained hour and version, however many transactions it made in them.
+    A card has a row per retained hour and version, however many transactions it made in them, so
+    one shuffle by card serves both steps.
     """
     parts = [c for c in rolled.columns if c.startswith("p_")]
-    last = rolled.groupBy("cardid", "tx_dhour").agg(F.max_by(F.struct(*parts), "batch_id").alias("_v"))
+    last = rolled.repartition("cardid").groupBy("cardid", "tx_dhour").agg(F.max_by(F.struct(*parts), "batch_id").alias("_v"))
     return last.select("cardid", "_v.*").groupBy("cardid").agg(*merged())
 
 

@@ -10,6 +10,8 @@ that could be run again starts from a state that names them.
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -81,6 +83,7 @@ class Tables:
         self._log: set[Folder] | None = None
         self._retired: set[Folder] = set()
         self._committed: Row | None = None
+        self._small_batch: int | None = None
         for name in ("history", "rollup", "alerts", "alerts_current", "rejects", "state", "metrics", "models", "epochs"):
             self._fs.mkdirs(self._path(self.path(name)))
 
@@ -144,8 +147,9 @@ class Tables:
         target = self.path(name, f"batch_id={batch_id}")
         whole = rows.drop("batch_id").write.mode("overwrite").option("partitionOverwriteMode", "static")
         whole.partitionBy("tx_dhour").parquet(target)
-        self._log = {f for f in self._log if f[:2] != (name, batch_id)}
-        self._log |= {(name, batch_id, h) for h in self._values(target, "tx_dhour")}
+        kept = {f for f in self._log if f[:2] != (name, batch_id)}
+        # One assignment: another thread may be reading the log.
+        self._log = kept | {(name, batch_id, h) for h in self._values(target, "tx_dhour")}
 
     def _retire(self, folders: list[Folder]) -> None:
         self._log -= set(folders)
@@ -208,10 +212,12 @@ class Tables:
         """The rows that one batch stored; lists only that batch's folders."""
         return self._open(TX_STORED, [f for f in self._folders("history") if f[1] == batch_id])
 
-    def append_history(self, scored: DataFrame, batch_id: int) -> None:
-        """Store a scored batch; rebalancing joins small tasks and splits a crowded hour."""
+    def append_history(self, scored: DataFrame, batch_id: int, small: bool = False) -> None:
+        """Store a scored batch; rebalancing joins small tasks and splits a crowded hour. One task
+        stores a ``small`` batch, and the rollup that follows."""
+        self._small_batch = batch_id if small else None
         rows = typed(scored.withColumn("batch_id", F.lit(batch_id)), TX_STORED)
-        self._append(rows.hint("rebalance", "tx_dhour"), "history", batch_id)
+        self._append(rows.coalesce(1) if small else rows.hint("rebalance", "tx_dhour"), "history", batch_id)
 
     def rollup_schema(self) -> T.StructType:
         empty = self.spark.createDataFrame([], TX_STORED).groupBy("cardid", "tx_dhour").agg(*partial_stats())
@@ -222,18 +228,20 @@ class Tables:
 
         Each row is whole: if earlier batches stored rows of the same hour, late or written again,
         the rows of those cards in that hour are read once more, and the new version takes the place
-        of the old one for later batches. Other hours are not read.
+        of the old one for later batches. Other hours are not read. One task writes the few rows of a
+        small batch; it also makes them, unless earlier rows, of any number, are read.
         """
         mine, stored = self.stored_batch(batch_id), self._folders("history")
         hours = {h for _, b, h in stored if b == batch_id}
         earlier = sorted({h for _, b, h in stored if b < batch_id and h in hours})
-        rows = mine
+        small = batch_id == self._small_batch
+        rows = mine.coalesce(1) if small and not earlier else mine
         if earlier:
             touched = mine.where(F.col("tx_dhour").isin(earlier)).select("cardid", "tx_dhour").distinct()
             before = self._open(TX_STORED, [f for f in stored if f[1] < batch_id and f[2] in hours])
             rows = mine.unionByName(before.join(touched, ["cardid", "tx_dhour"], "left_semi").select(*mine.columns))
         rolled = latest_per_key(rows, ["batch_id", "tx_id"]).groupBy("cardid", "tx_dhour").agg(*partial_stats())
-        self._append(rolled.hint("rebalance", "tx_dhour"), "rollup", batch_id)
+        self._append(rolled.coalesce(1) if small else rolled.hint("rebalance", "tx_dhour"), "rollup", batch_id)
 
     def rollup(self, before_batch: int, clock_hour: int, hours: int) -> DataFrame:
         """Statistics per card, retained hour and version, as of earlier batches."""
@@ -332,8 +340,10 @@ class Tables:
         """Write the state row of a batch, and with it the log of stored folders."""
         log = {f.name: sorted(x) for f, x in zip(STATE.fields[-2:], (self._log or (), self._retired))}
         row = {"epoch": None, **log, **values}
-        rows = self.spark.createDataFrame([tuple(row[n] for n in STATE.names)], STATE)
-        self._replace(rows.coalesce(1), "state", "day", "batch_id")
+        named = {n: [dict(zip(FOLDERS.elementType.names, f)) for f in v] if n in log else v for n, v in row.items()}
+        # Made of a literal, so that no Python worker has to start for one row.
+        made = F.from_json(F.lit(json.dumps(named)), STATE)
+        self._replace(self.spark.range(0, 1, 1, 1).select(made.alias("_s")).select("_s.*"), "state", "day", "batch_id")
         self._committed = Row(**row)
 
     def batch_metrics(self) -> DataFrame:

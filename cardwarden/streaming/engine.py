@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
+from multiprocessing.pool import AsyncResult, ThreadPool
 
-from pyspark import StorageLevel
+from pyspark import StorageLevel, inheritable_thread_target
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,7 +24,7 @@ from cardwarden.operators.history import (
 from cardwarden.operators.joins import fits_broadcast, hot_keys, spread_join
 from cardwarden.operators.models import score, train_delayed, train_feedback
 from cardwarden.operators.parse import accepted, parse_lines, rejects
-from cardwarden.plans.schedule import day_plan, live_after
+from cardwarden.plans.schedule import DayPlan, day_plan, live_after
 from cardwarden.session import materialize, scratch_scope
 from cardwarden.sources.tables import Fenced, Tables, current_tables
 from cardwarden.streaming.registry import ModelRegistry
@@ -79,9 +82,12 @@ class Engine:
             if n_good:
                 self._roll(last["day"] if last else 0, now, batch_id)
                 scored = self._scored(accepted(parsed), now, batch_id, n_good)
-                self.tables.append_history(scored, batch_id)
-                self.tables.append_rollup(batch_id)
-                n_alerts = self._update_alerts(now, batch_id)
+                small = n_good <= self.cfg.one_task_rows
+                self.tables.append_history(scored, batch_id, small)
+                # Both read what was just stored, neither what the other writes.
+                with self._beside(self._update_alerts, now, batch_id) as listed:
+                    self.tables.append_rollup(batch_id)
+                n_alerts = listed.get()
             self._tidy(last, now, batch_id)
             self.tables.check_epoch(self.epoch)
             self.tables.commit_state(
@@ -93,6 +99,17 @@ class Engine:
         finally:
             parsed.unpersist()
 
+    @contextmanager
+    def _beside(self, work: Callable, *args) -> Iterator[AsyncResult]:
+        """Run ``work`` in a thread beside the body; it has ended, or raised, when the body is left."""
+        with ThreadPool(1) as pool:
+            found = pool.apply_async(inheritable_thread_target(self.spark)(work), args)
+            try:
+                yield found
+            finally:
+                found.wait()
+            found.get()
+
     def _split(self, parsed: DataFrame, batch_id: int) -> tuple[int, int, int | None]:
         """Store the rejects: the one pass that fills the cache of parsed rows also counts them.
 
@@ -129,11 +146,6 @@ class Engine:
         if now.day <= last_day:
             return
         plan = day_plan(now.day, self.cfg, len(now.models))
-        hour = F.col("tx_dhour")
-        if plan.train_recent:
-            self._train("recent", recent_window(hour, now.day), now, batch_id)
-        if plan.train_delayed:
-            self._train("delayed", delayed_window(hour, now.day, self.cfg), now, batch_id)
         if plan.close_alerts:
             if now.alerts_batch is not None:
                 closed = self.tables.current_alerts(now.alerts_batch)
@@ -142,12 +154,26 @@ class Engine:
                 )
                 self.tables.save_alert_day(ranked, now.day - 1)
             now.alerts_batch = None
+        # The forest learns from closed lists, the delayed model from stored rows.
         if plan.train_feedback:
-            window = al.in_feedback_window(F.col("day"), now.day, self.cfg)
-            forest = train_feedback(self.tables.alerts(now.day).where(window), self.cfg)
-            if forest is not None:
-                now.forest = f"feedback-{now.day}-{batch_id}"
-                self.models.save_forest(now.forest, forest)
+            with self._beside(self._train_forest, now, batch_id):
+                self._train_trees(plan, now, batch_id)
+        else:
+            self._train_trees(plan, now, batch_id)
+
+    def _train_forest(self, now: Progress, batch_id: int) -> None:
+        window = al.in_feedback_window(F.col("day"), now.day, self.cfg)
+        forest = train_feedback(self.tables.alerts(now.day).where(window), self.cfg)
+        if forest is not None:
+            now.forest = f"feedback-{now.day}-{batch_id}"
+            self.models.save_forest(now.forest, forest)
+
+    def _train_trees(self, plan: DayPlan, now: Progress, batch_id: int) -> None:
+        hour = F.col("tx_dhour")
+        if plan.train_recent:
+            self._train("recent", recent_window(hour, now.day), now, batch_id)
+        if plan.train_delayed:
+            self._train("delayed", delayed_window(hour, now.day, self.cfg), now, batch_id)
 
     def _train(self, kind: str, window: Column, now: Progress, batch_id: int) -> None:
         """Train a delayed model; one without trees changes nothing."""
@@ -163,7 +189,9 @@ class Engine:
     def _scored(self, good: DataFrame, now: Progress, batch_id: int, n_good: int) -> DataFrame:
         rows = with_time_fields(good, now.origin_ms)
         rows = encode_id(encode_risk(rows, self.dictionary, self.cfg), self.dictionary, self.cfg)
-        rows = self._with_features(rows, batch_cards(good), now, batch_id, n_good)
+        small = n_good <= self.cfg.one_task_rows
+        cards = batch_cards(good.coalesce(1) if small else good)
+        rows = self._with_features(rows, cards, now, batch_id, n_good)
         bags = [self.models.bag(m) for m in now.models]
         return score(rows, bags, self.models.forest(now.forest), self.cfg)
 
