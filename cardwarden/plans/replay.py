@@ -16,17 +16,21 @@ BATCH_HOURS = 12
 #: Hours of a batch of the run whose tables are read back: as long as history is kept.
 STORED_HOURS = 120
 
+#: Lines of a file at most: small enough that a large batch is parsed and scored by many tasks.
+FILE_LINES = 20_000
+
 _RUNS: dict[tuple[str, str], str] = {}
 
 
 def write_batches(lines: DataFrame, batch: str, path: str) -> list[int]:
     """Write lines (``tx_id``, ``value``) once, one folder per batch; the batches in order.
 
-    A crowded batch is split over tasks and files, small ones share a task.
+    A crowded batch is split over tasks and files, small ones share a task. Files are bounded by
+    lines, since the engine's work on a line is large beside its bytes.
     """
     spark = lines.sparkSession
     parts = lines.select("tx_id", "value", F.col(batch).alias("part")).hint("rebalance", "part")
-    parts.write.partitionBy("part").parquet(path)
+    parts.write.option("maxRecordsPerFile", FILE_LINES).partitionBy("part").parquet(path)
     found = spark.read.parquet(path).select("part").distinct().orderBy("part").collect()
     return [row["part"] for row in found]
 

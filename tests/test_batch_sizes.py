@@ -63,3 +63,14 @@ def test_state_row_keeps_every_value(spark, tmp_path):
     assert {k: state[k] for k in values} == values
     assert [tuple(f.values()) for f in state["folders"]] == [("history", 3, -2), ("rollup", 3, 5)]
     assert [tuple(f.values()) for f in state["retired"]] == [("history", 1, 0)]
+
+
+def test_crowded_batch_is_written_as_many_files(spark, rows, tmp_path, monkeypatch):
+    monkeypatch.setattr(replay, "FILE_LINES", 50)
+    lines = fx.raw_lines(rows).withColumn("part", F.lit(7))
+    path = str(tmp_path / "lines")
+    assert replay.write_batches(lines, "part", path) == [7]
+    written = spark.read.parquet(f"{path}/part=7")
+    files = written.groupBy(F.input_file_name()).count().agg(F.count("*"), F.max("count")).first()
+    assert files[0] >= 8 and files[1] <= 50
+    assert written.exceptAll(lines.select("tx_id", "value")).isEmpty() and written.count() == 400
