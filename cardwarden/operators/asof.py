@@ -23,6 +23,10 @@ from cardwarden.operators.joins import fits_broadcast, hot_keys, spread_join
 from cardwarden.session import materialize
 
 
+#: (card, batch) pairs of one task, whose blocks, about ten of each, should fit in its memory.
+POINTS_PER_TASK = 25_000
+
+
 def _attach(rows: DataFrame, feats: DataFrame, counts: DataFrame, keys: list[str], cfg):
     hot = hot_keys(counts, keys, "rows", cfg.hot_rows, cfg.broadcast_rows)
     joined = spread_join(rows, feats, keys, "tx_id", hot)
@@ -115,6 +119,10 @@ def _card_batches(tx: DataFrame, clocks: DataFrame, cfg: EngineConfig):
     whose clock expires its hour. Each run is cut into aligned blocks of 2^k batches, at most two
     per size; a batch then merges the one block of each size that contains it. Work grows with
     the logarithm of the run, and no pair of rows of a card is ever formed.
+
+    Runs and batches are dealt out by card before they are cut into blocks, so that blocks, many a
+    row, are merged and handed to their batches where they are made and never shuffled. A card has
+    at most one run per hour and batch by then, however many transactions it made.
     """
     clocks = materialize(clocks, "clocks")
     first = clocks.agg(F.min("batch_seq"), F.min("clock_hour"), F.max("batch_seq")).first()
@@ -141,29 +149,38 @@ def _card_batches(tx: DataFrame, clocks: DataFrame, cfg: EngineConfig):
         right = F.call_function("div", F.col("_hi") + 1, F.lit(size))
         level = F.lit(k)
         blocks.append(
-            F.when((left < right) & (left % 2 == 1), F.struct(level.alias("k"), left.alias("at")))
+            F.when((left < right) & (left % 2 == 1), F.struct(level.alias("k"), left.cast("bigint").alias("at")))
         )
         blocks.append(
             F.when(
                 (left < right) & (right % 2 == 1),
-                F.struct(level.alias("k"), (right - 1).alias("at")),
+                F.struct(level.alias("k"), (right - 1).cast("bigint").alias("at")),
             )
         )
+    seq = F.col("batch_seq").cast("bigint").alias("batch_seq")
+    counts = materialize(tx.groupBy("cardid", seq).agg(F.count("*").alias("rows")), "points")
+    n_points = counts.count()
+    parts = [c for c in hourly.columns if c.startswith("p_")]
+    cut = runs.select("cardid", F.array_compact(F.array(*blocks)).alias("_nodes"), *parts)
+    every = F.expr(
+        f"transform(sequence(0, {levels - 1}), k -> struct(k AS k, shiftright(batch_seq, k) AS at))"
+    )
+    points = counts.where("batch_seq IS NOT NULL").select(
+        "cardid", every.alias("_nodes"), F.col("batch_seq").alias("_seq")
+    )
+    n_parts = max(tx.sparkSession.sparkContext.defaultParallelism, n_points // POINTS_PER_TASK + 1)
+    dealt = cut.unionByName(points, allowMissingColumns=True).repartition(n_parts, "cardid")
     nodes = (
-        runs.withColumn("_node", F.explode(F.array_compact(F.array(*blocks))))
-        .withColumns({"k": F.col("_node.k"), "at": F.col("_node.at").cast("bigint")})
+        dealt.select("cardid", "_seq", *parts, F.explode("_nodes").alias("_node"))
+        .select("cardid", "_seq", *parts, F.col("_node.k").alias("k"), F.col("_node.at").alias("at"))
         .groupBy("cardid", "k", "at")
-        .agg(*merged())
+        .agg(*merged(), F.collect_list("_seq").alias("_seqs"))
+        .where("p_n IS NOT NULL")
     )
-    seq = F.col("batch_seq").cast("bigint").alias("batch_seq")
-    counts = materialize(tx.groupBy("cardid", seq).agg(F.count("*").alias("rows")), "points")
-    points = counts.select(
-        "cardid",
-        "batch_seq",
-        F.explode(F.sequence(F.lit(0), F.lit(levels - 1))).alias("k"),
-    ).withColumn("at", F.expr("shiftright(batch_seq, k)"))
     feats = (
-        points.join(nodes, ["cardid", "k", "at"]).groupBy("cardid", "batch_seq").agg(*merged())
+        nodes.select("cardid", *parts, F.explode("_seqs").alias("batch_seq"))
+        .groupBy("cardid", "batch_seq")
+        .agg(*merged())
     )
     return counts, feats
 

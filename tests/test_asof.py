@@ -118,3 +118,16 @@ def test_odd_amounts_still_count(spark):
     df = spark.createDataFrame(rows, SCHEMA)
     got = {r.tx_id: r.w1_sum_amount for r in asof_hourly(df, EngineConfig()).collect()}
     assert got == {1: 0.0, 2: 1e20, 3: 1e20 + 5.0}
+
+
+def test_blocks_are_not_shuffled(spark, monkeypatch):
+    """Every exchange of the block merge is by card or below it: a shuffled block is ten rows for one."""
+    monkeypatch.setattr("cardwarden.operators.asof.POINTS_PER_TASK", 20)
+    rows = stream(5, 1)
+    df = spark.createDataFrame(rows, SCHEMA)
+    clocks = batch_clocks(df, int(min(r[4] for r in rows).replace(tzinfo=dt.timezone.utc).timestamp() * 1000))
+    seen = asof_batches(df, clocks, EngineConfig())
+    plan = seen._jdf.queryExecution().executedPlan().toString()
+    shuffles = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line]
+    assert shuffles and not [line for line in shuffles if " k#" in line or " at#" in line or "_node" in line]
+    assert seen.count() == len(rows)
