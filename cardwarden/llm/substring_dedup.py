@@ -14,7 +14,9 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections import defaultdict
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pandas as pd
@@ -99,8 +101,8 @@ class Hasher:
         known, digest = self.known, xxhash.xxh3_64_intdigest
         if len(known) > self.limit:
             known.clear()
-        for w in set(words).difference(known):
-            known[w] = digest(w)
+        new = set(words).difference(known)
+        known.update(zip(new, map(digest, new)))
         return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
 
 
@@ -242,12 +244,10 @@ class Bucket:
 
     def _packed(self) -> tuple[np.ndarray, ...]:
         ids, tags, starts, counts = self._joined(PACKED)
-        known: dict[bytes, int] = {}
+        known = defaultdict(count().__next__)  # a word's number is the next one when it is first met
         pieces = []
         for part in self.parts[PACKED]:
             words = self.open.decompress(part[4]).split()
-            for w in set(words).difference(known):
-                known[w] = len(known)
             pieces.append(np.fromiter(map(known.__getitem__, words), np.int32, len(words)))
         word = np.concatenate(pieces)
         # Windows of a super-k-mer start at its first words; the last 49 start none.
@@ -258,7 +258,7 @@ class Bucket:
         at = base[owner] + inside
         with np.errstate(over="ignore"):
             keys = run_hash(mix(word.astype(np.uint64) + _K2), self.window, _K1)[at]
-        order = np.argsort(keys, kind="stable")
+        order = np.argsort(keys)
         keys = keys[order]
         same = np.concatenate([[False], keys[1:] == keys[:-1]])
         self._confirm(word, at[order], same)
