@@ -165,15 +165,17 @@ def of_batch_cards(
     return spread_join(history, cards.select(*keys), keys, "tx_id", hot, "left_semi")
 
 
-def rolled_stats(rolled: DataFrame) -> DataFrame:
+def rolled_stats(rolled: DataFrame, one_task: bool = False) -> DataFrame:
     """One row per card from (card, hour) statistics in versions; the last version of an hour counts.
 
     A card has a row per retained hour and version, however many transactions it made in them, so
-    one shuffle by card serves both steps.
+    one shuffle by card serves both steps, and none if the rows come from ``one_task``.
     """
     parts = [c for c in rolled.columns if c.startswith("p_")]
-    last = rolled.repartition("cardid").groupBy("cardid", "tx_dhour").agg(F.max_by(F.struct(*parts), "batch_id").alias("_v"))
-    return last.select("cardid", "_v.*").groupBy("cardid").agg(*merged())
+    if not one_task:
+        rolled = rolled.repartition("cardid")
+    last = rolled.groupBy("cardid", "tx_dhour").agg(*[F.expr(f"max_by({c}, batch_id)").alias(c) for c in parts])
+    return last.groupBy("cardid").agg(*merged())
 
 
 def history_stats(history: DataFrame) -> DataFrame:

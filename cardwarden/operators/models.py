@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import logging
 from dataclasses import dataclass
-from multiprocessing.pool import ThreadPool
+from weakref import WeakKeyDictionary
 
 from pyspark import inheritable_thread_target
 from pyspark.errors import IllegalArgumentException
@@ -17,7 +17,7 @@ from cardwarden.config import EngineConfig
 from cardwarden.functions.scores import ensemble, mean_of
 from cardwarden.operators.vectors import with_vector
 from cardwarden.schema import FEATURES
-from cardwarden.session import materialize
+from cardwarden.session import few_bytes, materialize, workers
 
 
 @dataclass(frozen=True)
@@ -105,7 +105,8 @@ def train_delayed(bagged: DataFrame, cfg: EngineConfig, model_id: str, day: int)
     bags = materialize(
         needed.hint("rebalance", "shard", "bag"), "bags", partition_by=("shard", "bag")
     )
-    sizes = bags.groupBy("shard", "bag").agg(
+    counted = bags.coalesce(1) if few_bytes(bags) else bags
+    sizes = counted.groupBy("shard", "bag").agg(
         F.count("*").alias("n_rows"), F.count_if("label").alias("n_fraud")
     )
     found = sizes.orderBy("shard", "bag").collect()
@@ -116,8 +117,7 @@ def train_delayed(bagged: DataFrame, cfg: EngineConfig, model_id: str, day: int)
 
     if not found:
         return None
-    with ThreadPool(min(cfg.fit_parallelism, len(found))) as pool:
-        trees = pool.map(inheritable_thread_target(bagged.sparkSession)(fit), found)
+    trees = list(workers(cfg.fit_parallelism).map(inheritable_thread_target(bagged.sparkSession)(fit), found))
     grown = [(t, r) for t, r in zip(trees, found) if t is not None]
     facts = [
         (r["shard"], r["bag"], r["bag"] + 1, r["n_rows"] - r["n_fraud"], r["n_fraud"]) for _, r in grown
@@ -135,10 +135,16 @@ def train_feedback(alerts: DataFrame, cfg: EngineConfig) -> RandomForestClassifi
     return _fitted(with_vector(alerts, label=True, arity=cfg.arity), n_rows, cfg.feedback_trees, 1, True, cfg)
 
 
+# Per model its copies that put out one column; a copy shares the trees.
+_QUIET: WeakKeyDictionary = WeakKeyDictionary()
+
+
 def _with_vote(df: DataFrame, model: RandomForestClassificationModel, name: str) -> DataFrame:
     """Add P(fraud) as a vector column; the other outputs of the model are switched off."""
-    quiet = model.copy({model.rawPredictionCol: "", model.predictionCol: "", model.probabilityCol: name})
-    return quiet.transform(df)
+    copies = _QUIET.setdefault(model, {})
+    if name not in copies:
+        copies[name] = model.copy({model.rawPredictionCol: "", model.predictionCol: "", model.probabilityCol: name})
+    return copies[name].transform(df)
 
 
 def _fraud(name: str) -> Column:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from cardwarden.config import EngineConfig
 from cardwarden.plans import fixtures as fx
-from cardwarden.session import scratch_path
+from cardwarden.session import beside, scratch_path
 from cardwarden.sources.tables import Tables
 from cardwarden.streaming.engine import Engine
 
@@ -40,11 +40,18 @@ def replay(spark: SparkSession, sf_dir: str, cfg: EngineConfig, hours_per_batch:
     rows = fx.tx(spark, sf_dir)
     part = F.call_function("div", F.col("tx_dhour"), F.lit(hours_per_batch)).alias("part")
     source, root = scratch_path(spark, "lines"), scratch_path(spark, "engine")
-    batches = write_batches(fx.raw_lines(rows).withColumn("part", part), "part", source)
-    engine = Engine(Tables(spark, root), fx.dictionary(rows), cfg)
+    lines = fx.raw_lines(rows).withColumn("part", part)
+    with beside(spark, write_batches, lines, "part", source) as written:
+        dictionary = fx.dictionary(rows)
+    batches = written.result()
+    engine = Engine(Tables(spark, root), dictionary, cfg)
     reader = spark.read.schema("tx_id long, value string")
-    for number in batches:
-        engine.process_batch(reader.parquet(f"{source}/part={number}"), number)
+    folders = [(reader.parquet(f"{source}/part={number}"), number) for number in batches]
+    try:
+        for batch, following in zip(folders, [*folders[1:], None]):
+            engine.process_batch(*batch, following)
+    finally:
+        engine.discard()
     return engine.tables
 
 

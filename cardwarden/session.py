@@ -4,10 +4,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
-from contextlib import contextmanager
+from collections.abc import Callable, Iterator
+from concurrent.futures import Future, ThreadPoolExecutor, wait
+from contextlib import contextmanager, suppress
 from contextvars import ContextVar
+from functools import lru_cache
 
+from py4j.protocol import Py4JError
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_DIR = "spark.checkpoint.dir"
@@ -32,6 +36,55 @@ def build_session(app: str = "cardwarden", master: str | None = None, **conf: st
     return builder.getOrCreate()
 
 
+#: Stored bytes that one task reads at most where more tasks would only cost time.
+FEW_BYTES = 16 << 20
+
+
+def few_bytes(df: DataFrame) -> bool:
+    """Whether what ``df`` reads is small enough for one task, as the planner counts it."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) <= FEW_BYTES
+
+
+@lru_cache(maxsize=8)
+def workers(n: int) -> ThreadPoolExecutor:
+    """``n`` threads that stay: each thread of Python has one in the JVM, which keeps memory of its own."""
+    return ThreadPoolExecutor(n, thread_name_prefix=f"cardwarden-{n}")
+
+
+def start_beside(spark: SparkSession, work: Callable, *args) -> Future:
+    """Run ``work`` in another thread. It must not wait for such work itself beyond one level or two."""
+    return workers(16).submit(inheritable_thread_target(spark)(work), *args)
+
+
+@contextmanager
+def beside(spark: SparkSession, work: Callable, *args) -> Iterator[Future]:
+    """Run ``work`` in a thread beside the body; it has ended, or raised, when the body is left."""
+    found = start_beside(spark, work, *args)
+    try:
+        yield found
+    finally:
+        wait([found])
+    found.result()
+
+
+def give_back(spark: SparkSession) -> None:
+    """Have the driver's JVM drop plans, broadcasts and generated classes that nothing uses, and return
+    free memory to the system; a long stream makes many of them, and the JVM alone keeps it all."""
+    jvm, array = spark._jvm, spark.sparkContext._gateway.new_array
+    jvm.java.lang.System.gc()
+    # ``MBeanServer.invoke(commands, "systemTrimNativeHeap", null, null)``, which Py4J calls by reflection only.
+    kind = jvm.java.lang.Class.forName
+    names = ("javax.management.ObjectName", "java.lang.String", "[Ljava.lang.Object;", "[Ljava.lang.String;")
+    kinds, values = array(jvm.java.lang.Class, len(names)), array(jvm.java.lang.Object, len(names))
+    for i, name in enumerate(names):
+        kinds[i] = kind(name)
+    values[0] = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand")
+    values[1] = "systemTrimNativeHeap"
+    with suppress(Py4JError):  # not every JVM has the command
+        server = jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer()
+        kind("javax.management.MBeanServer").getMethod("invoke", kinds).invoke(server, values)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors can reach, as the session names it.
 

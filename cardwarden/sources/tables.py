@@ -11,7 +11,14 @@ that could be run again starts from a state that names them.
 from __future__ import annotations
 
 import json
-
+import logging
+import uuid
+from collections.abc import Iterable
+from concurrent.futures import Future
+from dataclasses import dataclass
+from threading import Lock
+
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -19,7 +26,7 @@ from pyspark.sql import types as T
 from cardwarden.config import EngineConfig
 from cardwarden.operators.history import latest_per_key, partial_stats
 from cardwarden.schema import ALERT, TX_STORED, typed
-from cardwarden.session import materialize
+from cardwarden.session import FEW_BYTES, materialize, start_beside
 
 FOLDERS = T.ArrayType(
     T.StructType(
@@ -63,6 +70,34 @@ ALERT_DAY = T.StructType([*ALERT.fields, T.StructField("day", T.IntegerType())])
 Folder = tuple[str, int, int]
 
 
+@dataclass(frozen=True)
+class Kept:
+    """The rows of a small batch, without its id, and their hours."""
+
+    batch_id: int
+    rows: DataFrame
+    hours: set[int]
+
+
+@dataclass(frozen=True)
+class Seen:
+    """What a batch has read of the rollup, and whether it is little."""
+
+    batch_id: int
+    folders: set[Folder]
+    rows: DataFrame
+    few: bool
+
+
+@dataclass(frozen=True)
+class Window:
+    """One file with the rows of some folders of the rollup."""
+
+    folders: set[Folder]
+    rows: DataFrame
+    path: str
+
+
 class Fenced(RuntimeError):
     """Another engine was started on the same tables; this one must not write any more."""
 
@@ -83,7 +118,12 @@ class Tables:
         self._log: set[Folder] | None = None
         self._retired: set[Folder] = set()
         self._committed: Row | None = None
-        self._small_batch: int | None = None
+        # Rows of the small batch that was stored last, kept for what is made of them.
+        self._small: Kept | None = None
+        self._widening: Future | None = None
+        self._lock = Lock()
+        self._seen: Seen | None = None
+        self._window: Window | None = None
         for name in ("history", "rollup", "alerts", "alerts_current", "rejects", "state", "metrics", "models", "epochs"):
             self._fs.mkdirs(self._path(self.path(name)))
 
@@ -101,6 +141,12 @@ class Tables:
     def folders(self, name: str) -> list[str]:
         return [s.getPath().getName() for s in self._fs.listStatus(self._path(self.path(name)))]
 
+    def _size(self, folder: str) -> int:
+        return self._fs.getContentSummary(self._path(folder)).getLength()
+
+    def _few_bytes(self, folders: Iterable[Folder]) -> bool:
+        return sum(self._size(self._stored_in(f)) for f in folders) <= FEW_BYTES
+
     def _drop(self, folder: str) -> None:
         self._fs.delete(self._path(folder), True)
 
@@ -120,8 +166,17 @@ class Tables:
             state = self.last_state(batch_id)
         self._log = {tuple(f) for f in state["folders"]} if state else set()
         self._retired = set()
+        self._seen = None
+        self.release()
         return state
 
+    def release(self) -> None:
+        """Give back the memory of the rows kept of a small batch."""
+        self.settle()
+        if self._small:
+            self._small.rows.unpersist()
+        self._small = None
+
     def _folders(self, name: str) -> list[Folder]:
         log = self._log
         if log is None:
@@ -134,11 +189,24 @@ class Tables:
         return self.path(name, f"batch_id={batch}", f"tx_dhour={hour}")
 
     def _open(self, schema: T.StructType, folders: list[Folder]) -> DataFrame:
-        """Read the given folders of one table; they are listed, no other folder is."""
+        """Read the given folders of one table; their batches are listed, no other folder is.
+
+        A batch of which all hours are given is opened as one path: Spark looks up each path by itself,
+        and takes a job to list many.
+        """
         if not folders:
             return self.spark.createDataFrame([], schema)
-        reader = self.spark.read.schema(schema).option("basePath", self.path(folders[0][0]))
-        return reader.parquet(*[self._stored_in(f) for f in folders]).select(schema.names)
+        name, paths, given = folders[0][0], [], {}
+        for _, batch, hour in folders:
+            given.setdefault(batch, []).append(hour)
+        for batch, hours in given.items():
+            whole = self.path(name, f"batch_id={batch}")
+            if set(self._values(whole, "tx_dhour")) == set(hours):
+                paths.append(whole)
+            else:
+                paths += [self._stored_in((name, batch, h)) for h in hours]
+        reader = self.spark.read.schema(schema).option("basePath", self.path(name))
+        return reader.parquet(*paths).select(schema.names)
 
     def _append(self, rows: DataFrame, name: str, batch_id: int) -> None:
         """Write a batch's folder anew, with nothing left of an earlier try, and log its hours."""
@@ -147,9 +215,11 @@ class Tables:
         target = self.path(name, f"batch_id={batch_id}")
         whole = rows.drop("batch_id").write.mode("overwrite").option("partitionOverwriteMode", "static")
         whole.partitionBy("tx_dhour").parquet(target)
-        kept = {f for f in self._log if f[:2] != (name, batch_id)}
-        # One assignment: another thread may be reading the log.
-        self._log = kept | {(name, batch_id, h) for h in self._values(target, "tx_dhour")}
+        hours = self._values(target, "tx_dhour")
+        # Another thread may be writing another table; one that reads the log sees a whole one.
+        with self._lock:
+            kept = {f for f in self._log if f[:2] != (name, batch_id)}
+            self._log = kept | {(name, batch_id, h) for h in hours}
 
     def _retire(self, folders: list[Folder]) -> None:
         self._log -= set(folders)
@@ -209,15 +279,25 @@ class Tables:
         return self._open(schema, folders).where(wanted)
 
     def stored_batch(self, batch_id: int) -> DataFrame:
-        """The rows that one batch stored; lists only that batch's folders."""
+        """The rows that one batch stored; lists only that batch's folders, or none if they are still kept."""
+        if self._small and self._small.batch_id == batch_id:
+            return self._small.rows.withColumn("batch_id", F.lit(batch_id).cast("bigint"))
         return self._open(TX_STORED, [f for f in self._folders("history") if f[1] == batch_id])
 
-    def append_history(self, scored: DataFrame, batch_id: int, small: bool = False) -> None:
-        """Store a scored batch; rebalancing joins small tasks and splits a crowded hour. One task
-        stores a ``small`` batch, and the rollup that follows."""
-        self._small_batch = batch_id if small else None
+    def append_history(self, scored: DataFrame, batch_id: int) -> None:
+        """Store a scored batch; rebalancing joins small tasks and splits a crowded hour."""
         rows = typed(scored.withColumn("batch_id", F.lit(batch_id)), TX_STORED)
-        self._append(rows.coalesce(1) if small else rows.hint("rebalance", "tx_dhour"), "history", batch_id)
+        self._append(rows.hint("rebalance", "tx_dhour"), "history", batch_id)
+
+    def keep(self, scored: DataFrame, batch_id: int) -> None:
+        """Make the rows of a small batch in one task, and keep them until the batch is stored, with its
+        alerts and its rollup."""
+        self.release()
+        rows = typed(scored, T.StructType(TX_STORED.fields[:-1])).coalesce(1).persist(StorageLevel.MEMORY_AND_DISK)
+        self._small = Kept(batch_id, rows, {row[0] for row in rows.select("tx_dhour").collect()})
+
+    def append_kept(self) -> None:
+        self._append(self._small.rows, "history", self._small.batch_id)
 
     def rollup_schema(self) -> T.StructType:
         empty = self.spark.createDataFrame([], TX_STORED).groupBy("cardid", "tx_dhour").agg(*partial_stats())
@@ -228,24 +308,71 @@ class Tables:
 
         Each row is whole: if earlier batches stored rows of the same hour, late or written again,
         the rows of those cards in that hour are read once more, and the new version takes the place
-        of the old one for later batches. Other hours are not read. One task writes the few rows of a
-        small batch; it also makes them, unless earlier rows, of any number, are read.
+        of the old one for later batches. Other hours are not read. One task makes and writes the few
+        rows of a small batch, unless many earlier rows are read.
         """
+        small = self._small is not None and self._small.batch_id == batch_id
         mine, stored = self.stored_batch(batch_id), self._folders("history")
-        hours = {h for _, b, h in stored if b == batch_id}
+        hours = self._small.hours if small else {h for _, b, h in stored if b == batch_id}
         earlier = sorted({h for _, b, h in stored if b < batch_id and h in hours})
-        small = batch_id == self._small_batch
-        rows = mine.coalesce(1) if small and not earlier else mine
+        rows, one_task = mine, small
         if earlier:
-            touched = mine.where(F.col("tx_dhour").isin(earlier)).select("cardid", "tx_dhour").distinct()
-            before = self._open(TX_STORED, [f for f in stored if f[1] < batch_id and f[2] in hours])
+            touched = mine.where(F.col("tx_dhour").isin(earlier)).select("cardid", "tx_dhour")
+            before_folders = [f for f in stored if f[1] < batch_id and f[2] in hours]
+            before = self._open(TX_STORED, before_folders)
+            one_task = small and self._few_bytes(before_folders)
+            touched = F.broadcast(touched.coalesce(1)) if small else touched.distinct()
             rows = mine.unionByName(before.join(touched, ["cardid", "tx_dhour"], "left_semi").select(*mine.columns))
+        rows = rows.coalesce(1) if one_task else rows
         rolled = latest_per_key(rows, ["batch_id", "tx_id"]).groupBy("cardid", "tx_dhour").agg(*partial_stats())
         self._append(rolled.coalesce(1) if small else rolled.hint("rebalance", "tx_dhour"), "rollup", batch_id)
+        if small:
+            self._widening = start_beside(self.spark, self._widen_window, batch_id)
+
+    def _widen_window(self, batch_id: int) -> None:
+        """Write what this batch has read of the rollup, and its own, as one file for the next batch.
+
+        The file saves opening a folder for each hour; it is only a copy, and without it, as in a new
+        engine, or where it lacks a folder that the log names, the folders are read.
+        """
+        seen, self._window = self._seen, None
+        if seen is None or seen.batch_id != batch_id or not seen.few:
+            return
+        own = [f for f in self._folders("rollup") if f[1] == batch_id]
+        name = uuid.uuid4().hex
+        # Readers of the table open what the log names, so they never see this folder.
+        path = self.path("rollup", "_window", name)
+        seen.rows.unionByName(self._open(self._rollup, own)).coalesce(1).write.parquet(path)
+        self._window = Window(seen.folders.union(own), self.spark.read.schema(self._rollup).parquet(path), path)
+        for other in self.folders("rollup/_window"):
+            if other != name:
+                self._drop(self.path("rollup", "_window", other))
+
+    def settle(self) -> None:
+        """Wait for the copy that :meth:`append_rollup` began; one that failed is not used."""
+        copy, self._widening = self._widening, None
+        if copy is not None and (fault := copy.exception()) is not None:
+            self._window = None
+            logging.getLogger(__name__).warning("the copy of the rollup was not written: %s", fault)
 
     def rollup(self, before_batch: int, clock_hour: int, hours: int) -> DataFrame:
         """Statistics per card, retained hour and version, as of earlier batches."""
-        return self._hours_before("rollup", self._rollup, before_batch, clock_hour, hours)
+        self.settle()
+        least = clock_hour - hours
+        wanted = {f for f in self._folders("rollup") if f[1] < before_batch and f[2] > least}
+        held = self._window.folders if self._window else set()
+        if wanted and wanted <= held and all(b < before_batch for _, b, _ in held):
+            rows, few = self._window.rows.where(F.col("tx_dhour") > least), self._size(self._window.path) <= FEW_BYTES
+            rows = rows.coalesce(1) if few else rows
+        else:
+            rows = self._hours_before("rollup", self._rollup, before_batch, clock_hour, hours)
+            few = self._few_bytes(wanted)
+        self._seen = Seen(before_batch, wanted, rows, few)
+        return rows
+
+    def few_seen(self) -> bool:
+        """Whether the rows that :meth:`rollup` returned last are few enough for one task."""
+        return self._seen is not None and self._seen.few
 
     def expire_history(self, clock_hour: int, cfg: EngineConfig) -> list[int]:
         """Take expired hours out of the log. Reads no longer see those hours by then."""
@@ -279,6 +406,7 @@ class Tables:
         crowded = {h: ids for h, ids in sorted(crowded.items()) if len(ids) > 1}
         if sum(len(ids) - 1 for ids in crowded.values()) <= spare:
             return []
+        self.settle()
         rows = self._open(schema, [(name, b, h) for h, ids in crowded.items() for b in ids])
         target = F.create_map(*[F.lit(v) for h, ids in crowded.items() for v in (h, ids[-1])])
         folded = last_of(rows).withColumn("batch_id", target[F.col("tx_dhour")].cast("bigint"))
@@ -312,8 +440,8 @@ class Tables:
     # --- rejects -----------------------------------------------------------------------
 
     def save_rejects(self, rejected: DataFrame, batch_id: int) -> None:
-        rows = typed(rejected.withColumn("batch_id", F.lit(batch_id)), REJECT)
-        self._replace(rows, "rejects", "batch_id")
+        rows = typed(rejected, T.StructType(REJECT.fields[:-1]))
+        rows.write.mode("overwrite").parquet(self.path("rejects", f"batch_id={batch_id}"))
 
     def rejects(self) -> DataFrame:
         """Rejected lines of the batches up to the newest committed one."""

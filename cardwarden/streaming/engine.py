@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-from contextlib import contextmanager
+from concurrent.futures import Future
+from contextlib import ExitStack, nullcontext
 from dataclasses import dataclass
-from multiprocessing.pool import AsyncResult, ThreadPool
+from functools import partial
 
-from pyspark import StorageLevel, inheritable_thread_target
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,7 +25,7 @@ from cardwarden.operators.joins import fits_broadcast, hot_keys, spread_join
 from cardwarden.operators.models import score, train_delayed, train_feedback
 from cardwarden.operators.parse import accepted, parse_lines, rejects
 from cardwarden.plans.schedule import DayPlan, day_plan, live_after
-from cardwarden.session import materialize, scratch_scope
+from cardwarden.session import beside, give_back, materialize, scratch_scope, start_beside
 from cardwarden.sources.tables import Fenced, Tables, current_tables
 from cardwarden.streaming.registry import ModelRegistry
 
@@ -54,61 +54,107 @@ class Engine:
         self.cfg = cfg = dictionary.widened(cfg)
         self.models = ModelRegistry(tables)
         self.epoch = tables.claim()
+        # Lines, id and parsed rows of the batch that was prepared.
+        self._ahead: tuple[DataFrame, int, Future] | None = None
 
-    def process_batch(self, lines: DataFrame, batch_id: int) -> None:
+    def process_batch(
+        self, lines: DataFrame, batch_id: int, following: tuple[DataFrame, int] | None = None
+    ) -> None:
         """Run one batch of lines (``tx_id``, ``value``); safe to run again with the same id.
 
+        A caller that has the lines and id of the ``following`` batch already gets them parsed while this one runs.
+
         The newest engine of a root is the one that writes: once another one was made, a batch
         raises ``Fenced`` before it writes and again before it would commit. Intermediate tables are dropped when the batch ends.
         """
         with scratch_scope(self.spark):
-            self._process(lines, batch_id)
+            self._process(lines, batch_id, following)
 
-    def _process(self, lines: DataFrame, batch_id: int) -> None:
-        last = self.tables.begin(batch_id)
+    def _prepare(self, lines: DataFrame, batch_id: int) -> None:
+        """Begin to parse the next batch.
+
+        Nothing but its rejects is written, which no reader sees before the batch is committed.
+        """
+        self._ahead = lines, batch_id, start_beside(self.spark, self._parsed, lines, batch_id)
+
+    def discard(self) -> None:
+        """Give back the rows of a following batch that was not processed."""
+        if self._ahead is not None:
+            ahead, self._ahead = self._ahead[2], None
+            if ahead.exception() is None:
+                ahead.result()[0].unpersist()
+
+    def _parsed(self, lines: DataFrame, batch_id: int) -> tuple[DataFrame, tuple[int, int, int | None]]:
+        """The parsed lines, cached, and what :meth:`_split` counts."""
         parsed = parse_lines(lines, self.cfg).persist(StorageLevel.MEMORY_AND_DISK)
         try:
-            try:
-                self.tables.check_epoch(self.epoch)
-            except Fenced:
-                if lines.isEmpty():
-                    return
-                raise
-            n_in, n_good, first_ms = self._split(parsed, batch_id)
-            if n_in == 0 or (n_good == 0 and last is None):
+            self.tables.check_epoch(self.epoch)
+            return parsed, self._split(parsed, batch_id)
+        except BaseException:
+            parsed.unpersist()
+            raise
+
+    def _process(self, lines: DataFrame, batch_id: int, following: tuple[DataFrame, int] | None) -> None:
+        last = self.tables.begin(batch_id)
+        ahead = self._ahead
+        if ahead is not None and ahead[0] is lines and ahead[1] == batch_id:
+            self._ahead, found = None, ahead[2].result
+        else:
+            self.discard()
+            found = partial(self._parsed, lines, batch_id)
+        try:
+            parsed, counts = found()
+        except Fenced:
+            if lines.isEmpty():
                 return
-            now = self._advance(last, first_ms)
-            n_alerts = last["n_alerts"] if last and now.alerts_batch is not None else 0
+            raise
+        with ExitStack() as held:
+            held.callback(parsed.unpersist)
+            held.callback(self.tables.release)
+            if following is not None:
+                self._prepare(*following)
+            self._run(parsed, counts, last, batch_id, held)
+
+    def _run(self, parsed: DataFrame, counts: tuple[int, int, int | None], last, batch_id: int, held: ExitStack) -> None:
+        """The rest of a batch; ``held`` gives back, when it ends, what it keeps in memory."""
+        n_in, n_good, first_ms = counts
+        if n_in == 0 or (n_good == 0 and last is None):
+            return
+        now = self._advance(last, first_ms)
+        n_alerts = last["n_alerts"] if last and now.alerts_batch is not None else 0
+        with ExitStack() as saved:
             if n_good:
-                self._roll(last["day"] if last else 0, now, batch_id)
-                scored = self._scored(accepted(parsed), now, batch_id, n_good)
-                small = n_good <= self.cfg.one_task_rows
-                self.tables.append_history(scored, batch_id, small)
-                # Both read what was just stored, neither what the other writes.
-                with self._beside(self._update_alerts, now, batch_id) as listed:
+                small, last_day = n_good <= self.cfg.one_task_rows, last["day"] if last else 0
+                rows = self._features(accepted(parsed), now, batch_id, n_good)
+                plan = day_plan(now.day, self.cfg, len(now.models)) if now.day > last_day else None
+                if small and plan and (plan.train_recent or plan.train_delayed or plan.train_feedback):
+                    # Features need no model, so they are made while the models are trained.
+                    rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
+                    held.callback(rows.unpersist)
+                    made = rows.write.format("noop").mode("overwrite").save
+                    with beside(self.spark, made):
+                        self._roll(plan, now, batch_id, saved)
+                elif plan:
+                    self._roll(plan, now, batch_id, saved)
+                scored = self._scored(rows, now)
+                if small:
+                    self.tables.keep(scored, batch_id)
+                    stored = beside(self.spark, self.tables.append_kept)
+                else:
+                    self.tables.append_history(scored, batch_id)
+                    stored = nullcontext()
+                # All read the rows that are kept or were just stored, none what another writes.
+                with stored, beside(self.spark, self._update_alerts, now, batch_id) as listed:
                     self.tables.append_rollup(batch_id)
-                n_alerts = listed.get()
+                n_alerts = listed.result()
             self._tidy(last, now, batch_id)
-            self.tables.check_epoch(self.epoch)
-            self.tables.commit_state(
-                epoch=self.epoch, batch_id=batch_id, origin_ms=now.origin_ms, clock_ms=now.clock_ms, day=now.day,
-                models=now.models, forest=now.forest, alerts_batch=now.alerts_batch,
-                n_in=n_in, n_dropped=n_in - n_good, n_alerts=n_alerts,
-            )
-            self._maintain(last, now, batch_id)
-        finally:
-            parsed.unpersist()
-
-    @contextmanager
-    def _beside(self, work: Callable, *args) -> Iterator[AsyncResult]:
-        """Run ``work`` in a thread beside the body; it has ended, or raised, when the body is left."""
-        with ThreadPool(1) as pool:
-            found = pool.apply_async(inheritable_thread_target(self.spark)(work), args)
-            try:
-                yield found
-            finally:
-                found.wait()
-            found.get()
+        self.tables.check_epoch(self.epoch)
+        self.tables.commit_state(
+            epoch=self.epoch, batch_id=batch_id, origin_ms=now.origin_ms, clock_ms=now.clock_ms, day=now.day,
+            models=now.models, forest=now.forest, alerts_batch=now.alerts_batch,
+            n_in=n_in, n_dropped=n_in - n_good, n_alerts=n_alerts,
+        )
+        self._maintain(last, now, batch_id)
 
     def _split(self, parsed: DataFrame, batch_id: int) -> tuple[int, int, int | None]:
         """Store the rejects: the one pass that fills the cache of parsed rows also counts them.
@@ -142,10 +188,12 @@ class Engine:
     def _stored(self, now: Progress, batch_id: int) -> DataFrame:
         return self.tables.history(batch_id, now.clock_hour, self.cfg.history_hours)
 
-    def _roll(self, last_day: int, now: Progress, batch_id: int) -> None:
-        if now.day <= last_day:
-            return
-        plan = day_plan(now.day, self.cfg, len(now.models))
+    def _roll(self, plan: DayPlan, now: Progress, batch_id: int, saved: ExitStack) -> None:
+        # The forest learns from closed lists, the delayed model from stored rows.
+        with beside(self.spark, self._close_alerts, plan, now, batch_id, saved):
+            self._train_trees(plan, now, batch_id, saved)
+
+    def _close_alerts(self, plan: DayPlan, now: Progress, batch_id: int, saved: ExitStack) -> None:
         if plan.close_alerts:
             if now.alerts_batch is not None:
                 closed = self.tables.current_alerts(now.alerts_batch)
@@ -154,44 +202,44 @@ class Engine:
                 )
                 self.tables.save_alert_day(ranked, now.day - 1)
             now.alerts_batch = None
-        # The forest learns from closed lists, the delayed model from stored rows.
         if plan.train_feedback:
-            with self._beside(self._train_forest, now, batch_id):
-                self._train_trees(plan, now, batch_id)
-        else:
-            self._train_trees(plan, now, batch_id)
+            self._train_forest(now, batch_id, saved)
 
-    def _train_forest(self, now: Progress, batch_id: int) -> None:
+    def _train_forest(self, now: Progress, batch_id: int, saved: ExitStack) -> None:
         window = al.in_feedback_window(F.col("day"), now.day, self.cfg)
         forest = train_feedback(self.tables.alerts(now.day).where(window), self.cfg)
         if forest is not None:
             now.forest = f"feedback-{now.day}-{batch_id}"
-            self.models.save_forest(now.forest, forest)
+            self.models.hold(now.forest, forest)
+            saved.enter_context(beside(self.spark, self.models.save_forest, now.forest, forest))
 
-    def _train_trees(self, plan: DayPlan, now: Progress, batch_id: int) -> None:
+    def _train_trees(self, plan: DayPlan, now: Progress, batch_id: int, saved: ExitStack) -> None:
         hour = F.col("tx_dhour")
         if plan.train_recent:
-            self._train("recent", recent_window(hour, now.day), now, batch_id)
+            self._train("recent", recent_window(hour, now.day), now, batch_id, saved)
         if plan.train_delayed:
-            self._train("delayed", delayed_window(hour, now.day, self.cfg), now, batch_id)
+            self._train("delayed", delayed_window(hour, now.day, self.cfg), now, batch_id, saved)
 
-    def _train(self, kind: str, window: Column, now: Progress, batch_id: int) -> None:
-        """Train a delayed model; one without trees changes nothing."""
+    def _train(self, kind: str, window: Column, now: Progress, batch_id: int, saved: ExitStack) -> None:
+        """Train a delayed model; one without trees changes nothing. It is saved while the batch goes on."""
         model_id = f"{kind}-{now.day}-{batch_id}"
         bagged = bags_of_history(self._stored(now, batch_id).where(window), self.cfg)
         bag = train_delayed(bagged, self.cfg, model_id, now.day)
         if bag is not None:
-            self.models.save_bag(bag)
+            self.models.hold(model_id, bag)
+            saved.enter_context(beside(self.spark, self.models.save_bag, bag))
             now.models = live_after([*now.models, model_id], self.cfg)
 
     # --- scoring -----------------------------------------------------------------------
 
-    def _scored(self, good: DataFrame, now: Progress, batch_id: int, n_good: int) -> DataFrame:
+    def _features(self, good: DataFrame, now: Progress, batch_id: int, n_good: int) -> DataFrame:
         rows = with_time_fields(good, now.origin_ms)
         rows = encode_id(encode_risk(rows, self.dictionary, self.cfg), self.dictionary, self.cfg)
         small = n_good <= self.cfg.one_task_rows
         cards = batch_cards(good.coalesce(1) if small else good)
-        rows = self._with_features(rows, cards, now, batch_id, n_good)
+        return self._with_features(rows, cards, now, batch_id, n_good)
+
+    def _scored(self, rows: DataFrame, now: Progress) -> DataFrame:
         bags = [self.models.bag(m) for m in now.models]
         return score(rows, bags, self.models.forest(now.forest), self.cfg)
 
@@ -210,7 +258,9 @@ class Engine:
             hot = hot_keys(cards, ["cardid"], "batch_rows", self.cfg.hot_rows, self.cfg.broadcast_rows)
         few = n_good <= self.cfg.broadcast_rows or fits_broadcast(cards, self.cfg.broadcast_rows)
         keys = cards.select("cardid")
-        stats = rolled_stats(rolled.join(F.broadcast(keys) if few else keys, "cardid", "left_semi"))
+        of_cards = rolled.join(F.broadcast(keys) if few else keys, "cardid", "left_semi")
+        one_task = few and self.tables.few_seen()
+        stats = rolled_stats(of_cards.coalesce(1) if one_task else of_cards, one_task)
         if few:
             joined = rows.join(F.broadcast(stats), "cardid", "left")
         else:
@@ -248,6 +298,7 @@ class Engine:
         if last is not None and now.day > last["day"]:
             self.models.drop(live | {*last["models"], last["forest"]})
             self.tables.fold_state(last["day"])
+            give_back(self.spark)
         self.models.forget(live)
 
 

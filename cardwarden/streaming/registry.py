@@ -16,6 +16,10 @@ class ModelRegistry:
     def folder(self, model_id: str) -> str:
         return self._tables.path("models", model_id)
 
+    def hold(self, model_id: str, model: object) -> None:
+        """Have a model at hand that is being saved."""
+        self._loaded[model_id] = model
+
     def save_bag(self, bag: TreeBag) -> None:
         bag.forest.write().overwrite().save(self.folder(bag.model_id))
         self._loaded[bag.model_id] = bag
